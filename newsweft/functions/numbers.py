@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from newsweft import rules
+from newsweft.functions.text import let
 
 _NUM = r"\$?\d{1,3}(?:,\d{3})*(?:\.\d+)?|\$?\d+(?:\.\d+)?"
 
@@ -51,11 +52,14 @@ def extract_claims(text: Column, limit: int = rules.CLAIMS_PER_DOC) -> Column:
         return F.transform(hits, lambda h: F.struct(F.lit(kind).alias("type"), h.alias("claim")))
 
     claims = F.concat(*[family(kind, pattern) for kind, pattern in rules.CLAIM_PATTERNS])
-    lowered = F.transform(claims, lambda c: F.lower(c["claim"]))
-    firsts = F.filter(
-        claims, lambda c, i: F.array_position(lowered, F.lower(c["claim"])) == i + 1
-    )
-    return F.slice(firsts, 1, limit)
+
+    def first_spellings(found: Column) -> Column:
+        lowered = F.transform(found, lambda c: F.lower(c["claim"]))
+        return let(lowered, lambda low: F.filter(
+            found, lambda c, i: F.array_position(low, F.lower(c["claim"])) == i + 1
+        ))
+
+    return F.slice(let(claims, first_spellings), 1, limit)
 
 
 def claim_context(text: Column, claim: Column, kind: Column) -> Column:

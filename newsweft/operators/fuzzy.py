@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from newsweft import rules
 
 POSITION_STEP = 8
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def match_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     """Share of characters in matching blocks, as the standard library defines it."""
     return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right)], dtype="float64")

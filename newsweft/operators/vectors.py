@@ -111,23 +111,26 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, keys: Seq
     lhs = left.join(grid, cell_keys).select(*cell_keys, slot("g_l").alias("i"), span("g_r").alias("j"), "id", "vec")
     rhs = right.join(grid, cell_keys).select(*cell_keys, span("g_l").alias("i"), slot("g_r").alias("j"), "id", "vec")
 
+    # The two sides may come from one table; new names keep them apart in the cogroup.
+    block = [*cell_keys, "i", "j"]
+    rhs = rhs.select(*[F.col(c).alias(f"r_{c}") for c in rhs.columns])
+
     def match(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         names = [*keys, "a", "b", "cos"]
         if l.empty or r.empty:
             return pd.DataFrame(columns=names)
-        cos = _unit(l["vec"]) @ _unit(r["vec"]).T
+        cos = _unit(l["vec"]) @ _unit(r["r_vec"]).T
         hit = cos >= threshold
         if same:
-            hit &= l["id"].to_numpy()[:, None] < r["id"].to_numpy()[None, :]
+            hit &= l["id"].to_numpy()[:, None] < r["r_id"].to_numpy()[None, :]
         x, y = np.nonzero(hit)
         out = {k: [l[k].iloc[0]] * len(x) for k in keys}
-        out |= {"a": l["id"].to_numpy()[x], "b": r["id"].to_numpy()[y], "cos": cos[x, y]}
+        out |= {"a": l["id"].to_numpy()[x], "b": r["r_id"].to_numpy()[y], "cos": cos[x, y]}
         return pd.DataFrame(out, columns=names)
 
     fields = [f"{k} {left.schema[k].dataType.simpleString()}" for k in keys]
     fields += [f"a {left.schema['id'].dataType.simpleString()}", f"b {right.schema['id'].dataType.simpleString()}"]
-    block = [*cell_keys, "i", "j"]
-    return lhs.groupBy(*block).cogroup(rhs.groupBy(*block)).applyInPandas(
+    return lhs.groupBy(*block).cogroup(rhs.groupBy(*[f"r_{c}" for c in block])).applyInPandas(
         match, ", ".join([*fields, "cos double"])
     )
 
