@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from newsweft import rules
 
 
+PIECES_PER_TASK = 512
+
+
 def local_time(ts: Column, offset_hours: int = rules.LOCAL_OFFSET_HOURS) -> Column:
     return ts + F.make_dt_interval(hours=F.lit(offset_hours))
 
@@ -75,7 +78,10 @@ def session_gate(triggers: DataFrame, key: str, ts: str = "ts", guard_hours: int
         "piece", F.sum(F.col("free").cast("int")).over(by_key)
     )
     lengths = Window.partitionBy(key, "piece")
-    per_session = per_session.withColumn("length", F.count("*").over(lengths))
+    per_session = per_session.withColumn("length", F.count("*").over(lengths)).withColumn(
+        # Pieces are independent, so any run of whole pieces may be walked together.
+        "piece", F.floor(F.col("piece") / PIECES_PER_TASK)
+    )
     simple = per_session.filter("length = 1").select(key, "session", F.col("first").alias("ts"))
     chained = per_session.filter("length > 1")
     early = log.filter(F.col("into") < guard).join(
