@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from newsweft import rules
+from newsweft.session import durable
 
-POSITION_STEP = 8
+POSITION_STEP = 16
 
 
 @F.pandas_udf(DoubleType())
@@ -53,7 +54,7 @@ def similar_titles(titles: DataFrame, keys: Sequence[str], ratio: float = rules.
     ).select(
         *keys, "t1", "n1", "d", "q",
         F.expr("substring(t1, at + 1, q)").alias("gram"),
-        F.floor(F.col("at") / POSITION_STEP).cast("int").alias("place"),
+        F.floor(F.col("at") / POSITION_STEP).cast("int").alias("place"), F.col("at").alias("at1"),
     )
     # A longer title looks up the grams of every gram length that shorter partners may use.
     low = F.ceil(F.col("n") * ((1 - slack) / (1 + slack)) - 1e-9).cast("int")
@@ -68,17 +69,21 @@ def similar_titles(titles: DataFrame, keys: Sequence[str], ratio: float = rules.
         F.explode(
             F.sequence(
                 F.greatest(F.floor((F.col("at") - F.col("d2")) / POSITION_STEP), F.lit(0)).cast("int"),
-                F.floor((F.col("at") + F.col("d2")) / POSITION_STEP).cast("int"),
+                F.floor((F.col("at") + F.col("d2") / 2) / POSITION_STEP).cast("int"),
             )
-        ).alias("place"),
-    ).distinct()
+        ).alias("place"), "at",
+    )
+    allowed, longer = (F.col("n1") + F.col("n2")) * slack + 1e-9, F.col("n2") - F.col("n1")
+    shift = F.col("at") - F.col("at1")
     candidates = shorter.join(probes, [*keys, "q", "gram", "place"]).filter(
         ((F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("t1") < F.col("t2"))))
-        & (F.col("n2") - F.col("n1") <= (F.col("n1") + F.col("n2")) * slack + 1e-9)
+        & (longer <= allowed) & (shift <= (allowed + longer) / 2) & (shift >= (longer - allowed) / 2)
     )
-    near = candidates.filter(
-        F.expr(f"levenshtein(t1, t2, cast(floor((n1 + n2) * {slack!r} + 1e-9) as int)) >= 0")
-    ).select(*keys, "t1", "t2").distinct()
+    # A pair is found through many pieces. Stored as one row first, or the optimizer would move the
+    # costly distance test before the cheap ones.
+    near = durable(candidates.select(*keys, "t1", "t2").distinct()).filter(F.expr(
+        f"levenshtein(t1, t2, cast(floor((length(t1) + length(t2)) * {slack!r} + 1e-9) as int)) >= 0"
+    ))
     # The ratio depends on the side in rare cases, so either direction may call them equal.
     either = F.greatest(match_ratio(F.col("t1"), F.col("t2")), match_ratio(F.col("t2"), F.col("t1")))
     return near.withColumn("ratio", either).filter(F.col("ratio") >= ratio).select(*keys, "t1", "t2")

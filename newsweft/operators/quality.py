@@ -11,6 +11,7 @@ from newsweft import rules
 from newsweft.functions.numbers import first_number, parse_numbers
 from newsweft.functions.scoring import hard_number_count
 from newsweft.functions.text import proper_nouns, strip
+from newsweft.session import durable
 
 _ITEM_MARK = "<!-- article_id:"
 
@@ -138,31 +139,42 @@ def number_conflicts(claims: DataFrame, scope: str, ratio: float = rules.CONFLIC
     value = first_number(F.col("claim")) if parity else F.coalesce(
         F.get(parse_numbers(F.col("claim")), F.lit(0)), first_number(F.col("claim"))
     )
+    # Claims are cut out of long texts, so they are stored once and read back for each step.
+    claims = durable(claims.select(scope, "type", "article", "ord", "claim"))
     rows = claims.filter(F.col("type") != rules.CLAIM_DATE).withColumn("v", value).filter("v > 0")
     later = Window.partitionBy(scope, "type").orderBy(F.desc("ord")).rowsBetween(Window.unboundedPreceding, -1)
     opens = rows.withColumn("hi", F.max("v").over(later)).withColumn("lo", F.min("v").over(later)).filter(
         (F.col("hi") / F.col("v") > ratio) | (F.col("v") / F.col("lo") > ratio)
     )
-    rank = F.row_number().over(Window.partitionBy(scope, "type").orderBy("ord"))
-    heads = opens.withColumn("r", rank)
-    wanted = limit
+    of_type = Window.partitionBy(scope, "type")
+    ranked = opens.drop("hi", "lo").withColumn("most", F.count("*").over(of_type)).withColumn(
+        "r", F.row_number().over(of_type.orderBy("ord"))
+    )
     right = rows.select(scope, "type", F.col("ord").alias("ord_b"), F.col("article").alias("article_b"),
                         F.col("claim").alias("claim_b"), F.col("v").alias("v_b"))
+    nearest = F.row_number().over(Window.partitionBy(scope, "type", "ord_a").orderBy("ord_b"))
+    stored, wanted = 16, 1
+    heads = durable(ranked.filter(F.col("r") <= stored))
     while True:
         pairs = heads.filter(F.col("r") <= wanted).select(
-            scope, "type", "r", F.col("ord").alias("ord_a"), F.col("article").alias("article_a"),
+            scope, "type", F.col("ord").alias("ord_a"), F.col("article").alias("article_a"),
             F.col("claim").alias("claim_a"), F.col("v").alias("v_a"),
         ).join(right, [scope, "type"]).filter(
             (F.col("ord_b") > F.col("ord_a")) & (F.col("article_a") != F.col("article_b"))
             & (F.greatest("v_a", "v_b") / F.least("v_a", "v_b") > ratio)
         )
-        # A claim whose only far values belong to its own article yields no pair, so look further
-        # where a type has fewer pairs than needed and more claims to try.
+        pairs = durable(pairs.withColumn("_n", nearest).filter(F.col("_n") <= limit).drop("_n"))
+        # A type with too few pairs and more claims to try is looked at further.
         found = pairs.groupBy(scope, "type").agg(F.count("*").alias("n"))
-        more = heads.groupBy(scope, "type").agg(F.max("r").alias("most")).join(found, [scope, "type"], "left")
-        if more.filter((F.col("most") > wanted) & (F.coalesce("n", F.lit(0)) < limit)).isEmpty():
+        short = heads.groupBy(scope, "type").agg(F.max("most").alias("most")).join(found, [scope, "type"], "left").filter(
+            (F.col("most") > wanted) & (F.coalesce("n", F.lit(0)) < limit)
+        )
+        if short.isEmpty():
             break
         wanted *= 16
+        if wanted > stored:
+            stored = wanted
+            heads = durable(ranked.filter(F.col("r") <= stored))
     kinds = F.array(*[F.lit(k) for k, _ in rules.CLAIM_PATTERNS])
     first_kind = claims.groupBy(scope, "type").agg(F.min("ord").alias("kind_ord"))
     ordered = pairs.join(first_kind, [scope, "type"]).withColumn(

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsweft import rules
+from newsweft.session import durable
 
 
 PIECES_PER_TASK = 512
@@ -66,6 +69,7 @@ def session_gate(triggers: DataFrame, key: str, ts: str = "ts", guard_hours: int
     guard = guard_hours * 3600
     log = triggers.select(key, F.col(ts).alias("ts")).withColumn("session", session_number(F.col("ts")))
     log = log.withColumn("into", _seconds_into_session(F.col("ts"), F.col("session")))
+    # One row per key and session, stored because every part below starts from it.
     per_session = log.groupBy(key, "session").agg(
         F.min("ts").alias("first"),
         F.min(F.when(F.col("into") >= guard, F.col("ts"))).alias("late"),
@@ -82,6 +86,7 @@ def session_gate(triggers: DataFrame, key: str, ts: str = "ts", guard_hours: int
         # Pieces are independent, so any run of whole pieces may be walked together.
         "piece", F.floor(F.col("piece") / PIECES_PER_TASK)
     )
+    per_session = durable(per_session)
     simple = per_session.filter("length = 1").select(key, "session", F.col("first").alias("ts"))
     chained = per_session.filter("length > 1")
     early = log.filter(F.col("into") < guard).join(
@@ -92,15 +97,21 @@ def session_gate(triggers: DataFrame, key: str, ts: str = "ts", guard_hours: int
         .unionByName(chained.filter("not free and late is not null").select(key, "piece", "session", F.col("late").alias("ts")))
     )
 
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ts")
-        kept, last_ts, last_session = [], None, None
-        for k, session, when in zip(rows[key], rows["session"], rows["ts"]):
-            if last_ts is not None and (session == last_session or (when - last_ts).total_seconds() < guard):
-                continue
-            kept.append((k, session, when))
-            last_ts, last_session = when, session
-        return pd.DataFrame(kept, columns=[key, "session", "ts"])
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Rows arrive sorted by key, piece and time; what a piece has accepted carries over batches.
+        place, last, last_session = None, 0, -1
+        for rows in batches:
+            keep = []
+            micros = rows["ts"].to_numpy().astype("datetime64[us]").astype("int64")
+            sessions = rows["session"].tolist()
+            for i, here in enumerate(zip(rows[key].tolist(), rows["piece"].tolist())):
+                session = sessions[i]
+                if here == place and (session == last_session or micros[i] - last < guard * 1_000_000):
+                    continue
+                keep.append(i)
+                place, last, last_session = here, micros[i], session
+            yield rows.iloc[keep][[key, "session", "ts"]]
 
     schema = f"{key} {triggers.schema[key].dataType.simpleString()}, session long, ts timestamp_ntz"
-    return simple.unionByName(cands.groupBy(key, "piece").applyInPandas(walk, schema))
+    sorted_pieces = cands.repartition(key, "piece").sortWithinPartitions(key, "piece", "ts")
+    return simple.unionByName(sorted_pieces.mapInPandas(walk, schema))
