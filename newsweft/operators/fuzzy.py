@@ -43,40 +43,39 @@ def similar_titles(titles: DataFrame, keys: Sequence[str], ratio: float = rules.
     """
     keys = list(keys)
     slack = 1.0 - ratio
-    base = titles.select(*keys, "title_key").withColumn("n", F.length("title_key"))
-    edits = _edits(F.col("n"), slack)
-    short = base.withColumn("d", edits).withColumn("q", _gram_length(F.col("n"), F.col("d")))
-    piece = (F.col("n") / (F.col("d") + 1))
-    starts = F.transform(F.sequence(F.lit(0), F.col("d")), lambda i: F.floor(i * piece).cast("int"))
+    base = titles.select(*keys, "title_key").withColumn("_n", F.length("title_key"))
+    edits = _edits(F.col("_n"), slack)
+    short = base.withColumn("_d", edits).withColumn("_q", _gram_length(F.col("_n"), F.col("_d")))
+    piece = F.col("_n") / (F.col("_d") + 1)
+    starts = F.transform(F.sequence(F.lit(0), F.col("_d")), lambda i: F.floor(i * piece).cast("int"))
     shorter = short.select(
-        *keys, F.col("title_key").alias("t1"), F.col("n").alias("n1"), "q", "d",
-        F.explode(F.array_distinct(starts)).alias("at"),
+        *keys, F.col("title_key").alias("t1"), F.col("_n").alias("_n1"), "_q",
+        F.explode(F.array_distinct(starts)).alias("_at1"),
     ).select(
-        *keys, "t1", "n1", "d", "q",
-        F.expr("substring(t1, at + 1, q)").alias("gram"),
-        F.floor(F.col("at") / POSITION_STEP).cast("int").alias("place"), F.col("at").alias("at1"),
+        *keys, "t1", "_n1", "_q", "_at1", F.expr("substring(t1, _at1 + 1, _q)").alias("_gram"),
+        F.floor(F.col("_at1") / POSITION_STEP).cast("int").alias("_place"),
     )
-    # A longer title looks up the grams of every gram length that shorter partners may use.
-    low = F.ceil(F.col("n") * ((1 - slack) / (1 + slack)) - 1e-9).cast("int")
+    # A longer title looks up the grams of every gram length that shorter partners may use, at every
+    # place they may come from: at most all edits before it inserted characters, or half deleted some.
+    low = F.ceil(F.col("_n") * ((1 - slack) / (1 + slack)) - 1e-9).cast("int")
     lengths = F.array_distinct(
-        F.transform(F.sequence(F.greatest(low, F.lit(1)), F.col("n")), lambda m: _gram_length(m, _edits(m, slack)))
+        F.transform(F.sequence(F.greatest(low, F.lit(1)), F.col("_n")), lambda m: _gram_length(m, _edits(m, slack)))
     )
-    probes = base.withColumn("d2", edits).withColumn("q", F.explode(lengths)).filter("n >= q").select(
-        *keys, F.col("title_key").alias("t2"), F.col("n").alias("n2"), "q", "d2",
-        F.explode(F.sequence(F.lit(0), F.col("n") - F.col("q"))).alias("at"),
+    at, d2 = F.col("_at2"), F.col("_d2")
+    probes = base.withColumn("_d2", edits).withColumn("_q", F.explode(lengths)).filter("_n >= _q").select(
+        *keys, F.col("title_key").alias("t2"), F.col("_n").alias("_n2"), "_q", "_d2",
+        F.explode(F.sequence(F.lit(0), F.col("_n") - F.col("_q"))).alias("_at2"),
     ).select(
-        *keys, "t2", "n2", "q", F.expr("substring(t2, at + 1, q)").alias("gram"),
-        F.explode(
-            F.sequence(
-                F.greatest(F.floor((F.col("at") - F.col("d2")) / POSITION_STEP), F.lit(0)).cast("int"),
-                F.floor((F.col("at") + F.col("d2") / 2) / POSITION_STEP).cast("int"),
-            )
-        ).alias("place"), "at",
+        *keys, "t2", "_n2", "_q", "_at2", F.expr("substring(t2, _at2 + 1, _q)").alias("_gram"),
+        F.explode(F.sequence(
+            F.greatest(F.floor((at - d2) / POSITION_STEP), F.lit(0)).cast("int"),
+            F.floor((at + d2 / 2) / POSITION_STEP).cast("int"),
+        )).alias("_place"),
     )
-    allowed, longer = (F.col("n1") + F.col("n2")) * slack + 1e-9, F.col("n2") - F.col("n1")
-    shift = F.col("at") - F.col("at1")
-    candidates = shorter.join(probes, [*keys, "q", "gram", "place"]).filter(
-        ((F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("t1") < F.col("t2"))))
+    allowed, longer = (F.col("_n1") + F.col("_n2")) * slack + 1e-9, F.col("_n2") - F.col("_n1")
+    shift = F.col("_at2") - F.col("_at1")
+    candidates = shorter.join(probes, [*keys, "_q", "_gram", "_place"]).filter(
+        ((F.col("_n1") < F.col("_n2")) | ((F.col("_n1") == F.col("_n2")) & (F.col("t1") < F.col("t2"))))
         & (longer <= allowed) & (shift <= (allowed + longer) / 2) & (shift >= (longer - allowed) / 2)
     )
     # A pair is found through many pieces. Stored as one row first, or the optimizer would move the
