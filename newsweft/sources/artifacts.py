@@ -29,12 +29,14 @@ def read_json_artifacts(spark: SparkSession, path: str, schema: str, pattern: st
     """One JSON object per file with ``path, run_key, artifact_status``; a damaged file has status
     ``invalid`` and null fields. Older files may lack fields, which are null too."""
     fields = StructType([*StructType.fromDDL(schema).fields, StructField("_corrupt", StringType())])
-    raw = spark.read.schema(fields).option("multiLine", True).option("mode", "PERMISSIVE").option(
-        "columnNameOfCorruptRecord", "_corrupt"
-    ).option("pathGlobFilter", pattern).json(path)
-    return raw.select(
-        "*", F.input_file_name().alias("path"), run_key_of(F.input_file_name()).alias("run_key"),
-        F.when(F.col("_corrupt").isNotNull(), "invalid").otherwise("present").alias("artifact_status"),
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    files = spark.read.text(path, wholetext=True, pathGlobFilter=pattern)
+    parsed = files.select(
+        F.from_json("value", fields, options).alias("j"), F.input_file_name().alias("path")
+    )
+    return parsed.select(
+        "j.*", "path", run_key_of(F.col("path")).alias("run_key"),
+        F.when(F.col("j").isNull() | F.col("j._corrupt").isNotNull(), "invalid").otherwise("present").alias("artifact_status"),
     ).drop("_corrupt")
 
 
