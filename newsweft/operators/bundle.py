@@ -12,6 +12,7 @@ from newsweft.functions.text import bundle_title_key, leading_int
 from newsweft.operators.evidence import primary_source
 from newsweft.operators.fuzzy import both_ways, similar_titles
 from newsweft.operators.greedy import keep_first
+from newsweft.session import durable
 
 ITEM = ("article_id", "title", "url", "publisher", "score", "evidence_complete", "source_system",
         "source_artifact_date", "freshness_label")
@@ -88,6 +89,7 @@ def dedupe_bundle(items: DataFrame, first_source: str, date: str = "date", limit
     rows = items.withColumn("url_key", F.lower(F.trim(F.coalesce("url", F.lit(""))))).filter("url_key <> ''").withColumn(
         "title_key", bundle_title_key(F.col("title"))
     ).withColumn("ord", order)
+    rows = durable(rows)
     titles = rows.filter("title_key <> ''").select(date, "title_key").distinct()
     pairs = both_ways(similar_titles(titles, [date]), [date])
     kept = keep_first(rows.select("id", "ord", date, "url_key", "title_key"), pairs, date, **sizes)
@@ -111,12 +113,14 @@ def enrich_context(items: DataFrame, contexts: DataFrame, date: str = "date") ->
         date, "pos", F.lower(F.trim("url")).alias("url_key"), bundle_title_key(F.col("title")).alias("title_key"),
         F.struct(*fields).alias("ctx"),
     )
+    offered = durable(offered)
     best = F.min_by(F.struct("pos", "ctx"), "pos")
     by_url = offered.groupBy(date, "url_key").agg(best.alias("u"))
     by_title = offered.filter("title_key <> ''").groupBy(date, "title_key").agg(best.alias("c"))
     keyed = items.withColumn("url_key", F.lower(F.trim(F.coalesce("url", F.lit(""))))).withColumn(
         "title_key", bundle_title_key(F.col("title"))
     )
+    keyed = durable(keyed)
     wanted = keyed.filter("title_key <> ''").select(date, "title_key").distinct()
     both = wanted.unionByName(by_title.select(date, "title_key")).distinct()
     near = both_ways(similar_titles(both, [date]), [date]).select(

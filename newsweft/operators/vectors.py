@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from newsweft import rules
 from newsweft.operators.greedy import complete_link
+from newsweft.session import durable
 
 BLOCK_ROWS = 2048
 PIVOTS = 32
@@ -81,7 +82,9 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, keys: Seq
     """
     keys = list(keys)
     radius = float(np.sqrt(max(0.0, 2.0 - 2.0 * threshold)))
-    left, right = left.select(*keys, "id", "vec"), right.select(*keys, "id", "vec")
+    # Each side is read several times below, so it is stored once without its history.
+    right = durable(right.select(*keys, "id", "vec"))
+    left = right if same else durable(left.select(*keys, "id", "vec"))
     sizes_r = right.groupBy(*keys).agg(F.count("*").alias("n_r"))
     sizes = left.groupBy(*keys).agg(F.count("*").alias("n_l")).join(sizes_r, keys).withColumn(
         "big", F.greatest("n_l", "n_r") > block_rows
@@ -90,10 +93,10 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, keys: Seq
     points = _pivot_rows(right.filter("big"), pivots)
     if len(points):
         whole = F.lit(-1)
-        left = _with_cells(left.filter("big"), points, radius, outer=True).unionByName(
+        left = durable(_with_cells(left.filter("big"), points, radius, outer=True)).unionByName(
             left.filter("not big").withColumn("cell", whole)
         )
-        right = _with_cells(right.filter("big"), points, radius, outer=False).unionByName(
+        right = durable(_with_cells(right.filter("big"), points, radius, outer=False)).unionByName(
             right.filter("not big").withColumn("cell", whole)
         )
     else:

@@ -9,6 +9,7 @@ from newsweft.operators import selection as K
 from newsweft.plans.articles import SELECTION, sql_list
 from newsweft.plans.q_scoring import SCORED_SQL, scored
 from newsweft.plans.registry import query, table
+from newsweft.session import durable
 
 COLUMNS = ["id", "run_key", "category", "score", "feed_idx", "entry_idx"]
 _QUOTA = "CASE category WHEN 'en' THEN 6 WHEN 'fr' THEN 4 WHEN 'de' THEN 3 END"
@@ -19,6 +20,11 @@ def pool(spark: SparkSession, sf: str) -> DataFrame:
     return scored(spark, sf).select(*COLUMNS)
 
 
+def stored_pool(spark: SparkSession, sf: str) -> DataFrame:
+    """The scored candidates as a small table, for jobs that look at them more than once."""
+    return durable(pool(spark, sf))
+
+
 @query("bucket_top_k", f"""WITH {SCORED_SQL} SELECT id, run_key, category, score FROM scored
   WHERE category IN ('en', 'fr', 'de')
   QUALIFY row_number() OVER (PARTITION BY run_key, category ORDER BY {_ORDER}) <= 3 * {_QUOTA}""")
@@ -45,13 +51,13 @@ _KEPT = f"""{SCORED_SQL}, kept AS (SELECT s.*, CASE WHEN id % 5 = 0 THEN id % 7
   FROM scored s JOIN labels l ON s.id = l.doc_id WHERE l.quality = 1)"""
 
 
-def kept(spark: SparkSession, sf: str) -> DataFrame:
-    return K.apply_decisions(pool(spark, sf), decisions(spark, sf), ["id"])
+def kept(spark: SparkSession, sf: str, candidates: DataFrame) -> DataFrame:
+    return K.apply_decisions(candidates, decisions(spark, sf), ["id"])
 
 
 @query("apply_decisions", f"WITH {_KEPT} SELECT id, ai_score, ai_reason FROM kept")
 def apply_decisions(spark: SparkSession, sf: str) -> DataFrame:
-    return kept(spark, sf).select("id", "ai_score", "ai_reason")
+    return kept(spark, sf, pool(spark, sf)).select("id", "ai_score", "ai_reason")
 
 
 _CHOSEN = f"""{_KEPT},
@@ -67,7 +73,8 @@ sel AS (SELECT * FROM chosen UNION ALL SELECT * FROM fill)"""
 
 
 def selected(spark: SparkSession, sf: str) -> DataFrame:
-    return K.quota_with_floor(kept(spark, sf), pool(spark, sf), "run_key", SELECTION)
+    candidates = stored_pool(spark, sf)
+    return K.quota_with_floor(kept(spark, sf, candidates), candidates, "run_key", SELECTION)
 
 
 @query("quota_with_floor", f"WITH {_CHOSEN} SELECT id, run_key, category, ai_score FROM sel")
@@ -79,7 +86,7 @@ def quota_with_floor(spark: SparkSession, sf: str) -> DataFrame:
   WHERE {_QUOTA} IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY run_key, category ORDER BY {_ORDER}) <= {_QUOTA}""")
 def fallback_rank(spark: SparkSession, sf: str) -> DataFrame:
-    return K.fallback_selection(pool(spark, sf), "run_key", SELECTION).select("id", "run_key", "ai_score", "triage_mode")
+    return K.fallback_selection(stored_pool(spark, sf), "run_key", SELECTION).select("id", "run_key", "ai_score", "triage_mode")
 
 
 # Strict decisions leave some runs thin, which is what coverage repair is for.
@@ -88,9 +95,9 @@ _THIN = f"""{SCORED_SQL}, thin AS (SELECT run_key, id, category, score, (id % 10
   QUALIFY row_number() OVER (PARTITION BY run_key, category ORDER BY ai_score DESC, {_ORDER}) <= 2)"""
 
 
-def thin(spark: SparkSession, sf: str) -> DataFrame:
+def thin(spark: SparkSession, sf: str, candidates: DataFrame) -> DataFrame:
     toxic = table(spark, sf, "labels").filter("toxic = 1").select(F.col("doc_id").alias("id"))
-    rows = pool(spark, sf).join(toxic, "id").withColumn("ai_score", (F.col("id") % 10).cast("double"))
+    rows = candidates.join(toxic, "id").withColumn("ai_score", (F.col("id") % 10).cast("double"))
     return K.top_k(rows, ["run_key", "category"], "ai_score", 2, [F.desc("score"), "feed_idx", "entry_idx"])
 
 
@@ -103,8 +110,8 @@ def coverage_sql(t: str) -> str:
 @query("coverage_problems", f"""WITH {_THIN} SELECT run_key, items, array_to_string(missing, ',') AS missing,
   items >= 8 AND len(missing) = 0 AS covered FROM {coverage_sql('thin')}""")
 def coverage_problems(spark: SparkSession, sf: str) -> DataFrame:
-    rows = pool(spark, sf)
-    return K.coverage(thin(spark, sf), rows, "run_key", SELECTION).withColumn("missing", F.array_join("missing", ","))
+    rows = stored_pool(spark, sf)
+    return K.coverage(thin(spark, sf, rows), rows, "run_key", SELECTION).withColumn("missing", F.array_join("missing", ","))
 
 
 @query("coverage_backfill", f"""WITH RECURSIVE {_THIN}, cov AS {coverage_sql('thin')}, pcov AS {coverage_sql('scored')},
@@ -123,7 +130,8 @@ SELECT id, run_key, ai_score, 'selected' AS triage_mode FROM thin
 UNION ALL SELECT id, run_key, score, 'coverage_backfill' FROM c1 WHERE musthave
 UNION ALL SELECT id, run_key, score, 'coverage_backfill' FROM rest WHERE rg <= 8 - items - m""")
 def coverage_backfill(spark: SparkSession, sf: str) -> DataFrame:
-    return K.coverage_backfill(thin(spark, sf), pool(spark, sf), "run_key", SELECTION).select(
+    rows = stored_pool(spark, sf)
+    return K.coverage_backfill(thin(spark, sf, rows), rows, "run_key", SELECTION).select(
         "id", "run_key", "ai_score", "triage_mode"
     )
 

@@ -69,7 +69,8 @@ def stream_deliver_once(spark: SparkSession, sf: str) -> DataFrame:
     return J.latest_version(spark, f"{base}/state", schema).select("run_id", "status")
 
 
-@query("stream_issue_alerts")
+@query("stream_issue_alerts", """SELECT user_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, event_type AS signature FROM events
+  QUALIFY event_type <> coalesce(lag(event_type) OVER (PARTITION BY user_id ORDER BY ts), '')""")
 def stream_issue_alerts(spark: SparkSession, sf: str) -> DataFrame:
     stream = event_stream(spark, sf).select("user_id", "at", F.col("event_type").alias("signature"))
     return J.drain(J.issue_alerts(stream, "user_id", "at", "signature")).select(

@@ -13,6 +13,7 @@ from newsweft.operators import sessions as S
 from newsweft.plans.articles import ARTICLES_SQL, articles
 from newsweft.plans.q_scoring import SCORED_SQL, scored
 from newsweft.plans.registry import query, table
+from newsweft.session import durable
 
 DAY = "2024-02-01"
 
@@ -148,9 +149,9 @@ def proposal_status(spark: SparkSession, sf: str) -> DataFrame:
 
 def archive_and_batch(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Older articles as the archive, one event per title key; the newer ones as one run."""
-    rows = articles(spark, sf).select(
+    rows = durable(articles(spark, sf).select(
         "id", "title", "published", event_title_key(F.col("title")).alias("key"), (F.col("id") % 96).alias("age")
-    )
+    ))
     old = rows.filter("age >= 48 and key <> ''")
     archive = old.groupBy("key").agg(
         F.min("id").alias("ord"), F.min_by("title", "id").alias("title"), F.max_by("title", "id").alias("latest_raw_title"),
@@ -229,11 +230,11 @@ def active_events(spark: SparkSession, sf: str) -> DataFrame:
 
 def weekly_inputs(spark: SparkSession, sf: str):
     """Runs of the article view with statuses drawn from their own articles."""
-    rows = scored(spark, sf).select(
+    rows = durable(scored(spark, sf).select(
         "id", "run_key", F.col("title").alias("headline"), F.col("score").alias("relevance_score"), "category",
         (F.length("fulltext") >= 300).alias("has_fulltext"),
         F.when(F.length("fulltext") < 1000, F.array(F.lit("?"))).otherwise(F.array().cast("array<string>")).alias("unknowns"),
-    )
+    ))
     runs = rows.groupBy("run_key").agg(F.count("*").alias("n"), F.max("id").alias("last_id")).select(
         "run_key", F.when(F.col("last_id") % 5 != 0, "present").otherwise("missing").alias("artifact_bundle_status"),
         F.when(F.col("last_id") % 7 != 0, "2024-02-01").alias("delivered_at"),
