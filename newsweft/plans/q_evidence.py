@@ -10,10 +10,12 @@ from newsweft.functions import numbers as N
 from newsweft.functions import salvage as V
 from newsweft.functions import text as T
 from newsweft.functions.scoring import evidence_notice as notice
+from newsweft.operators import backfill as BF
 from newsweft.operators import evidence as E
 from newsweft.operators import quality as Q
+from newsweft.operators.backfill import with_numbered_text
 from newsweft.plans.articles import ARTICLES_SQL, articles, as_of
-from newsweft.plans.q_ingest import _WS
+from newsweft.plans.q_ingest import _CLEAN, _MAIN, _WS
 from newsweft.plans.q_scoring import HARD_SQL, nouns_sql
 from newsweft.plans.registry import query, table
 
@@ -346,15 +348,17 @@ def split_items(spark: SparkSession, sf: str) -> DataFrame:
     return Q.split_items(table(spark, sf, "documents").select("doc_id", text.alias("md")), ["doc_id"], "md")
 
 
-@query("layout_check")
+@query("layout_check", """SELECT doc_id, doc_id % 9 AS kind, CASE doc_id % 9 WHEN 0 THEN '' WHEN 1 THEN 'order' WHEN 2 THEN 'repeated:💻 科技与 AI'
+  WHEN 3 THEN 'missing:💰 财经市场' WHEN 4 THEN 'leak' WHEN 5 THEN 'ids' WHEN 6 THEN 'labels:' || doc_id WHEN 7 THEN 'citation:' || doc_id
+  ELSE 'open_fence' END AS errors FROM documents""")
 def layout_check(spark: SparkSession, sf: str) -> DataFrame:
     """Drafts built around each document, whole or damaged in one of nine ways."""
     d = F.col("doc_id")
     kind = d % 9
     mark = F.concat(F.lit("<!-- article_id:"), F.when(kind == 5, "other").otherwise(d.cast("string")), F.lit(" -->\n"))
     labels = F.when(kind == 6, "【核心事实】").otherwise("【核心事实】【深层逻辑】【后市/影响】")
-    cite = F.when(kind == 7, "").otherwise("\n> 📰 来源：x（https://example.org/）\n")
-    item = F.concat(mark, F.lit("**🔥 t**\n"), labels, F.regexp_replace("text", r"(?m)^(#|\s*```)", "$1"), cite)
+    cite = F.when(kind == 7, "\n").otherwise("\n> 📰 来源：x（https://example.org/）\n")
+    item = F.concat(mark, F.lit("**🔥 t**\n"), labels, F.col("text"), cite)
     world, tech, money = F.lit("## 🌍 国际要闻\n"), F.lit("## 💻 科技与 AI\n"), F.lit("## 💰 财经市场\n")
     text = F.concat(
         F.when(kind == 1, tech).otherwise(world), item,
@@ -448,6 +452,41 @@ def numbered_lines(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("numbered_join", """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls, text, source FROM documents)
+  SELECT doc_id, coalesce(CASE WHEN regexp_matches(ls[1], '^[A-Za-z]') AND doc_id % 3 <> 0 THEN
+    regexp_replace(regexp_replace(ls[1], '^\s+|\s+$', '', 'g'), '^[ "“”]+|[ "“”]+$', '', 'g') END, substr(text, 1, 80)) AS line
+  FROM l WHERE doc_id % 5 <> 1""")
+def numbered_join(spark: SparkSession, sf: str) -> DataFrame:
+    """One sentence per item from a numbered answer, the head of the text where the answer has none."""
+    d = F.col("doc_id")
+    first = F.element_at(F.split("text", "\n", 2), 1)
+    said = F.when(d % 5 == 1, F.lit("skip")).when(F.rlike(first, F.lit("^[A-Za-z]")) & (d % 3 != 0), first)
+    docs = table(spark, sf, "documents").select("doc_id", F.lit(1).alias("idx"), "text", F.concat(F.lit("1. "), said).alias("raw"))
+    lines = docs.filter("raw is not null").select("doc_id", F.posexplode(V.numbered_lines(F.col("raw"))).alias("pos", "l")).select(
+        "doc_id", "pos", "l.idx", "l.text"
+    )
+    return with_numbered_text(docs.select("doc_id", "idx", "text"), lines, ["doc_id"], "text").select("doc_id", "line")
+
+
+@query("backfill_texts", f"""WITH p AS (SELECT page_id, url, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)) AS host,
+    {_WS.format(x=_CLEAN.format(x=_MAIN))} AS body FROM pages),
+  ok AS (SELECT * FROM p WHERE body <> '' AND (host = 'example.org' OR host LIKE '%.example.org')),
+  t AS (SELECT doc_id AS id FROM documents WHERE source IN ('src0', 'src1')),
+  b AS (SELECT t.id, min(page_id) AS page_id FROM t JOIN ok ON ok.page_id % 50 = t.id % 50 GROUP BY t.id)
+  SELECT t.id, ok.page_id AS search_rank, ok.host AS hostname, substr(ok.body, 1, 2800) AS fulltext,
+    sha256(trim(substr(ok.body, 1, 2800))) AS content_sha256 FROM t LEFT JOIN b USING (id) LEFT JOIN ok ON ok.page_id = b.page_id""")
+def backfill_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Articles of reference sources, with pages of the same residue as search results."""
+    targets = articles(spark, sf).filter("reference").select("id", "run_key", F.lit(None).cast("string").alias("fulltext"))
+    pages = table(spark, sf, "pages").select(
+        (F.col("page_id") % 50).alias("slot"), F.col("page_id").alias("search_rank"), "url", F.lit("t").alias("title"),
+        F.lit("s").alias("source"), T.extract_main_text(F.col("html")).alias("text"),
+    )
+    results = targets.select("id", (F.col("id") % 50).alias("slot")).join(pages, "slot")
+    out = BF.backfill_texts(targets, results, as_of(), domains=("example.org",))
+    return out.select("id", "backfill.search_rank", "backfill.hostname", "fulltext", "backfill.content_sha256")
+
+
 @query("cited_in_corpus", """WITH p AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host FROM pages)
   SELECT page_id, host, url FROM p WHERE url IN (SELECT url FROM p WHERE page_id % 3 <> 1)
   QUALIFY row_number() OVER (PARTITION BY host ORDER BY page_id) = 1""")
