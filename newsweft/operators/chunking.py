@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from newsweft import rules
-from newsweft.session import durable
+from newsweft.operators.ranges import running_number
 
 
 def _cut(raw: bytes, limit: int) -> list[str]:
@@ -93,23 +93,6 @@ def chunk_by_chars(text: Column, limit: int = rules.CHUNK_CHARS) -> Column:
     return F.aggregate(F.split(text, "\n\n"), start, step, finish)
 
 
-def running_number(df: DataFrame, scope: Sequence[str], order: Sequence[str], name: str = "number") -> DataFrame:
-    """Row number per scope from 0, counted in parallel also within one big scope.
-
-    Rows are laid out in ranges of scope and order. Each range counts its own rows, the totals of
-    the ranges before are added; only one total per range and scope is gathered.
-    """
-    scope = list(scope)
-    ranges = durable(df.repartitionByRange(*scope, *order).withColumn("_range", F.spark_partition_id()))
-    before = Window.partitionBy(*scope).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = ranges.groupBy(*scope, "_range").agg(F.count("*").alias("_n"))
-    offsets = totals.select(*scope, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy(*scope, "_range").orderBy(*order)) - 1
-    return ranges.withColumn("_inside", inside).join(offsets, [*scope, "_range"]).withColumn(
-        name, F.col("_before") + F.col("_inside")
-    ).drop("_range", "_inside", "_before")
-
-
 def batch_ids(df: DataFrame, scope: Sequence[str], order: Sequence[str], size: int = rules.BATCH_SIZE) -> DataFrame:
     """Consecutive groups of ``size`` rows per scope as ``batch`` = 0, 1, ..."""
     numbered = running_number(df, scope, order, "_number")

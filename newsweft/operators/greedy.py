@@ -285,10 +285,12 @@ def accept_rounds(entries: DataFrame, scope: str) -> DataFrame:
     whatever happens to the rows before."""
     state = durable(entries.withColumn("taken", F.lit(None).cast("boolean")))
     in_feed = Window.partitionBy(scope, "feed").orderBy("ord")
+    most = state.agg(F.max("cap")).first()[0]
     while not state.filter("taken is null").isEmpty():
         alive = state.filter("taken is null or taken")
         room = (
-            alive.withColumn("r", F.row_number().over(in_feed)).filter("r <= cap and taken is null")
+            alive.withColumn("r", F.row_number().over(in_feed)).filter((F.col("r") <= most) & (F.col("r") <= F.col("cap")))
+            .filter("taken is null")
             .select("id", F.lit(True).alias("room"))
         )
         full = alive.filter("taken").groupBy(scope, "feed", "cap").agg(F.count("*").alias("n")).filter(

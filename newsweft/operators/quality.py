@@ -11,6 +11,7 @@ from newsweft import rules
 from newsweft.functions.numbers import first_number, parse_numbers
 from newsweft.functions.scoring import hard_number_count
 from newsweft.functions.text import proper_nouns, strip
+from newsweft.operators.ranges import later_extremes
 from newsweft.session import durable
 
 _ITEM_MARK = "<!-- article_id:"
@@ -142,19 +143,20 @@ def number_conflicts(claims: DataFrame, scope: str, ratio: float = rules.CONFLIC
     # Claims are cut out of long texts, so they are stored once and read back for each step.
     claims = durable(claims.select(scope, "type", "article", "ord", "claim"))
     rows = claims.filter(F.col("type") != rules.CLAIM_DATE).withColumn("v", value).filter("v > 0")
-    later = Window.partitionBy(scope, "type").orderBy(F.desc("ord")).rowsBetween(Window.unboundedPreceding, -1)
-    opens = rows.withColumn("hi", F.max("v").over(later)).withColumn("lo", F.min("v").over(later)).filter(
+    opens = later_extremes(rows, [scope, "type"], "ord", "v").filter(
         (F.col("hi") / F.col("v") > ratio) | (F.col("v") / F.col("lo") > ratio)
-    )
-    of_type = Window.partitionBy(scope, "type")
-    ranked = opens.drop("hi", "lo").withColumn("most", F.count("*").over(of_type)).withColumn(
-        "r", F.row_number().over(of_type.orderBy("ord"))
-    )
+    ).drop("hi", "lo")
+    most = opens.groupBy(scope, "type").agg(F.count("*").alias("most"))
+    ranked = opens.withColumn("r", F.row_number().over(Window.partitionBy(scope, "type").orderBy("ord")))
+
+    def first_heads(count: int) -> DataFrame:
+        return durable(ranked.filter(F.col("r") <= count).join(most, [scope, "type"]))
+
     right = rows.select(scope, "type", F.col("ord").alias("ord_b"), F.col("article").alias("article_b"),
                         F.col("claim").alias("claim_b"), F.col("v").alias("v_b"))
     nearest = F.row_number().over(Window.partitionBy(scope, "type", "ord_a").orderBy("ord_b"))
     stored, wanted = 16, 1
-    heads = durable(ranked.filter(F.col("r") <= stored))
+    heads = first_heads(stored)
     while True:
         pairs = heads.filter(F.col("r") <= wanted).select(
             scope, "type", F.col("ord").alias("ord_a"), F.col("article").alias("article_a"),
@@ -174,7 +176,7 @@ def number_conflicts(claims: DataFrame, scope: str, ratio: float = rules.CONFLIC
         wanted *= 16
         if wanted > stored:
             stored = wanted
-            heads = durable(ranked.filter(F.col("r") <= stored))
+            heads = first_heads(stored)
     kinds = F.array(*[F.lit(k) for k, _ in rules.CLAIM_PATTERNS])
     first_kind = claims.groupBy(scope, "type").agg(F.min("ord").alias("kind_ord"))
     ordered = pairs.join(first_kind, [scope, "type"]).withColumn(

@@ -454,7 +454,7 @@ def numbered_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("numbered_join", """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls, text, source FROM documents)
   SELECT doc_id, coalesce(CASE WHEN regexp_matches(ls[1], '^[A-Za-z]') AND doc_id % 3 <> 0 THEN
-    regexp_replace(regexp_replace(ls[1], '^\s+|\s+$', '', 'g'), '^[ "“”]+|[ "“”]+$', '', 'g') END, substr(text, 1, 80)) AS line
+    regexp_replace(regexp_replace(ls[1], '^\\s+|\\s+$', '', 'g'), '^[ "“”]+|[ "“”]+$', '', 'g') END, substr(text, 1, 80)) AS line
   FROM l WHERE doc_id % 5 <> 1""")
 def numbered_join(spark: SparkSession, sf: str) -> DataFrame:
     """One sentence per item from a numbered answer, the head of the text where the answer has none."""
