@@ -13,7 +13,10 @@ from newsweft import rules
 from newsweft.operators.ranges import running_number
 
 
-def _cut(raw: bytes, limit: int) -> list[str]:
+_GAP = b"\n\n"
+
+
+def _cut(raw: bytes, limit: int) -> list[bytes]:
     """Pieces of at most ``limit`` bytes that never end inside a character."""
     out, start = [], 0
     while start < len(raw):
@@ -25,7 +28,7 @@ def _cut(raw: bytes, limit: int) -> list[str]:
             end = start + 1
             while end < len(raw) and raw[end] & 0xC0 == 0x80:
                 end += 1
-        out.append(raw[start:end].decode("utf-8"))
+        out.append(raw[start:end])
         start = end
     return out
 
@@ -36,28 +39,21 @@ def chunk_by_bytes(text: Column, limit: int = rules.CHUNK_BYTES) -> Column:
     @F.pandas_udf(ArrayType(StringType()))
     def pack(texts: pd.Series) -> pd.Series:
         def one(value: str) -> list[str]:
-            if len(value.encode("utf-8")) <= limit:
+            whole = value.encode("utf-8")
+            if len(whole) <= limit:
                 return [value]
-            chunks: list[str] = []
-            current: list[bytes] = []
-            size = 0
-            for para in (p.encode("utf-8") for p in value.split("\n\n")):
-                # An empty message takes a paragraph as it is, also after an empty one.
-                joined = size + 2 + len(para) if size else len(para)
-                if joined <= limit:
-                    current = [*current, para] if size else [para]
-                    size = joined
-                    continue
-                if size:
-                    chunks.append(b"\n\n".join(current).decode("utf-8"))
-                current, size = [], 0
-                if len(para) > limit:
-                    chunks.extend(_cut(para, limit))
+            messages: list[bytes] = []
+            growing = False
+            for para in whole.split(_GAP):
+                if growing and messages[-1] and len(messages[-1]) + len(_GAP) + len(para) <= limit:
+                    messages[-1] += _GAP + para
+                elif len(para) <= limit:
+                    messages.append(para)
+                    growing = True
                 else:
-                    current, size = [para], len(para)
-            if size:
-                chunks.append(b"\n\n".join(current).decode("utf-8"))
-            return chunks or [value]
+                    messages += _cut(para, limit)
+                    growing = False
+            return [m.decode("utf-8") for m in messages if m] or [value]
 
         return texts.map(one)
 

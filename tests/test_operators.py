@@ -18,30 +18,21 @@ def rows_of(rnd, n, start=0):
     return [("r", start + i, rnd.choice("wtfx"), float(rnd.randint(0, 9)), float(rnd.randint(0, 9)), 0, start + i) for i in range(n)]
 
 
-def walk_backfill(selected, pool):
-    def bad(rows):
-        have = [r[2] for r in rows]
-        return len(rows) < 8 or any(c not in have for c in RULE.required)
-
-    if not bad(selected) or bad(pool):
-        return {r[1] for r in selected}
-    result = list(selected)
-    counts = {c: sum(r[2] == c for r in result) for c in RULE.quota}
-    cands = sorted((r for r in pool if r not in result), key=lambda r: (-r[3], r[5], r[6]))
-    for c in RULE.required:
-        if not counts[c]:
-            for r in cands:
-                if r[2] == c and counts[c] < RULE.quota[c]:
-                    result.append(r)
-                    counts[c] += 1
-                    break
-    for r in cands:
-        if len(result) >= 8:
-            break
-        if r not in result and r[2] in RULE.quota and counts[r[2]] < RULE.quota[r[2]]:
-            result.append(r)
-            counts[r[2]] += 1
-    return {r[1] for r in result}
+def repaired(selected, pool):
+    """Ids after the repair: one wish per missing category, then the best rows with room up to eight."""
+    def passes(rows):
+        return len(rows) >= 8 and set(RULE.required) <= {r[2] for r in rows}
+
+    taken = list(selected)
+    if not passes(taken) and passes(pool):
+        ranked = sorted((r for r in pool if r not in taken), key=lambda r: (-r[3], r[5], r[6]))
+        absent = set(RULE.required) - {r[2] for r in taken}
+        wishes = [next(r for r in ranked if r[2] == c) for c in absent if any(r[2] == c for r in ranked)]
+        for r in wishes + ranked:
+            room = RULE.quota.get(r[2], 0) - [t[2] for t in taken].count(r[2])
+            if r not in taken and room > 0 and (r in wishes or len(taken) < 8):
+                taken.append(r)
+    return {r[1] for r in taken}
 
 
 def test_coverage_backfill_equals_walk(spark):
@@ -54,7 +45,7 @@ def test_coverage_backfill_equals_walk(spark):
             top += [r for r in pool if r[2] == c][: rnd.randint(0, q)]
         pools += pool
         selected += top
-        want |= {(f"r{run}", i) for i in walk_backfill(top, pool)}
+        want |= {(f"r{run}", i) for i in repaired(top, pool)}
     out = selection.coverage_backfill(spark.createDataFrame(selected, ROW), spark.createDataFrame(pools, ROW), "run", RULE)
     assert {(r.run, r.id) for r in out.collect()} == want
 
@@ -313,34 +304,24 @@ def test_handoffs(spark):
     assert got == {"a": (3, "pending", "t0", "p1"), "b": (3, "consumed", "t0", "p0"), "c": (2, "pending", "t0", "p0"), "n": (3, "pending", "now", "p1")}
 
 
-def walk_bytes(text, limit):
-    size = lambda s: len(s.encode())
-    if size(text) <= limit:
+def packed(text, limit):
+    weight = lambda t: len(t.encode())
+    if weight(text) <= limit:
         return [text]
-    chunks, current = [], ""
+    messages = [""]
     for para in text.split("\n\n"):
-        candidate = f"{current}\n\n{para}" if current else para
-        if size(candidate) <= limit:
-            current = candidate
-            continue
-        if current:
-            chunks.append(current)
-            current = ""
-        if size(para) > limit:
-            piece = ""
-            for ch in para:
-                if piece and size(piece + ch) > limit:
-                    chunks.append(piece)
-                    piece = ch
-                else:
-                    piece += ch
-            if piece:
-                chunks.append(piece)
+        if messages[-1] and weight(messages[-1] + "\n\n" + para) <= limit:
+            messages[-1] += "\n\n" + para
+        elif weight(para) <= limit:
+            messages.append(para)
         else:
-            current = para
-    if current:
-        chunks.append(current)
-    return chunks or [text]
+            messages.append("")
+            for ch in para:
+                if weight(messages[-1] + ch) > limit:
+                    messages.append("")
+                messages[-1] += ch
+            messages.append("")
+    return [m for m in messages if m] or [text]
 
 
 def test_chunks(spark):
@@ -349,7 +330,7 @@ def test_chunks(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     out = {r.i: (r.b, r.c) for r in df.select("i", chunking.chunk_by_bytes(F.col("t"), 40).alias("b"), chunking.chunk_by_chars(F.col("t"), 30).alias("c")).collect()}
     for i, t in enumerate(texts):
-        assert out[i][0] == walk_bytes(t, 40)
+        assert out[i][0] == packed(t, 40)
         assert all(len(c) <= 30 for c in out[i][1])
         assert "".join(out[i][1]).replace("\n\n", "") == t.replace("\n\n", "")
 
