@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from newsweft.session import durable
 
 # A run is walked in one task up to this many rows plus similar pairs.
-WALK_LIMIT = 400_000
+WALK_LIMIT = 2_000_000
 
 
 def _positions(ord_column: pd.Series) -> list[int]:
@@ -52,23 +53,20 @@ def complete_link(vertices: DataFrame, edges: DataFrame, scope: str, limit: int
     id_type = vertices.schema["id"].dataType.simpleString()
 
     def walk(nodes: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-        ids = nodes["id"].tolist()
-        near: dict = {i: [] for i in ids}
-        for a, b in zip(pairs["a"], pairs["b"]):
-            near[a].append(b)
-            near[b].append(a)
-        leader: dict = {}
-        size: Counter = Counter()
-        rank: dict = {}
-        for pos in _positions(nodes["ord"]):
-            me = ids[pos]
-            links = Counter(leader[n] for n in near[me] if n in leader)
-            full = [c for c, n in links.items() if n == size[c]]
-            mine = min(full, key=rank.__getitem__) if full else me
-            leader[me] = mine
-            size[mine] += 1
-            rank.setdefault(mine, len(rank))
-        return pd.DataFrame({"id": ids, "leader": [leader[i] for i in ids]})
+        # Rows by their place in the order; per row the places of the similar rows before it.
+        ids = nodes["id"].to_numpy()[_positions(nodes["ord"])]
+        place = pd.Series(np.arange(len(ids)), index=ids)
+        ends = np.sort(np.stack([place.loc[pairs[c]].to_numpy() for c in ("a", "b")], axis=1), axis=1)
+        ends = ends[np.argsort(ends[:, 1], kind="stable")]
+        bounds = np.searchsorted(ends[:, 1], np.arange(len(ids) + 1))
+        leader, size = np.arange(len(ids)), np.zeros(len(ids), dtype=np.int64)
+        for me in range(len(ids)):
+            clusters, links = np.unique(leader[ends[bounds[me]:bounds[me + 1], 0]], return_counts=True)
+            full = clusters[links == size[clusters]]
+            # Clusters are numbered by their opener, so the smallest number is the oldest one.
+            leader[me] = full[0] if len(full) else me
+            size[leader[me]] += 1
+        return pd.DataFrame({"id": ids, "leader": ids[leader]})
 
     placed = (
         linked.join(small, scope, "left_semi").groupBy(scope)
