@@ -147,12 +147,26 @@ def repetition_rules(
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, chars, symbols, lines, again, covered, longest = measure(batch.column("text"), least_words)
-            failed = (n < 10) | (100 * again > 20 * n)
-            kept = ~failed & (100 * covered <= most_covered * n) & (longest < longest_words)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), *map(pa.array, (n, chars, symbols, lines, again, failed, kept, covered, longest))],
-                names=[x.split()[0] for x in SCHEMA.split(", ")],
-            )
+            found = verdicts(batch.column("text"), least_words, most_covered, longest_words)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *map(pa.array, found)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
     return docs.select("doc_id", "text").mapInArrow(judge, SCHEMA)
+
+
+def verdicts(texts: pa.Array, least_words: int, most_covered: int, longest_words: int) -> list[np.ndarray]:
+    """The columns after ``doc_id``."""
+    n, chars, symbols, lines, again, covered, longest = measure(texts, least_words)
+    failed = (n < 10) | (100 * again > 20 * n)
+    kept = ~failed & (100 * covered <= most_covered * n) & (longest < longest_words)
+    return [n, chars, symbols, lines, again, failed, kept, covered, longest]
+
+
+def keep_clean(docs: DataFrame, least_words: int = LEAST_WORDS, most_covered: int = MOST_COVERED_PERCENT, longest_words: int = LONGEST_WORDS) -> DataFrame:
+    """The rows that ``repetition_rules`` keeps, with all their columns, by the same cases."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = verdicts(batch.column("text"), least_words, most_covered, longest_words)[6]
+            yield batch.filter(pa.array(kept))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -19,7 +19,7 @@ packed arrays, one row for each part and bucket.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -77,10 +77,10 @@ def unpack_places(docs: bytes, places: bytes) -> tuple[np.ndarray, np.ndarray]:
     return doc, pos
 
 
-def parts(docs: DataFrame, number: int) -> DataFrame:
-    """``doc_id`` and ``text`` dealt into parts; a null ``doc_id`` is a value like any other."""
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(number)).cast("int")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), part.alias("part")).repartition(number, "part")
+def parts(docs: DataFrame, number: int, carry: Sequence[str] = ()) -> DataFrame:
+    """``doc_id``, ``text`` and the columns to carry along, dealt into parts; a null ``doc_id`` is a value like any other."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
+    return own.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(number)).cast("int")).repartition(number, "part")
 
 
 def in_order(table: pa.Table) -> pa.Table:
@@ -392,19 +392,20 @@ def open_windows(dealt: DataFrame, verdicts: DataFrame, kind: Windows, number: i
     return met.groupBy("bucket").applyInArrow(meet, PLACE_DDL)
 
 
-def repeats(docs: DataFrame, kind: Windows, compare: Callable[[Open, Windows], np.ndarray], finish: Callable[[pa.Table, list[tuple[Slice, np.ndarray]]], pa.Table], ddl: str) -> DataFrame:
-    """Marks the units that repeated windows cover, and hands each part's texts and marks to ``finish``."""
+def repeats(docs: DataFrame, kind: Windows, compare: Callable[[Open, Windows], np.ndarray], finish: Callable[[pa.Table, Iterator[tuple]], pa.Table], ddl: str, carry: Sequence[str] = ()) -> DataFrame:
+    """Marks the units that repeated windows cover, and hands each part's texts and marks to ``finish``.
+
+    The columns to carry along are added to the result as they are.
+    """
     spark = docs.sparkSession
     number = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = parts(docs, number)
+    dealt = parts(docs, number, carry)
+    ddl = ", ".join([ddl, *(f"`{c}` {dict(docs.dtypes)[c]}" for c in carry)])
     again = found_again(dealt, kind, number)
     verdicts = neighbourhoods(dealt, again, kind, number)
     single = open_windows(dealt, verdicts, kind, number, compare)
-    names = [x.split()[0] for x in ddl.split(", ")]
 
     def close(table: pa.Table, found: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return finish(table, []).select(names)
         table = in_order(table)
         whole, window = places_of(found, WHOLE), places_of(found, WINDOW)
         buf, at = flat(table.column("text"))
@@ -422,7 +423,10 @@ def repeats(docs: DataFrame, kind: Windows, compare: Callable[[Open, Windows], n
                     np.add.at(steps, here + kind.width, -1)
                 yield i, data, places, x.at, np.cumsum(steps)[:-1] > 0
 
-        return finish(table, marked()).select(names)
+        done = finish(table, marked())
+        for c in carry:
+            done = done.append_column(c, table.column(c))
+        return done
 
     both = verdicts.unionByName(single.repartition(number, "part"))
     return dealt.groupBy("part").cogroup(both.groupBy("part")).applyInArrow(close, ddl)

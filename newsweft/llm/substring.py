@@ -7,7 +7,7 @@ and none is listed. A window of the wanted length is a repeat where an earlier p
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -96,11 +96,11 @@ def cut_words(table: pa.Table, marked: Iterator) -> pa.Table:
     return pa.table([table.column("doc_id").cast(pa.int64()), *(pa.chunked_array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
 
-def substring_dedup(docs: DataFrame, width: int = 20, seed: int = 8) -> DataFrame:
+def substring_dedup(docs: DataFrame, width: int = 20, seed: int = 8, carry: Sequence[str] = ()) -> DataFrame:
     """Each text without the words covered by a window of ``width`` words that also starts earlier.
 
     Earlier is a smaller ``doc_id``, or a smaller place in the same document. A null text has no words. Rows with one
     ``doc_id`` count as that document, each with its own places; a null ``doc_id`` comes after all others. Texts of fewer
-    words stay whole. Columns besides ``doc_id`` and ``text`` are not looked at.
+    words stay whole. Of other columns those to ``carry`` are passed on, the rest are not looked at.
     """
-    return repeats(docs, Windows(width, seed, words=True, same_text=True), windows_by_extension, cut_words, SCHEMA)
+    return repeats(docs, Windows(width, seed, words=True, same_text=True), windows_by_extension, cut_words, SCHEMA, carry)
