@@ -34,9 +34,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each class, once. One without an id stays unless its class has an id."""
-    first = near_duplicates(docs).where("doc_id <=> class_id").select(F.col("doc_id").alias("first")).distinct()
+    first = near_duplicates(docs).where("doc_id <=> class_id").select(F.col("doc_id").alias("first_id")).distinct()
     docs = of_documents(docs)
-    return docs.join(first, docs.doc_id.eqNullSafe(first.first), "left_semi").dropDuplicates(["doc_id", "text"])
+    return docs.join(first, docs.doc_id.eqNullSafe(first.first_id), "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
