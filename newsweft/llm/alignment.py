@@ -1,6 +1,6 @@
 """Benchmark passages in training texts: rare n-gram seeds, then local alignment.
 
-Of the word n-grams of each test item the rarer half, by the number of training texts that hold them, are its seeds. Where a seed
+Of the word n-grams of each test item the locally rarer ones, by the number of training texts that hold them, are its seeds. Where a seed
 stands in a training text, the words around it are aligned with the item (Smith-Waterman), so edited copies score too. The items go
 out in blocks of bounded size, each block against all texts; no text is moved.
 """
@@ -125,11 +125,16 @@ def copies_of(docs: DataFrame, ids: list[int | None], words: list[np.ndarray], s
     shorter = sorted({len(w) for w in words if len(w) < seed_words})
     keys = np.unique(key)
     texts_with = text_counts(docs, keys, seed_words, shorter)[np.searchsorted(keys, key)]
-    # The rarer half of each item, ties by hash; then by key for the look-up.
-    order = np.lexsort((key, texts_with, item))
-    rank = np.arange(len(order)) - np.searchsorted(item[order], item[order])
-    size = np.bincount(item, minlength=len(words))
-    seeds = order[rank < (size[item[order]] + 1) // 2]
+    # Grams stand in the order of their items. One that is more frequent than both neighbours is no seed; so of any two
+    # neighbours one stays, however frequent a copied item is. A gram that no text has is no neighbour.
+    held = np.where(texts_with > 0, texts_with, np.inf)
+    left, right = np.full(len(held), np.inf), np.full(len(held), np.inf)
+    joined = item[1:] == item[:-1]
+    left[1:][joined] = held[:-1][joined]
+    right[:-1][joined] = held[1:][joined]
+    edge = np.concatenate([[True], ~joined]), np.concatenate([~joined, [True]])
+    common = (edge[0] | (held > left)) & (edge[1] | (held > right)) & ~(edge[0] & edge[1])
+    seeds = np.nonzero((texts_with > 0) & ~common)[0]
     seeds = seeds[np.argsort(key[seeds], kind="stable")]
     seed_key, seed_item, seed_place = key[seeds], item[seeds], place[seeds]
     length = np.array([len(w) for w in words])

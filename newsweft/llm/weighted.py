@@ -34,6 +34,9 @@ BANDS, ROWS, LIKE = 14, 3, 0.6
 #: copies are frequent, and weighed down strongly they would let a few edits part the group.
 RARITY = 0.25
 
+#: Bytes of text whose shingles are packed together.
+BLOCK_BYTES = 8_000_000
+
 KEY = np.dtype("V16")
 _binary = pa.binary()
 BUCKET_DDL = "bucket int, texts binary, sizes binary, keys binary, counts binary"
@@ -61,38 +64,43 @@ def split_rows(bucket: np.ndarray, number: int, text: np.ndarray, names: np.ndar
 def shingle_rows(docs: DataFrame, number: int) -> DataFrame:
     """Buckets of shingles, and (as bucket -1 - part) all shingles' counts of each text."""
 
+    def block(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        names = np.frombuffer(b"".join(batch.column("key").to_pylist()), KEY)
+        _, first = np.unique(names, return_index=True)
+        first = np.sort(first)
+        names = names[first]
+        buf, at = flat(batch.column("text").take(pa.array(first)))
+        texts, keys, counts = [], [], []
+        for i, _, data, places in slices(buf, at):
+            words = Words(data, places)
+            own, whole = grams(words, SHINGLE)
+            size = np.diff(words.at)
+            where = np.nonzero(whole)[0]
+            short = np.nonzero((size > 0) & (size < SHINGLE))[0]
+            few = mix(Runs(words.hash).of(words.at[short], words.at[short + 1]) + size[short].astype(U))
+            text, key = np.concatenate([words.doc[where], short]), np.concatenate([own[where], few])
+            order = np.lexsort((key, text))
+            text, key = text[order], key[order]
+            fresh = np.ones(len(text), bool)
+            fresh[1:] = (text[1:] != text[:-1]) | (key[1:] != key[:-1])
+            start = np.nonzero(fresh)[0]
+            texts.append(text[start] + i)
+            keys.append(key[start])
+            counts.append(np.diff(np.append(start, len(text))))
+        text, key, count = (np.concatenate(x) for x in (texts, keys, counts))
+        rows = list(split_rows((key >> U(40)).astype(np.int64) % number, number, text, names, key, count))
+        total = np.bincount(text, count, len(names)).astype(np.int64)
+        some = np.nonzero(total)[0]
+        for b, own in by_bucket(part_of(names[some], number), number):
+            rows.append({"bucket": -1 - b, "texts": names[some[own]].tobytes(), "sizes": pack(total[some[own]]), "keys": b"", "counts": b""})
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, BUCKET_SCHEMA)
+
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = np.frombuffer(b"".join(batch.column("key").to_pylist()), KEY)
-            _, first = np.unique(names, return_index=True)
-            first = np.sort(first)
-            names = names[first]
-            buf, at = flat(batch.column("text").take(pa.array(first)))
-            texts, keys, counts = [], [], []
-            for i, j, data, places in slices(buf, at):
-                words = Words(data, places)
-                own, whole = grams(words, SHINGLE)
-                size = np.diff(words.at)
-                where = np.nonzero(whole)[0]
-                short = np.nonzero((size > 0) & (size < SHINGLE))[0]
-                few = mix(Runs(words.hash).of(words.at[short], words.at[short + 1]) + size[short].astype(U))
-                text, key = np.concatenate([words.doc[where], short]), np.concatenate([own[where], few])
-                order = np.lexsort((key, text))
-                text, key = text[order], key[order]
-                fresh = np.ones(len(text), bool)
-                fresh[1:] = (text[1:] != text[:-1]) | (key[1:] != key[:-1])
-                start = np.nonzero(fresh)[0]
-                texts.append(text[start] + i)
-                keys.append(key[start])
-                counts.append(np.diff(np.append(start, len(text))))
-            text, key, count = (np.concatenate(x) for x in (texts, keys, counts))
-            rows = list(split_rows((key >> U(40)).astype(np.int64) % number, number, text, names, key, count))
-            total = np.bincount(text, count, len(names)).astype(np.int64)
-            some = np.nonzero(total)[0]
-            for b, own in by_bucket(part_of(names[some], number), number):
-                rows.append({"bucket": -1 - b, "texts": names[some[own]].tobytes(), "sizes": pack(total[some[own]]), "keys": b"", "counts": b""})
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, BUCKET_SCHEMA)
+            buf, at = flat(batch.column("text"))
+            for i, j, _, _ in slices(buf, at, BLOCK_BYTES):
+                yield from block(batch.slice(i, j - i))
 
     rows = docs.select(text_key().alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return rows.mapInArrow(sketch, BUCKET_DDL)
