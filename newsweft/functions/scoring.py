@@ -32,7 +32,7 @@ def keyword_hits(text: Column, terms: Sequence[str]) -> Column:
 
 
 def hours_between(as_of: Column, published: Column) -> Column:
-    return F.timestamp_diff("SECOND", published, as_of) / F.lit(3600.0)
+    return F.timestamp_diff("MICROSECOND", published, as_of) / F.lit(3_600_000_000.0)
 
 
 def freshness_bonus(published: Column, as_of: Column, steps: Sequence[tuple[int, float]]) -> Column:

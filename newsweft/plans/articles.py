@@ -1,7 +1,6 @@
 """The given tables seen as articles, cards and runs of a news engine.
 
-``documents`` has no titles and times, so the view derives them: the title is the head of the
-first line, a document is published ``doc_id % 96`` hours before ``AS_OF`` and belongs to the
+``documents`` has no titles and times, so the view derives them: the title is the first line, a document is published ``doc_id % 96`` hours before ``AS_OF`` and belongs to the
 run (local day and half-day) of that time. The SQL fragments say the same for the checks.
 """
 
@@ -15,7 +14,6 @@ from newsweft.plans.registry import table
 from newsweft.rules import ScoringRules, SelectionRules
 
 AS_OF_TEXT = "2024-02-01 00:00:00"
-TITLE_CHARS = 120
 
 # Word lists that occur in the given texts.
 SCORING = ScoringRules(
@@ -40,7 +38,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     hours = F.make_dt_interval(hours=(F.col("doc_id") % 96).cast("int"))
     return docs.select(
         F.col("doc_id").alias("id"),
-        F.substring(F.element_at(F.split("text", "\n", 2), 1), 1, TITLE_CHARS).alias("title"),
+        F.element_at(F.split("text", "\n", 2), 1).alias("title"),
         F.substring("text", 1, 500).alias("summary"),
         F.col("text").alias("fulltext"),
         "source",
@@ -60,7 +58,7 @@ ARTICLES_SQL = f"""
 art AS (
   SELECT *, strftime(published + INTERVAL 4 HOUR, '%Y-%m-%d') || '-' ||
     CASE WHEN hour(published + INTERVAL 8 HOUR) BETWEEN 4 AND 15 THEN 'AM' ELSE 'PM' END AS run_key
-  FROM (SELECT doc_id AS id, substr(split_part(text, chr(10), 1), 1, {TITLE_CHARS}) AS title,
+  FROM (SELECT doc_id AS id, split_part(text, chr(10), 1) AS title,
     substr(text, 1, 500) AS summary, text AS fulltext, source, lang AS category,
     source IN ('src0', 'src1') AS reference,
     TIMESTAMP '{AS_OF_TEXT}' - to_hours(doc_id % 96) AS published,

@@ -98,7 +98,7 @@ def candidates(spark: SparkSession, sf: str) -> DataFrame:
     return c.select(
         F.concat(F.lit("w"), key.cast("string")).alias("id"),
         F.date_sub(F.lit("2024-02-01").cast("date"), (F.col("conv_id") % 5).cast("int")).alias("date"),
-        F.substring(F.element_at(F.split("text", "\n", 2), 1), 1, 120).alias("title"),
+        F.element_at(F.split("text", "\n", 2), 1).alias("title"),
         F.when(F.col("turn") == 0, "").otherwise(F.concat(F.lit("https://w.org/"), key.cast("string"))).alias("url"),
         F.concat((key % 31).cast("string"), F.lit("/30")).alias("score"),
         F.when(F.col("role") == "system", "rejected").when(F.col("turn") % 2 == 1, "approved").alias("status"),
@@ -107,7 +107,7 @@ def candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("review_candidates", """SELECT 'w' || (conv_id * 100 + turn) AS id, ((conv_id * 100 + turn) % 31) || '/30' AS score FROM conversations
-  WHERE role <> 'system' AND turn <> 0 AND (conv_id * 100 + turn) % 31 >= 23 AND substr(split_part(text, chr(10), 1), 1, 120) <> ''""")
+  WHERE role <> 'system' AND turn <> 0 AND (conv_id * 100 + turn) % 31 >= 23 AND split_part(text, chr(10), 1) <> ''""")
 def review_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return B.review_candidates(candidates(spark, sf)).select("id", "score")
 

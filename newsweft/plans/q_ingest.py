@@ -192,16 +192,16 @@ def leading_int_docs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("search_results_union", """
   SELECT 'page' AS provider, CAST(page_id AS VARCHAR) AS ref, url, '' AS published,
-    substr(regexp_replace(html, '<[^>]+>', '', 'g'), 1, 40) AS snippet FROM pages
-  UNION ALL SELECT 'benchmark', CAST(item_id AS VARCHAR), '', '', substr(text, 1, 40) FROM benchmark""")
+    regexp_replace(html, '<[^>]+>', '', 'g') AS snippet FROM pages
+  UNION ALL SELECT 'benchmark', CAST(item_id AS VARCHAR), '', '', text FROM benchmark""")
 def search_results_union(spark: SparkSession, sf: str) -> DataFrame:
     """Two result shapes brought to one."""
     pages = table(spark, sf, "pages").select(
         F.col("page_id").cast("string").alias("title"), "url",
-        F.substring(F.regexp_replace("html", "<[^>]+>", ""), 1, 40).alias("text"),
+        F.regexp_replace("html", "<[^>]+>", "").alias("text"),
     )
     bench = table(spark, sf, "benchmark").select(
-        F.col("item_id").cast("string").alias("title"), F.substring("text", 1, 40).alias("content")
+        F.col("item_id").cast("string").alias("title"), F.col("text").alias("content")
     )
     both = dedup.normalize_search_results(pages, "page", snippet="text", published="publishedDate").unionByName(
         dedup.normalize_search_results(bench, "benchmark", snippet="content", published="published_date")

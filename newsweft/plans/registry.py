@@ -25,14 +25,6 @@ def query(name: str, check: str | None = None) -> Callable[[Job], Job]:
     return add
 
 
-TEXT_TABLES = ("documents", "pages", "conversations", "orders")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table. One whose rows cost much work is spread over all cores when it consists of
-    fewer files than there are cores; a table of many files is read as it lies, without a shuffle."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in TEXT_TABLES and len(df.inputFiles()) < cores:
-        return df.repartition(cores)
-    return df
+    """A given table, read as it lies; the session's settings say how files are cut."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")

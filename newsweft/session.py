@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +24,9 @@ def build_session(app: str = "newsweft", master: str | None = None, **conf: str)
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        # A text table costs much work for its bytes: small splits, and as many as there are cores at least.
+        "spark.sql.files.maxPartitionBytes": "32m",
+        "spark.sql.files.openCostInBytes": "64k",
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
@@ -33,11 +34,10 @@ def build_session(app: str = "newsweft", master: str | None = None, **conf: str)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Directory for reliable checkpoints.
+    """The shared folder for reliable checkpoints and stored tables.
 
-    The cluster names a shared folder in ``spark.checkpoint.dir``. Only a local
-    master may fall back to a temporary folder, because no other machine has to
-    read it there.
+    The cluster names it in ``spark.checkpoint.dir``. Where it is unset, a folder of this run below the
+    warehouse is used, which all executors have to share as well.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -45,9 +45,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can read")
-        path = tempfile.mkdtemp(prefix="newsweft-checkpoint-", dir=os.environ.get("TMPDIR"))
+        path = f"{spark.conf.get('spark.sql.warehouse.dir')}/newsweft-checkpoints-{uuid.uuid4().hex}"
     sc.setCheckpointDir(path)
     return path
 
