@@ -1,15 +1,16 @@
 """Token ids in files of canonical, length-limited Huffman codes.
 
 A file of the format is a Parquet table of independent blocks. A block holds whole documents in ascending order: their
-ids and lengths, the code bits of their tokens, and the bit offset of every 256th token. Beside the blocks stands the
+ids and lengths, the code bits of their tokens from a byte on, and the bit offset of every 256th token of each. Beside the blocks stands the
 code book: the code length of each token id, from which the codes follow. Blocks are decoded with one table look-up
 for each token; all stretches between the offsets of many blocks are decoded side by side.
 """
 
 from __future__ import annotations
 
+import itertools
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from newsweft.llm.seeds import LAST
 from newsweft.llm.tokens import encoded, with_end
-from newsweft.session import durable, ensure_checkpoint_dir
+from newsweft.session import ensure_checkpoint_dir
 
 #: Tokens of a block (whole documents, so the last one may go beyond), tokens from one offset to the next, bits of the longest code.
 BLOCK_TOKENS, STRETCH, MOST_BITS = 65_536, 256, 17
@@ -83,24 +84,31 @@ def decoding_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     return symbol, bits, top
 
 
-def to_bits(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """Code bits of the ids, the first bit highest, and the bit offset of every stretch."""
+def to_bits(ids: np.ndarray, at: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """Code bits of texts, each from a byte on, the first bit highest: the bytes, where each text's begin, the bit offset of
+    every stretch from the first bit of its text, and the first stretch of each text."""
     length = lengths[ids].astype(np.int64)
-    offset = np.cumsum(length) - length
-    total = int(length.sum())
+    sums = np.concatenate([[0], np.cumsum(length)])
+    byte_at = np.concatenate([[0], np.cumsum((np.diff(sums[at]) + 7) // 8)])
+    size = np.diff(at)
+    offset = sums[:-1] + np.repeat(8 * byte_at[:-1] - sums[at[:-1]], size)
     word = offset >> 5
     placed = codes[ids].astype(np.uint64) << (64 - (offset & 31) - length).astype(np.uint64)
-    words = total // 32 + 3
+    words = int(byte_at[-1]) // 4 + 3
     filled = np.bincount(word, (placed >> np.uint64(32)).astype(np.float64), words) + np.bincount(word + 1, (placed & np.uint64(0xFFFFFFFF)).astype(np.float64), words)
-    return filled.astype(">u4").tobytes()[: (total + 7) // 8], offset[::STRETCH]
+    stretches = -(-size // STRETCH)
+    stretch_at = np.concatenate([[0], np.cumsum(stretches)])
+    text = np.repeat(np.arange(len(size)), stretches)
+    token = at[text] + (np.arange(len(text)) - stretch_at[text]) * STRETCH
+    return filled.astype(">u4").tobytes()[: int(byte_at[-1])], byte_at, offset[token] - 8 * byte_at[text], stretch_at
 
 
-def from_bits(blocks: list[tuple[int, np.ndarray, bytes]], table: tuple[np.ndarray, np.ndarray, int]) -> list[np.ndarray]:
-    """Ids of the blocks, each given by its number of tokens, its offsets and its bits."""
+def from_bits(blocks: list[tuple[np.ndarray, np.ndarray, bytes]], table: tuple[np.ndarray, np.ndarray, int]) -> list[np.ndarray]:
+    """Ids of the blocks, each given by the tokens of its stretches, their bit offsets and the bits."""
     symbol, bits, top = table
     data = np.frombuffer(b"".join(b + bytes(8) for _, _, b in blocks), np.uint8).astype(np.uint32)
     windows = (data[:-3] << 24) | (data[1:-2] << 16) | (data[2:-1] << 8) | data[3:]
-    first_bit = 8 * (np.cumsum([0, *(len(b) + 8 for _, _, b in blocks)])[:-1])
+    first_bit = 8 * np.cumsum([0, *(len(b) + 8 for _, _, b in blocks)])[:-1]
     at = np.concatenate([o.astype(np.int64) + f for (_, o, _), f in zip(blocks, first_bit, strict=True)])
     rows = np.cumsum([0, *(len(o) for _, o, _ in blocks)])
     out = np.zeros((len(at), STRETCH), np.uint32)
@@ -110,11 +118,19 @@ def from_bits(blocks: list[tuple[int, np.ndarray, bytes]], table: tuple[np.ndarr
         seen = (windows[np.minimum(at >> 3, last)] >> (32 - top - (at & 7)).astype(np.uint32)) & mask
         out[:, k] = symbol[seen]
         at += bits[seen]
-    return [out[a:b].ravel()[:n] for (n, _, _), a, b in zip(blocks, rows[:-1], rows[1:], strict=True)]
+    real = [np.arange(STRETCH)[None, :] < n[:, None] for n, _, _ in blocks]
+    return [out[a:b][r] for r, a, b in zip(real, rows[:-1], rows[1:], strict=True)]
+
+
+def stretch_sizes(sizes: np.ndarray) -> np.ndarray:
+    """Tokens of each stretch of texts of these sizes."""
+    number = -(-sizes // STRETCH)
+    place = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
+    return np.minimum(STRETCH, np.repeat(sizes, number) - place * STRETCH)
 
 
 def token_rows(docs: DataFrame, tokenizer: str, keeps_space: bool, end: int) -> DataFrame:
-    """``doc_id`` (a null counts as the last) and the token ids of each whole text with ``end`` after them."""
+    """``doc_id`` (a null counts as the last) and the token ids of each whole text with ``end`` after them, 32 bits each."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,29 +169,74 @@ def write_ids(rows: DataFrame, path: str, size: int) -> None:
     number = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, docs, sizes, held, tokens, file = 0, [], [], [], 0, None
+        for batch in batches:
+            held = batch.column("ids")
+            data, at = binary(held)
+            bits, byte_at, offsets, stretch_at = to_bits(data.view("<u4"), at // 4, codes, lengths)
+            cut = lambda raw, places: pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(held), [None, pa.py_buffer(places.astype(np.int64)), pa.py_buffer(raw)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(np.diff(at) // 4), cut(offsets.astype("<u4").tobytes(), stretch_at * 4), cut(bits, byte_at)], names=["doc_id", "n", "offsets", "bits"]
+            )
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, tokens = 0, [], 0
 
         def close() -> pa.RecordBatch:
-            bits, offsets = to_bits(np.concatenate(held), codes, lengths)
-            row = {"file": file, "block": block, "tokens": tokens, "doc_ids": np.array(docs, "<i8").tobytes(), "lengths": np.array(sizes, "<u4").tobytes(), "offsets": offsets.astype("<u4").tobytes(), "bits": bits}
+            base = np.cumsum([0, *(len(r["bits"]) for r in held)])
+            offsets = np.concatenate([np.frombuffer(r["offsets"], "<u4") + 8 * b for r, b in zip(held, base, strict=False)])
+            row = {
+                "file": held[0]["file"], "block": block, "tokens": tokens, "doc_ids": np.array([r["doc_id"] for r in held], "<i8").tobytes(),
+                "lengths": np.array([r["n"] for r in held], "<u4").tobytes(), "offsets": offsets.astype("<u4").tobytes(), "bits": b"".join(r["bits"] for r in held),
+            }
             return pa.RecordBatch.from_pylist([row], pa.schema([("file", pa.int32()), ("block", pa.int32()), ("tokens", pa.int64()), *((c, pa.binary()) for c in ("doc_ids", "lengths", "offsets", "bits"))]))
 
         for batch in batches:
-            for doc, ids, where in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), batch.column("file").to_pylist(), strict=True):
-                file = where
-                ids = np.frombuffer(ids.as_buffer(), "<u4")
-                docs.append(doc)
-                sizes.append(len(ids))
-                held.append(ids)
-                tokens += len(ids)
+            for row in batch.to_pylist():
+                held.append(row)
+                tokens += row["n"]
                 if tokens >= BLOCK_TOKENS:
                     yield close()
-                    block, docs, sizes, held, tokens = block + 1, [], [], [], 0
-        if docs:
+                    block, held, tokens = block + 1, [], 0
+        if held:
             yield close()
 
-    ranges = rows.repartitionByRange(number, "doc_id").sortWithinPartitions("doc_id", "ids").withColumn("file", F.spark_partition_id())
-    ranges.mapInArrow(encode, BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    # The ranges are found on the ids alone, so nothing is encoded twice; what moves is encoded already.
+    bounds = rows.approxQuantile("doc_id", [k / number for k in range(1, number)], 0.1 / number) if number > 1 else []
+    bounds = sorted({int(b) for b in bounds})
+    coded = rows.mapInArrow(encode, "doc_id long, n long, offsets binary, bits binary")
+    file = F.lit(0)
+    if bounds:
+        file = F.size(F.filter(F.lit(bounds).cast("array<bigint>"), lambda b: b <= F.col("doc_id")))
+    ranges = coded.withColumn("file", file.cast("int")).repartition(number, "file").sortWithinPartitions("file", "doc_id", "bits")
+    written = ranges.mapInArrow(by_file(gather), BLOCKS)
+    written.write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+
+
+def by_file(gather: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """Runs ``gather`` over the rows of each file by themselves, where a task has several in a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = (
+            (int(f), batch.slice(i, j - i))
+            for batch in batches
+            for files in [batch.column("file").to_numpy()]
+            for cuts in [[0, *(np.nonzero(np.diff(files))[0] + 1).tolist(), len(files)]]
+            for i, j in zip(cuts, cuts[1:], strict=False)
+            if i < j
+            for f in [files[i]]
+        )
+        for _, group in itertools.groupby(pieces, key=lambda x: x[0]):
+            yield from gather(b for _, b in group)
+
+    return run
+
+
+def binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of a binary column, and where each value begins."""
+    wide = column.cast(pa.large_binary())
+    _, at, data = wide.buffers()
+    at = np.frombuffer(at, np.int64)[wide.offset : wide.offset + len(wide) + 1]
+    return (np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)), at - at[0]
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -188,7 +249,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for k in range(0, batch.num_rows, TOGETHER):
                 rows = batch.slice(k, TOGETHER).to_pylist()
-                found = from_bits([(r["tokens"], np.frombuffer(r["offsets"], "<u4"), r["bits"]) for r in rows], table)
+                found = from_bits([(stretch_sizes(np.frombuffer(r["lengths"], "<u4").astype(np.int64)), np.frombuffer(r["offsets"], "<u4"), r["bits"]) for r in rows], table)
                 for r, ids in zip(rows, found, strict=True):
                     sizes = np.frombuffer(r["lengths"], "<u4").astype(np.int64)
                     at = np.concatenate([[0], np.cumsum(sizes)])
@@ -217,7 +278,9 @@ def huffman_store(docs: DataFrame, tokenizer: str, size: int = 50_257, keeps_spa
     """
     spark = docs.sparkSession
     path = path or f"{ensure_checkpoint_dir(spark)}/ids-{uuid.uuid4().hex}"
-    write_ids(durable(token_rows(docs, tokenizer, keeps_space, end)), path, size)
+    rows = f"{path}/rows"
+    token_rows(docs, tokenizer, keeps_space, end).write.option("compression", "zstd").parquet(rows)
+    write_ids(spark.read.parquet(rows), path, size)
     return read_ids(spark, path)
 
 

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from newsweft.llm.seeds import LAST
 from newsweft.llm.tokens import encoded, with_end
 from newsweft.operators.ranges import running_number
+from newsweft.session import durable
 
 WINDOW, STEP = 2048, 8
 PIECES = "doc_id long, row long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -158,8 +159,8 @@ def pack(docs: DataFrame, tokenizer: str, keeps_space: bool = False, end: int =
     """
     units = window // step
     pieces = pieces_of(docs, tokenizer, keeps_space, end, window)
-    sized = pieces.withColumn("size", F.ceil(F.col("length") / step).cast("int"))
-    # The numbering stores its input once; the counts are taken from what is stored.
+    # Stored before the numbering, which reads it twice: once for its ranges.
+    sized = durable(pieces.withColumn("size", F.ceil(F.col("length") / step).cast("int")))
     numbered = running_number(sized, ["size"], ["doc_id", "row", "start"])
     counts = np.zeros(units + 1, np.int64)
     for row in numbered.groupBy("size").agg(F.count("*").alias("n")).collect():  # at most one row for each length

@@ -18,7 +18,16 @@ from tokenizers import Tokenizer
 from newsweft.llm.units import BYTE, SLICE_BYTES, SPACE, Runs, U, edges, flat, mix, slices
 
 #: A worker forgets its pieces after so many.
-MOST_PIECES = 1_000_000
+MOST_PIECES = 2_000_000
+#: Pieces encoded at a time.
+TOGETHER = 10_000
+
+
+_ascii = np.arange(256)
+SMALL = np.where((_ascii >= 65) & (_ascii <= 90), _ascii + 32, _ascii).astype(np.uint8)
+LETTER = (SMALL >= 97) & (SMALL <= 122)
+CLOSING = np.zeros(256, bool)
+CLOSING[list(b".,;:!?")] = True
 
 
 class Pieces:
@@ -27,6 +36,11 @@ class Pieces:
     def __init__(self, path: str, keeps_space: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.keeps_space = Tokenizer.from_file(path), keeps_space
+        special = {n: t.content for n, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and t.content.startswith("<|")}
+        self.mark_id = max(special)
+        self.mark = special[self.mark_id]
+        # ASCII capitals may be made small beforehand where the tokenizer does so itself.
+        self.folds = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("A") == "a"
         self.clear()
 
     def clear(self) -> None:
@@ -35,29 +49,46 @@ class Pieces:
         self.ids, self.used = np.zeros(1 << 18, np.uint32), 0
 
     def add(self, keys: list[int], texts: list[str]) -> None:
-        for key, found in zip(keys, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
-            ids, n = found.ids, len(self.number)
-            if n == len(self.first):
+        """Encodes new pieces. They go to the library as one text with a special token, which no piece holds, after each: it
+        cuts the text before anything else is done, and one text costs far less than many short ones."""
+        for k in range(0, len(keys), TOGETHER):
+            some = texts[k : k + TOGETHER]
+            found = self.tokenizer.encode(self.mark.join([*some, ""]), add_special_tokens=False).ids
+            ids = np.asarray(found, np.uint32)
+            cuts = np.nonzero(ids == self.mark_id)[0]
+            count = np.diff(cuts, prepend=-1) - 1
+            ids = np.delete(ids, cuts)
+            n, grown = len(self.number), len(some)
+            while n + grown > len(self.first):
                 self.first, self.count = (np.concatenate([a, np.zeros_like(a)]) for a in (self.first, self.count))
             while self.used + len(ids) > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            self.number[key] = n
-            self.first[n], self.count[n] = self.used, len(ids)
+            self.number.update(zip(keys[k : k + TOGETHER], range(n, n + grown), strict=True))
+            self.first[n : n + grown] = self.used + np.cumsum(count) - count
+            self.count[n : n + grown] = count
             self.ids[self.used : self.used + len(ids)] = ids
             self.used += len(ids)
 
+    def alone(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and where each begins."""
         if len(self.number) > MOST_PIECES:
             self.clear()
+        odd_data = data
+        if self.folds:
+            data = SMALL[data]
         start, end, doc = self.cut(data, at)
+        # A mark after an ASCII letter at the end of a piece is a piece of its own for the pattern too.
+        tail = (end - start > 1) & CLOSING[data[end - 1]] & LETTER[data[end - 2]]
+        start, end, doc = np.concatenate([start, end[tail] - 1]), np.concatenate([end - tail, end[tail]]), np.concatenate([doc, doc[tail]])
+        order = np.argsort(start, kind="stable")
+        start, end, doc = start[order], end[order], doc[order]
         odd = odd_texts(data, at)
         if odd.any():
             plain = ~odd[doc]
-            whole = np.nonzero(odd)[0]
-            start, end, doc = (np.concatenate(x) for x in ((start[plain], at[whole]), (end[plain], at[whole + 1]), (doc[plain], whole)))
-            order = np.lexsort((start, doc))
-            start, end, doc = start[order], end[order], doc[order]
+            start, end, doc = start[plain], end[plain], doc[plain]
         hashes = mix(Runs(BYTE[data]).of(start, end) ^ (end - start).astype(U))
         keys, one, which = np.unique(hashes, return_index=True, return_inverse=True)
         known = [self.number.get(k, -1) for k in keys.tolist()]
@@ -72,7 +103,17 @@ class Pieces:
         count = self.count[number]
         before = np.concatenate([[0], np.cumsum(count)])
         ids = self.ids[np.repeat(self.first[number] - before[:-1], count) + np.arange(before[-1])]
-        return ids, before[np.searchsorted(doc, np.arange(len(at)))]
+        starts = before[np.searchsorted(doc, np.arange(len(at)))]
+        whole = np.nonzero(odd)[0]
+        if not len(whole):
+            return ids, starts
+        raw = odd_data.tobytes()
+        found = self.alone([raw[at[i] : at[i + 1]].decode("utf-8", "replace") for i in whole.tolist()])
+        sizes = np.array([len(x) for x in found])
+        ids = np.insert(ids, np.repeat(starts[whole], sizes), np.concatenate([np.asarray(x, np.uint32) for x in found]))
+        grown = np.zeros(len(at), np.int64)
+        grown[whole + 1] = sizes
+        return ids, starts + np.cumsum(grown)
 
     def cut(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         solid = ~SPACE[data]

@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 from newsweft.llm.alignment import benchmark_copies
 from newsweft.llm.archive import archive_pages, read_records, warc_record, write_archive
 from newsweft.llm.hostpaths import host_paths, main_texts
-from newsweft.llm.huffman import canonical, checksum, code_lengths, decoding_table, from_bits, huffman_store, to_bits
+from newsweft.llm.huffman import canonical, checksum, code_lengths, decoding_table, from_bits, huffman_store, stretch_sizes, to_bits
 from newsweft.llm.lyndon import lyndon_groups, suffix_array
 from newsweft.llm.packing import fillings, make_plan, nonnegative, pack
 from newsweft.llm.repetition import keep_clean, repetition_rules
@@ -277,8 +277,11 @@ def test_huffman_codes(count):
     assert not count or lengths.max() <= 12
     if count:
         ids = rng.choice(count, 5000).astype(np.uint32)
-        bits, offsets = to_bits(ids, canonical(lengths), lengths)
-        for back in from_bits([(len(ids), offsets, bits), (len(ids), offsets, bits)], decoding_table(lengths)):
+        at = np.array([0, 0, 1, 257, 513, 2000, 2000, 5000])
+        bits, _, offsets, first = to_bits(ids, at, canonical(lengths), lengths)
+        byte_at = to_bits(ids, at, canonical(lengths), lengths)[1]
+        whole = offsets + 8 * np.repeat(byte_at[:-1], np.diff(first))
+        for back in from_bits([(stretch_sizes(np.diff(at)), whole, bits)] * 2, decoding_table(lengths)):
             assert (back == ids).all()
 
 
