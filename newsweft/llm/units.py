@@ -22,7 +22,7 @@ BYTE = np.random.Generator(np.random.PCG64(20_240_229)).integers(0, 2**63, 256).
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: So many bytes of text are worked on at once; a longer text is worked on alone.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 _powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
 

@@ -35,7 +35,7 @@ BANDS, ROWS, LIKE = 14, 3, 0.6
 RARITY = 0.25
 
 #: Bytes of text whose shingles are packed together.
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 4_000_000
 
 KEY = np.dtype("V16")
 _binary = pa.binary()
@@ -256,7 +256,7 @@ def signatures(parts: DataFrame, texts: int, threshold: float, number: int) -> D
         cuts = np.searchsorted(all_text[order], np.arange(len(names) + 1))
         low = 0
         while low < len(names):
-            high = max(low + 1, int(np.searchsorted(cuts, cuts[low] + 500_000, "right")) - 1)
+            high = max(low + 1, int(np.searchsorted(cuts, cuts[low] + 250_000, "right")) - 1)
             some = order[cuts[low] : cuts[high]]
             drawn[low:high] = samples(all_text[some] - low, all_key[some], all_weight[some], high - low)
             low = high
