@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-
 def drop_thinking(raw: Column) -> Column:
     return F.trim(F.regexp_replace(raw, r"(?s)<think>.*?</think>", ""))
 
@@ -23,14 +22,8 @@ def flat_objects(raw: Column) -> Column:
     return F.regexp_extract_all(raw, F.lit(r"\{[^{}]*\}"), F.lit(0))
 
 
-def _well_formed(text: Column, opening: str, closing: str) -> Column:
-    """Strict JSON check by the parser: PERMISSIVE yields null for broken input of the given kind."""
-    variant = F.try_parse_json(text)
-    return text.startswith(opening) & text.endswith(closing) & variant.isNotNull()
-
-
-def _decision(obj: Column) -> Column:
-    v = F.try_parse_json(obj)
+def _decision(v: Column) -> Column:
+    """A decision's fields from a parsed object."""
     return F.struct(
         F.try_variant_get(v, "$.id", "int").alias("id"),
         F.coalesce(F.try_variant_get(v, "$.keep", "boolean"), F.lit(False)).alias("keep"),
@@ -40,23 +33,15 @@ def _decision(obj: Column) -> Column:
 
 
 def salvage_decisions(raw: Column) -> Column:
-    """Array of decisions: a whole array if it parses, else each flat object that has an id."""
+    """Array of decisions: the objects of a whole array if it parses, else each flat object that has an id."""
     text = drop_thinking(raw)
-    array_text = json_array_text(text)
-    # Elements of a well-formed array are flat objects, so both ways cut the text the same;
-    # they differ in the span they look at and in whether an id is required.
-    whole = F.transform(flat_objects(array_text), _decision)
-    parsed = F.filter(
-        F.transform(
-            flat_objects(text),
-            lambda o: F.struct(o.alias("o"), F.try_variant_get(F.try_parse_json(o), "$.id", "string").alias("id")),
-        ),
-        lambda s: s["id"].isNotNull(),
+    whole = F.try_variant_get(F.try_parse_json(json_array_text(text)), "$", "array<variant>")
+    objects = F.filter(whole, lambda v: F.startswith(F.schema_of_variant(v), F.lit("OBJECT")))
+    loose = F.filter(
+        F.transform(flat_objects(text), lambda o: F.try_parse_json(o)),
+        lambda v: F.try_variant_get(v, "$.id", "string").isNotNull(),
     )
-    single = F.transform(parsed, lambda s: _decision(s["o"]))
-    return F.when(_well_formed(array_text, "[", "]"), whole).otherwise(single)
-
-
+    return F.transform(F.coalesce(objects, loose), _decision)
 
 
 def salvage_report(raw: Column, passing: float = 10.0) -> Column:

@@ -402,20 +402,37 @@ def citation_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def raw_decisions(event_id: Column, score: Column) -> Column:
-    e, nxt, s = event_id.cast("string"), (event_id + 1).cast("string"), score.cast("string")
-    full = F.concat(F.lit('{"id":'), e, F.lit(',"keep":true,"score":'), s, F.lit(',"reason":"r"}'))
+    """Answers in seven shapes: a list, a fenced list, a list cut short, loose objects, braces in a reason, a nested object, other items."""
+    e, nxt = event_id.cast("string"), (event_id + 1).cast("string")
+    one = lambda reason: F.concat(F.lit('{"id":'), e, F.lit(',"keep":true,"score":'), score.cast("string"), F.lit(f',"reason":{reason}}}'))
+    k = event_id % 7
     return (
-        F.when(event_id % 4 == 0, F.concat(F.lit("["), full, F.lit(',{"id":'), nxt, F.lit(',"keep":false}]')))
-        .when(event_id % 4 == 1, F.concat(F.lit("text ```json\n["), full, F.lit("]\n``` more")))
-        .when(event_id % 4 == 2, F.concat(F.lit("["), full, F.lit(',{"id":'), nxt, F.lit(',"ke')))
-        .otherwise(F.concat(F.lit('<think>[1]</think>no list {"x":1} {"id":'), e, F.lit(',"keep":true}')))
+        F.when(k == 0, F.concat(F.lit("["), one('"r"'), F.lit(',{"id":'), nxt, F.lit(',"keep":false}]')))
+        .when(k == 1, F.concat(F.lit("text ```json\n["), one('"r"'), F.lit("]\n``` more")))
+        .when(k == 2, F.concat(F.lit("["), one('"r"'), F.lit(',{"id":'), nxt, F.lit(',"ke')))
+        .when(k == 3, F.concat(F.lit('<think>[1]</think>no list {"x":1} {"id":'), e, F.lit(',"keep":true}')))
+        .when(k == 4, F.concat(F.lit("["), one('"uses {x} here"'), F.lit("]")))
+        .when(k == 5, F.concat(F.lit("["), one('"r","meta":{"a":{"b":1}}'), F.lit(',{"keep":true}]')))
+        .otherwise(F.concat(F.lit("["), one('"r"'), F.lit(',7,"x"]')))
     )
 
 
-@query("salvage_decisions", """WITH e AS (SELECT event_id, CAST(floor(value) AS BIGINT) % 10 AS s FROM events)
-  SELECT event_id, event_id AS id, true AS keep, CASE WHEN event_id % 4 = 3 THEN 5 ELSE s END::DOUBLE AS score,
-    CASE WHEN event_id % 4 = 3 THEN '' ELSE 'r' END AS reason FROM e
-  UNION ALL SELECT event_id, event_id + 1, false, 5::DOUBLE, '' FROM e WHERE event_id % 4 = 0""")
+@query("salvage_decisions", r"""WITH e AS (SELECT event_id, event_id AS i, event_id + 1 AS j, event_id % 7 AS k, CAST(floor(value) AS BIGINT) % 10 AS s FROM events),
+  o AS (SELECT *, '{"id":' || i || ',"keep":true,"score":' || s || ',"reason":' AS head FROM e),
+  r AS (SELECT event_id, CASE k WHEN 0 THEN '[' || head || '"r"},{"id":' || j || ',"keep":false}]'
+    WHEN 1 THEN 'text ```json' || chr(10) || '[' || head || '"r"}]' || chr(10) || '``` more'
+    WHEN 2 THEN '[' || head || '"r"},{"id":' || j || ',"ke'
+    WHEN 3 THEN '<think>[1]</think>no list {"x":1} {"id":' || i || ',"keep":true}'
+    WHEN 4 THEN '[' || head || '"uses {x} here"}]' WHEN 5 THEN '[' || head || '"r","meta":{"a":{"b":1}}},{"keep":true}]'
+    ELSE '[' || head || '"r"},7,"x"]' END AS raw FROM o),
+  t AS (SELECT event_id, regexp_replace(raw, '<think>.*?</think>', '', 'gs') AS raw FROM r),
+  a AS (SELECT event_id, raw, CASE WHEN regexp_matches(raw, '```(?:json)?\s*\[.*?\]\s*```', 's') THEN regexp_extract(raw, '```(?:json)?\s*(\[.*?\])\s*```', 1, 's')
+    ELSE regexp_extract(raw, '\[.*\]', 0, 's') END AS arr FROM t),
+  p AS (SELECT event_id, CASE WHEN json_valid(arr) THEN list_filter(CAST(arr AS JSON[]), lambda x: json_type(x) = 'OBJECT')
+    ELSE list_filter([CAST(y AS JSON) FOR y IN regexp_extract_all(raw, '\{[^{}]*\}') IF json_valid(y)], lambda x: json_extract_string(x, '$.id') IS NOT NULL) END AS objs FROM a),
+  d AS (SELECT event_id, unnest(objs) AS v FROM p)
+  SELECT event_id, CAST(json_extract_string(v, '$.id') AS INTEGER) AS id, coalesce(CAST(json_extract_string(v, '$.keep') AS BOOLEAN), false) AS keep,
+    coalesce(CAST(json_extract_string(v, '$.score') AS DOUBLE), 5) AS score, coalesce(json_extract_string(v, '$.reason'), '') AS reason FROM d""")
 def salvage_decisions(spark: SparkSession, sf: str) -> DataFrame:
     raw = raw_decisions(F.col("event_id"), F.floor("value") % 10)
     return table(spark, sf, "events").select("event_id", F.explode(V.salvage_decisions(raw)).alias("d")).select("event_id", "d.*")

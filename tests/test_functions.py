@@ -85,6 +85,8 @@ def test_cleaning(value):
     page = "<html><nav>x</nav><article><h1>T</h1><!-- c --><script>1</script><p>a&amp;b</p><table>t</table></article></html>"
     assert value(T.extract_main_text(F.lit(page))) == "T a&b"
     assert value(T.extract_main_text(F.lit("no article"))) == ""
+    assert value(T.extract_main_text(F.lit("<body><nav>x</nav><div><p>a</p><p>b</p></div></body>"))) == "a b"
+    assert value(T.extract_main_text(F.lit("<body>x<main><p>a</p></main></body>"))) == "a"
     assert value(T.leading_int(F.lit("25/30"))) == 25 and value(T.leading_int(F.lit("x"))) == 0
 
 
@@ -130,6 +132,8 @@ def test_salvage(value):
     assert get('x ```json\n[{"id":1,"keep":true}]\n``` y') == [(1, True, 5.0)]
     assert get('[{"id":1,"keep":true,"score":7},{"id":2,"ke') == [(1, True, 7.0)]
     assert get("<think>[{\"id\":9}]</think> nothing") == []
+    assert get('[{"id":1,"keep":true,"score":8,"reason":"uses {x} here"},{"id":2,"keep":true,"meta":{"a":1}}]') == [(1, True, 8.0), (2, True, 5.0)]
+    assert get('[{"id":1,"keep":true,"meta":{"a":1}},{"id":2,"ke') == []
     assert value(V.salvage_report(F.lit("garbage"))).overall == 10.0
     report = value(V.salvage_report(F.lit('{"overall": 4.5, "issues": ["say "x" now", "b"]}')))
     assert (report.overall, report.issues) == (4.5, ['say "x" now', "b"])
