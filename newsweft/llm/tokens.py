@@ -8,6 +8,7 @@ encoded as it is.
 
 from __future__ import annotations
 
+import itertools
 import os
 from collections.abc import Iterator
 
@@ -30,6 +31,42 @@ CLOSING = np.zeros(256, bool)
 CLOSING[list(b".,;:!?")] = True
 
 
+class Numbers:
+    """A number for each known key, looked up for whole arrays at once: a table of open slots, at most half full."""
+
+    def __init__(self, room: int = 1 << 17):
+        self.used, self.keys, self.values = 0, np.zeros(room, U), np.zeros(room, np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Number of each key, -1 where it is unknown. No key is zero."""
+        out = np.full(len(keys), -1, np.int64)
+        rest, slot = np.arange(len(keys)), keys & U(len(self.keys) - 1)
+        while len(rest):
+            held = self.keys[slot]
+            hit = held == keys
+            out[rest[hit]] = self.values[slot[hit]]
+            on = ~hit & (held != 0)
+            rest, slot, keys = rest[on], (slot[on] + U(1)) & U(len(self.keys) - 1), keys[on]
+        return out
+
+    def add(self, keys: np.ndarray) -> None:
+        """Gives the next numbers to distinct new keys."""
+        values = np.arange(self.used, self.used + len(keys), dtype=np.int32)
+        self.used += len(keys)
+        if 2 * self.used > len(self.keys):
+            old = self.keys != 0
+            keys, values = np.concatenate([self.keys[old], keys]), np.concatenate([self.values[old], values])
+            room = 1 << int(4 * self.used - 1).bit_length()
+            self.keys, self.values = np.zeros(room, U), np.zeros(room, np.int32)
+        slot = keys & U(len(self.keys) - 1)
+        while len(keys):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = keys[free]
+            got = free & (self.keys[slot] == keys)
+            self.values[slot[got]] = values[got]
+            keys, values, slot = keys[~got], values[~got], (slot[~got] + U(1)) & U(len(self.keys) - 1)
+
+
 class Pieces:
     """Ids of known pieces."""
 
@@ -40,41 +77,59 @@ class Pieces:
         self.mark_id = max(special)
         self.mark = special[self.mark_id]
         # ASCII capitals may be made small beforehand where the tokenizer does so itself.
-        self.folds = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("A") == "a"
+        normalizer = self.tokenizer.normalizer
+        self.folds = normalizer is not None and normalizer.normalize_str("A") == "a"
+        # Where the pattern leaves a word of ASCII letters as it is, but for the look of the space before it, the model can have it at once.
+        word = " " * keeps_space + "abcXYZ"
+        if self.folds:
+            word = word.lower()
+        parts = [part for part, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(word)]
+        self.blank = parts[0][:1] if keeps_space else " "
+        self.direct = parts == [word.replace(" ", self.blank)]
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[int, int] = {}
-        self.first, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.numbers = Numbers()
+        self.first, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
         self.ids, self.used = np.zeros(1 << 18, np.uint32), 0
 
-    def add(self, keys: list[int], texts: list[str]) -> None:
-        """Encodes new pieces. They go to the library as one text with a special token, which no piece holds, after each: it
-        cuts the text before anything else is done, and one text costs far less than many short ones."""
-        for k in range(0, len(keys), TOGETHER):
-            some = texts[k : k + TOGETHER]
-            found = self.tokenizer.encode(self.mark.join([*some, ""]), add_special_tokens=False).ids
-            ids = np.asarray(found, np.uint32)
+    def add(self, keys: np.ndarray, texts: list[str], words: np.ndarray) -> None:
+        """Encodes new pieces; ``words`` tells those that are a word of ASCII letters. The others go to the library as one text with
+        a special token, which no piece holds, after each: it cuts the text before anything else is done, and one text costs
+        far less than many short ones."""
+        words = words & self.direct
+        order = np.argsort(~words, kind="stable")
+        split = int(words.sum())
+        tokenize = self.tokenizer.model.tokenize
+        for k in range(0, split, TOGETHER):
+            some = order[k : min(k + TOGETHER, split)]
+            found = [[t.id for t in tokenize(texts[i].replace(" ", self.blank))] for i in some.tolist()]
+            self.hold(keys[some], np.fromiter(itertools.chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64))
+        for k in range(split, len(order), TOGETHER):
+            some = order[k : k + TOGETHER]
+            joined = self.mark.join([*(texts[i] for i in some.tolist()), ""])
+            ids = np.asarray(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
             cuts = np.nonzero(ids == self.mark_id)[0]
-            count = np.diff(cuts, prepend=-1) - 1
-            ids = np.delete(ids, cuts)
-            n, grown = len(self.number), len(some)
-            while n + grown > len(self.first):
-                self.first, self.count = (np.concatenate([a, np.zeros_like(a)]) for a in (self.first, self.count))
-            while self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            self.number.update(zip(keys[k : k + TOGETHER], range(n, n + grown), strict=True))
-            self.first[n : n + grown] = self.used + np.cumsum(count) - count
-            self.count[n : n + grown] = count
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
+            self.hold(keys[some], np.delete(ids, cuts), np.diff(cuts, prepend=-1) - 1)
+
+    def hold(self, keys: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
+        n, grown = self.numbers.used, len(keys)
+        while n + grown > len(self.first):
+            self.first, self.count = (np.concatenate([a, np.zeros_like(a)]) for a in (self.first, self.count))
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.numbers.add(keys)
+        self.first[n : n + grown] = self.used + np.cumsum(count) - count
+        self.count[n : n + grown] = count
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
 
     def alone(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and where each begins."""
-        if len(self.number) > MOST_PIECES:
+        if self.numbers.used > MOST_PIECES:
             self.clear()
         odd_data = data
         if self.folds:
@@ -90,16 +145,18 @@ class Pieces:
             plain = ~odd[doc]
             start, end, doc = start[plain], end[plain], doc[plain]
         hashes = mix(Runs(BYTE[data]).of(start, end) ^ (end - start).astype(U))
-        keys, one, which = np.unique(hashes, return_index=True, return_inverse=True)
-        known = [self.number.get(k, -1) for k in keys.tolist()]
-        missing = [i for i, n in enumerate(known) if n < 0]
-        if missing:
+        hashes[hashes == 0] = 1
+        number = self.numbers.find(hashes)
+        unknown = np.nonzero(number < 0)[0]
+        if len(unknown):
+            keys, one = np.unique(hashes[unknown], return_index=True)
+            begin, stop = start[unknown[one]], end[unknown[one]]
+            letters = np.concatenate([[0], np.cumsum(LETTER[data], dtype=np.int32)])
+            spaced = data[begin] == 0x20
             raw = data.tobytes()
-            begin, stop = start[one], end[one]
-            self.add([int(keys[i]) for i in missing], [raw[begin[i] : stop[i]].decode("utf-8", "replace") for i in missing])
-            for i in missing:
-                known[i] = self.number[int(keys[i])]
-        number = np.asarray(known, np.int64)[which] if len(keys) else np.zeros(0, np.int64)
+            texts = [raw[i:j].decode("utf-8", "replace") for i, j in zip(begin.tolist(), stop.tolist(), strict=True)]
+            self.add(keys, texts, (letters[stop] - letters[begin] == stop - begin - spaced) & (stop - begin > spaced))
+            number[unknown] = self.numbers.find(hashes[unknown])
         count = self.count[number]
         before = np.concatenate([[0], np.cumsum(count)])
         ids = self.ids[np.repeat(self.first[number] - before[:-1], count) + np.arange(before[-1])]
