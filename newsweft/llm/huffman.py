@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from newsweft.llm.seeds import LAST
 from newsweft.llm.tokens import encoded, with_end
+from newsweft.llm.units import SLICE_BYTES, slices
 from newsweft.session import ensure_checkpoint_dir
 
 #: Tokens of a block (whole documents, so the last one may go beyond), tokens from one offset to the next, bits of the longest code.
@@ -170,13 +171,13 @@ def write_ids(rows: DataFrame, path: str, size: int) -> None:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = batch.column("ids")
-            data, at = binary(held)
-            bits, byte_at, offsets, stretch_at = to_bits(data.view("<u4"), at // 4, codes, lengths)
-            cut = lambda raw, places: pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(held), [None, pa.py_buffer(places.astype(np.int64)), pa.py_buffer(raw)]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.diff(at) // 4), cut(offsets.astype("<u4").tobytes(), stretch_at * 4), cut(bits, byte_at)], names=["doc_id", "n", "offsets", "bits"]
-            )
+            for i, j, data, at in slices(*binary(batch.column("ids")), SLICE_BYTES):
+                bits, byte_at, offsets, stretch_at = to_bits(data.view("<u4"), at // 4, codes, lengths)
+                cut = lambda raw, places: pa.LargeBinaryArray.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(places.astype(np.int64)), pa.py_buffer(raw)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(i, j - i), pa.array(np.diff(at) // 4), cut(offsets.astype("<u4").tobytes(), stretch_at * 4), cut(bits, byte_at)],
+                    names=["doc_id", "n", "offsets", "bits"],
+                )
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held, tokens = 0, [], 0
