@@ -26,7 +26,7 @@ from newsweft.session import ensure_checkpoint_dir
 BLOCK_TOKENS, STRETCH, MOST_BITS = 65_536, 256, 17
 TOGETHER = 16
 
-BLOCKS = "file int, block int, tokens long, doc_ids binary, lengths binary, offsets binary, bits binary"
+BLOCKS = "file int, block int, tokens_before long, tokens long, doc_ids binary, lengths binary, offsets binary, bits binary"
 
 
 def code_lengths(counts: np.ndarray, most: int = MOST_BITS) -> np.ndarray:
@@ -180,16 +180,16 @@ def write_ids(rows: DataFrame, path: str, size: int) -> None:
                 )
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held, tokens = 0, [], 0
+        block, before, held, tokens = 0, 0, [], 0
 
         def close() -> pa.RecordBatch:
             base = np.cumsum([0, *(len(r["bits"]) for r in held)])
             offsets = np.concatenate([np.frombuffer(r["offsets"], "<u4") + 8 * b for r, b in zip(held, base, strict=False)])
             row = {
-                "file": held[0]["file"], "block": block, "tokens": tokens, "doc_ids": np.array([r["doc_id"] for r in held], "<i8").tobytes(),
+                "file": held[0]["file"], "block": block, "tokens_before": before, "tokens": tokens, "doc_ids": np.array([r["doc_id"] for r in held], "<i8").tobytes(),
                 "lengths": np.array([r["n"] for r in held], "<u4").tobytes(), "offsets": offsets.astype("<u4").tobytes(), "bits": b"".join(r["bits"] for r in held),
             }
-            return pa.RecordBatch.from_pylist([row], pa.schema([("file", pa.int32()), ("block", pa.int32()), ("tokens", pa.int64()), *((c, pa.binary()) for c in ("doc_ids", "lengths", "offsets", "bits"))]))
+            return pa.RecordBatch.from_pylist([row], pa.schema([("file", pa.int32()), ("block", pa.int32()), ("tokens_before", pa.int64()), ("tokens", pa.int64()), *((c, pa.binary()) for c in ("doc_ids", "lengths", "offsets", "bits"))]))
 
         for batch in batches:
             for row in batch.to_pylist():
@@ -197,7 +197,7 @@ def write_ids(rows: DataFrame, path: str, size: int) -> None:
                 tokens += row["n"]
                 if tokens >= BLOCK_TOKENS:
                     yield close()
-                    block, held, tokens = block + 1, [], 0
+                    block, before, held, tokens = block + 1, before + tokens, [], 0
         if held:
             yield close()
 
@@ -256,18 +256,16 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                     at = np.concatenate([[0], np.cumsum(sizes)])
                     held = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(at * 4), pa.py_buffer(ids.astype("<u4"))])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(sizes), r["file"], np.int32)), pa.array(np.full(len(sizes), r["block"], np.int32)), pa.array(np.frombuffer(r["doc_ids"], "<i8")), pa.array(at[:-1]), pa.array(sizes), held.cast(pa.binary())],
-                        names=["file", "block", "doc_id", "inside", "n_tokens", "ids"],
+                        [pa.array(np.full(len(sizes), r["file"], np.int32)), pa.array(np.frombuffer(r["doc_ids"], "<i8")), pa.array(r["tokens_before"] + at[:-1]), pa.array(sizes), held.cast(pa.binary())],
+                        names=["file", "doc_id", "inside", "n_tokens", "ids"],
                     )
 
-    docs = blocks.mapInArrow(decode, "file int, block int, doc_id long, inside long, n_tokens long, ids binary")
-    before = lambda w: F.coalesce(F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = blocks.select("file", "block", "tokens")
-    # One row for each file.
-    files = sizes.groupBy("file").agg(F.sum("tokens").alias("tokens")).select("file", before(Window.orderBy("file")).alias("file_start"))
-    starts = sizes.select("file", "block", before(Window.partitionBy("file").orderBy("block")).alias("block_start")).join(files, "file")
-    return docs.join(starts, ["file", "block"]).select(
-        F.nullif("doc_id", F.lit(LAST)).alias("doc_id"), (F.col("file_start") + F.col("block_start") + F.col("inside")).alias("start"), "n_tokens", "ids"
+    docs = blocks.mapInArrow(decode, "file int, doc_id long, inside long, n_tokens long, ids binary")
+    # One row for each file, and there are no more files than the shuffle partitions of the session that wrote them.
+    before = F.sum("tokens").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
+    files = blocks.groupBy("file").agg(F.sum("tokens").alias("tokens")).select("file", F.coalesce(before, F.lit(0)).alias("file_start"))
+    return docs.join(F.broadcast(files), "file").select(
+        F.nullif("doc_id", F.lit(LAST)).alias("doc_id"), (F.col("file_start") + F.col("inside")).alias("start"), "n_tokens", "ids"
     )
 
 
