@@ -19,7 +19,7 @@ ITEM = ("article_id", "title", "url", "publisher", "score", "evidence_complete",
 
 
 def export_items(cards: DataFrame, runs: DataFrame, quality: DataFrame, digests: DataFrame, key: str = "run_key") -> DataFrame:
-    """Flat items of the runs that were delivered with complete artifacts.
+    """Flat items of the runs whose artifacts are complete; whether a run was delivered is told, not asked.
 
     ``cards(<key>, card)``. Other runs export nothing.
     """

@@ -43,7 +43,7 @@ def bucket_top_k(df: DataFrame, scope: str, rule: SelectionRules, score: str = "
 
 
 def apply_decisions(candidates: DataFrame, decisions: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Candidates whose last decision keeps them, with its score (5 if none) and reason.
+    """Candidates that any decision keeps, with the score (5 if none) and reason of the last one that does.
 
     ``decisions(keys, seq, keep, score, reason)``: ``seq`` is the position in the raw output.
     One row per candidate, also when a decision was repeated.
