@@ -11,7 +11,7 @@ from newsweft import rules
 from newsweft.functions.numbers import first_number, parse_numbers
 from newsweft.functions.scoring import hard_number_count
 from newsweft.functions.text import proper_nouns, strip
-from newsweft.operators.ranges import later_extremes
+from newsweft.operators.ranges import later_extremes_elsewhere
 from newsweft.session import durable
 
 _ITEM_MARK = "<!-- article_id:"
@@ -133,58 +133,35 @@ def number_conflicts(claims: DataFrame, scope: str, ratio: float = rules.CONFLIC
     articles apart, ``ord`` the unique position of a claim in its run. With ``parity`` the first
     numerals are compared as they stand, else the numbers with their units multiplied in.
 
-    Pairs are not enumerated: a claim is looked at only if a later value lies far enough away,
-    which running extremes tell, and only as many claims per run as the report needs are joined
-    to the later ones.
+    Pairs are not enumerated. Running extremes over the later claims of other articles tell exactly which claims have a
+    partner, so the first ``limit`` of these per run and type are enough, each with its first ``limit`` partners.
     """
     value = first_number(F.col("claim")) if parity else F.coalesce(
         F.get(parse_numbers(F.col("claim")), F.lit(0)), first_number(F.col("claim"))
     )
     # Claims are cut out of long texts, so they are stored once and read back for each step.
     claims = durable(claims.select(scope, "type", "article", "ord", "claim"))
-    rows = claims.filter(F.col("type") != rules.CLAIM_DATE).withColumn("v", value).filter("v > 0")
-    opens = later_extremes(rows, [scope, "type"], "ord", "v").filter(
+    rows = claims.filter(F.col("type") != rules.CLAIM_DATE).withColumn("v", value).filter("v > 0 and article is not null")
+    values = rows.select(scope, "type", "article", "ord", "v")
+    heads = later_extremes_elsewhere(values, [scope, "type"], "ord", "v", "article").filter(
         (F.col("hi") / F.col("v") > ratio) | (F.col("v") / F.col("lo") > ratio)
-    ).drop("hi", "lo")
-    most = opens.groupBy(scope, "type").agg(F.count("*").alias("most"))
-    ranked = opens.withColumn("r", F.row_number().over(Window.partitionBy(scope, "type").orderBy("ord")))
-
-    def first_heads(count: int) -> DataFrame:
-        return durable(ranked.filter(F.col("r") <= count).join(most, [scope, "type"]))
-
-    right = rows.select(scope, "type", F.col("ord").alias("ord_b"), F.col("article").alias("article_b"),
-                        F.col("claim").alias("claim_b"), F.col("v").alias("v_b"))
+    ).withColumn("r", F.row_number().over(Window.partitionBy(scope, "type").orderBy("ord"))).filter(F.col("r") <= limit)
+    left = heads.select(scope, "type", F.col("ord").alias("ord_a"), F.col("article").alias("article_a"), F.col("v").alias("v_a"))
+    right = values.select(scope, "type", F.col("ord").alias("ord_b"), F.col("article").alias("article_b"), F.col("v").alias("v_b"))
     nearest = F.row_number().over(Window.partitionBy(scope, "type", "ord_a").orderBy("ord_b"))
-    stored, wanted = 16, 1
-    heads = first_heads(stored)
-    while True:
-        pairs = heads.filter(F.col("r") <= wanted).select(
-            scope, "type", F.col("ord").alias("ord_a"), F.col("article").alias("article_a"),
-            F.col("claim").alias("claim_a"), F.col("v").alias("v_a"),
-        ).join(right, [scope, "type"]).filter(
-            (F.col("ord_b") > F.col("ord_a")) & (F.col("article_a") != F.col("article_b"))
-            & (F.greatest("v_a", "v_b") / F.least("v_a", "v_b") > ratio)
-        )
-        pairs = durable(pairs.withColumn("_n", nearest).filter(F.col("_n") <= limit).drop("_n"))
-        # A type with too few pairs and more claims to try is looked at further.
-        found = pairs.groupBy(scope, "type").agg(F.count("*").alias("n"))
-        short = heads.groupBy(scope, "type").agg(F.max("most").alias("most")).join(found, [scope, "type"], "left").filter(
-            (F.col("most") > wanted) & (F.coalesce("n", F.lit(0)) < limit)
-        )
-        if short.isEmpty():
-            break
-        wanted *= 16
-        if wanted > stored:
-            stored = wanted
-            heads = first_heads(stored)
+    pairs = right.join(left, [scope, "type"]).filter(
+        (F.col("ord_b") > F.col("ord_a")) & (F.col("article_a") != F.col("article_b"))
+        & (F.greatest("v_a", "v_b") / F.least("v_a", "v_b") > ratio)
+    ).withColumn("_n", nearest).filter(F.col("_n") <= limit)
     kinds = F.array(*[F.lit(k) for k, _ in rules.CLAIM_PATTERNS])
     first_kind = claims.groupBy(scope, "type").agg(F.min("ord").alias("kind_ord"))
     ordered = pairs.join(first_kind, [scope, "type"]).withColumn(
         "no", F.row_number().over(Window.partitionBy(scope).orderBy("kind_ord", F.array_position(kinds, F.col("type")), "ord_a", "ord_b"))
-    )
-    return ordered.filter(F.col("no") <= limit).select(
-        scope, "no", "type", "article_a", "claim_a", "article_b", "claim_b"
-    )
+    ).filter(F.col("no") <= limit)
+    told = claims.select(scope, "ord", "claim")
+    for side in ("a", "b"):
+        ordered = ordered.join(told.withColumnsRenamed({"ord": f"ord_{side}", "claim": f"claim_{side}"}), [scope, f"ord_{side}"])
+    return ordered.select(scope, "no", "type", "article_a", "claim_a", "article_b", "claim_b")
 
 
 def lint_text(text: Column, as_of_day: Column, min_citations: int = 8) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsweft.session import durable
@@ -32,15 +32,41 @@ def running_number(df: DataFrame, scope: Sequence[str], order: Sequence[str], na
     ).drop("_range", "_inside", "_before")
 
 
-def later_extremes(df: DataFrame, scope: Sequence[str], order: str, value: str) -> DataFrame:
-    """Adds ``hi`` and ``lo``: the extremes of ``value`` over the rows of the scope that come later."""
+def later_best(df: DataFrame, scope: Sequence[str], order: str, best: dict[str, Column]) -> DataFrame:
+    """Adds per name the greatest value of its expression over the rows of the scope that come later.
+
+    The greatest of a range stands for its rows in the ranges before, so no scope is gathered in one task.
+    """
     scope = list(scope)
-    ranges = in_ranges(df, scope, [order])
+    ranges = in_ranges(df.withColumns({f"_of_{n}": e for n, e in best.items()}), scope, [order])
     after = Window.partitionBy(*scope).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
-    totals = ranges.groupBy(*scope, "_range").agg(F.max(value).alias("_max"), F.min(value).alias("_min"))
-    beyond = totals.select(*scope, "_range", F.max("_max").over(after).alias("_hi"), F.min("_min").over(after).alias("_lo"))
+    totals = ranges.groupBy(*scope, "_range").agg(*[F.max(f"_of_{n}").alias(f"_all_{n}") for n in best])
+    beyond = totals.select(*scope, "_range", *[F.max(f"_all_{n}").over(after).alias(f"_beyond_{n}") for n in best])
     inside = Window.partitionBy(*scope, "_range").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
-    local = ranges.withColumn("_h", F.max(value).over(inside)).withColumn("_l", F.min(value).over(inside))
-    return local.join(beyond, [*scope, "_range"]).withColumn("hi", F.greatest("_h", "_hi")).withColumn(
-        "lo", F.least("_l", "_lo")
-    ).drop("_range", "_h", "_l", "_hi", "_lo")
+    local = ranges.withColumns({f"_in_{n}": F.max(f"_of_{n}").over(inside) for n in best})
+    return local.join(beyond, [*scope, "_range"]).select(
+        *df.columns, *[F.array_max(F.array(f"_in_{n}", f"_beyond_{n}")).alias(n) for n in best]
+    )
+
+
+def later_extremes_elsewhere(df: DataFrame, scope: Sequence[str], order: str, value: str, owner: str) -> DataFrame:
+    """Adds ``hi`` and ``lo``: the extremes of ``value`` over later rows of the scope with another ``owner``.
+
+    The first pass finds the extreme and its owner behind each row. A row that has another owner than the extreme behind it
+    brings the lesser of both as the best of a second owner; the second pass runs over these.
+    """
+    v, who = F.col(value), F.col(owner)
+    # The low side is negated, so that both sides look for the greatest.
+    one = later_best(df, scope, order, {
+        "_h1": F.struct(v.alias(value), who.alias(owner)), "_l1": F.struct((-v).alias(value), who.alias(owner)),
+    })
+    second = {
+        f"_{side}2": F.when(F.col(f"_{side}1")[owner] != who, F.least(F.col(f"_{side}1")[value], sign * v))
+        for side, sign in (("h", 1), ("l", -1))
+    }
+    two = later_best(one, scope, order, second)
+
+    def other(side: str) -> Column:
+        return F.when(F.col(f"_{side}1")[owner] != who, F.col(f"_{side}1")[value]).otherwise(F.col(f"_{side}2"))
+
+    return two.select(*df.columns, other("h").alias("hi"), (-other("l")).alias("lo"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsweft import rules
 from newsweft.plans.registry import query, table
 from newsweft.streaming import jobs as J
 
@@ -15,11 +16,30 @@ def event_stream(spark: SparkSession, sf: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]").withColumn("at", F.col("ts").cast("timestamp"))
 
 
-@query("stream_dedup_links")
+def _memory_sql(days: int) -> str:
+    """Each link's first time, then again and again the first one beyond the memory of the one before."""
+    return f"""WITH RECURSIVE e AS (SELECT DISTINCT user_id || '/' || event_type AS link, ts FROM events),
+  r AS (SELECT link, min(ts) AS ts FROM e GROUP BY link
+    UNION ALL SELECT r.link, min(e.ts) FROM r JOIN e ON e.link = r.link AND e.ts > r.ts + INTERVAL {days} DAY GROUP BY r.link)
+  SELECT link, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM r"""
+
+
+def remembered(spark: SparkSession, sf: str, days: int) -> DataFrame:
+    rows = event_stream(spark, sf).select(F.concat_ws("/", "user_id", "event_type").alias("link"), "at")
+    taken = J.drain(J.dedup_within(rows, "at", "link", days))
+    return taken.select("link", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+@query("stream_dedup_links", _memory_sql(rules.SENT_RETENTION_DAYS))
 def stream_dedup_links(spark: SparkSession, sf: str) -> DataFrame:
-    link = F.concat_ws("/", "user_id", "event_type")
-    rows = event_stream(spark, sf).select("at", link.alias("link"))
-    return J.drain(J.dedup_within(rows, "at", ["link"])).select("link")
+    """The seven-day memory of sent links."""
+    return remembered(spark, sf, rules.SENT_RETENTION_DAYS)
+
+
+@query("stream_dedup_repositories", _memory_sql(rules.REPO_RETENTION_DAYS))
+def stream_dedup_repositories(spark: SparkSession, sf: str) -> DataFrame:
+    """The longer memory of repositories; an event's user and type stand for one."""
+    return remembered(spark, sf, rules.REPO_RETENTION_DAYS)
 
 
 @query("stream_sessions", """SELECT strftime(time_bucket(INTERVAL '12 hours', ts, INTERVAL '8 hours'), '%Y-%m-%d %H:%M') AS start,

@@ -23,9 +23,43 @@ from newsweft.operators import sessions as S
 from newsweft.session import ensure_checkpoint_dir
 
 
-def dedup_within(stream: DataFrame, ts: str, keys: list[str], days: int = rules.SENT_RETENTION_DAYS) -> DataFrame:
-    """Drop what was sent within the last days; state older than that is forgotten."""
-    return stream.withWatermark(ts, f"{days} days").dropDuplicatesWithinWatermark(keys)
+def dedup_within(stream: DataFrame, ts: str, key: str, days: int = rules.SENT_RETENTION_DAYS) -> DataFrame:
+    """Rows ``key, ts`` taken: those with no row of the same key taken within the ``days`` before.
+
+    A refused row does not lengthen the memory. The state of a key is the time of its last taken row, so
+    the result does not depend on how the stream is cut; it goes when no row in time can fall into it. A row later than
+    the watermark, or not after its key's last taken one when it comes, is late and refused.
+    """
+    span = pd.Timedelta(days=days)
+    key_type, ts_type = (stream.schema[c].dataType.simpleString() for c in (key, ts))
+
+    def update(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = pd.Timestamp(state.get[0]) if state.exists else None
+        taken = []
+        for when in _distinct_times(batches, ts):
+            if last is None or when > last + span:
+                taken.append(when)
+                last = when
+        state.update((last,))
+        # Kept until the watermark is past the memory; it must lie ahead of the watermark as it is now.
+        gone = int((last + span).timestamp() * 1000)
+        state.setTimeoutTimestamp(max(gone, state.getCurrentWatermarkMs()) + 1)
+        yield pd.DataFrame({key: [group[0]] * len(taken), ts: pd.Series(taken, dtype="datetime64[ns]")})
+
+    return stream.withWatermark(ts, f"{days} days").select(key, ts).groupBy(key).applyInPandasWithState(
+        update, f"{key} {key_type}, {ts} {ts_type}", f"last {ts_type}", "append", GroupStateTimeout.EventTimeTimeout,
+    )
+
+
+def _distinct_times(batches: Iterator[pd.DataFrame], ts: str) -> pd.DatetimeIndex:
+    """The times of a key in a micro-batch, sorted; eight bytes a distinct time are held, not rows."""
+    times = pd.DatetimeIndex([])
+    for rows in batches:
+        times = times.union(pd.DatetimeIndex(rows[ts].dropna().unique()))
+    return times.unique().sort_values()
 
 
 def session_counts(stream: DataFrame, ts: str, delay: str = "1 hour",

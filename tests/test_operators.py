@@ -151,6 +151,27 @@ def test_conflicts_look_past_own_article(spark):
     assert got == [(f"{10 ** (i % 2 + 1)}%", "other") for i in range(10)]
 
 
+def test_conflicts_like_all_pairs(spark):
+    """Few articles, many values, ties and an article without a name, against all pairs."""
+    rng = random.Random(5)
+    rows = [
+        (run, rng.choice(["百分比", "金额"]), rng.choice(["x", "x", "x", "y", "z", None]), i, f"{rng.choice([10, 10, 11, 12, 14])}%")
+        for run in (1, 2) for i in range(80)
+    ] + [(3, "百分比", "x", i, f"{10 + i}%") for i in range(40)]
+    df = spark.createDataFrame(rows, "run int, type string, article string, ord int, claim string")
+    first = {(run, kind): min(r[3] for r in rows if r[0] == run and r[1] == kind) for run, kind, *_ in rows}
+    want = []
+    for run in (1, 2, 3):
+        pairs = [
+            (first[run, a[1]], a[3], b[3]) for a in rows for b in rows
+            if a[0] == b[0] == run and a[1] == b[1] and a[3] < b[3] and a[2] and b[2] and a[2] != b[2]
+            and max(int(a[4][:-1]), int(b[4][:-1])) / min(int(a[4][:-1]), int(b[4][:-1])) > 1.2
+        ]
+        want += [(run, i + 1, rows[80 * (run - 1) + a][4], rows[80 * (run - 1) + b][4]) for i, (_, a, b) in enumerate(sorted(pairs)[:10])]
+    found = quality.number_conflicts(df, "run", ratio=1.2).collect()
+    assert sorted((r.run, r.no, r.claim_a, r.claim_b) for r in found) == want
+
+
 def test_lint(value):
     day = F.lit("2026-06-01").cast("date")
     ok = "自我审计" + "📰 来源：x" * 8

@@ -33,15 +33,21 @@ def test_sessions(spark, daily):
     assert got == {(r.start, r["count"]) for r in want if r.start < last}
 
 
-def test_dedup_forgets_after_the_window(spark, tmp_path):
-    """State goes when the watermark passes it, so the batch of day 17 clears the one of day 1."""
-    for day, link in ((1, "a"), (3, "a"), (17, "x"), (20, "a"), (21, "a")):
-        rows = [(datetime(2026, 1, day), link)]
-        spark.createDataFrame(rows, "at timestamp, link string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+MEMORY_CASES = ((1, "a"), (3, "a"), (8, "a"), (9, "a"), (9, "b"), (17, "x"), (17, "a"), (20, "a"), (25, "a"), (25, "a"))
+
+
+@pytest.mark.parametrize("days_a_file", [1, 31])
+def test_link_memory_does_not_depend_on_the_cut(spark, tmp_path, days_a_file):
+    """Taken on days 1, 9 and 17: day 8 is still within seven days of day 1; a refused row does not lengthen the memory."""
     schema = "at timestamp, link string"
+    files = {}
+    for day, link in MEMORY_CASES:
+        files.setdefault(day // days_a_file, []).append((datetime(2026, 1, day), link))
+    for _, rows in sorted(files.items()):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    links = sorted(r.link for r in J.drain(J.dedup_within(source, "at", ["link"])).collect())
-    assert links == ["a", "a", "x"]
+    got = sorted((r.link, r["at"].day) for r in J.drain(J.dedup_within(source, "at", "link")).collect())
+    assert got == [("a", 1), ("a", 9), ("a", 17), ("a", 25), ("b", 9), ("x", 17)]
 
 
 def test_gate(spark, daily):
