@@ -4,60 +4,69 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from newsweft import rules
 from newsweft.operators.ranges import running_number
 
 
-_GAP = b"\n\n"
-
+def chunk_by_bytes(text: Column, limit: int = rules.CHUNK_BYTES) -> Column:
+    """Paragraphs packed into messages of at most ``limit`` UTF-8 bytes, four at least.
 
-def _cut(raw: bytes, limit: int) -> list[bytes]:
-    """Pieces of at most ``limit`` bytes that never end inside a character."""
-    out, start = [], 0
-    while start < len(raw):
-        end = min(start + limit, len(raw))
-        while end < len(raw) and end > start and raw[end] & 0xC0 == 0x80:
-            end -= 1
-        if end == start:
-            # A limit below one character: take the character whole.
-            end = start + 1
-            while end < len(raw) and raw[end] & 0xC0 == 0x80:
-                end += 1
-        out.append(raw[start:end])
-        start = end
-    return out
+    A message is a stretch of the text's bytes, so the fold over the paragraphs carries places and sizes only. A paragraph
+    above the limit is a stretch of its own, cut afterwards so that no piece ends inside a character. A text without any
+    character but gaps stays whole.
+    """
+    if limit < 4:
+        raise ValueError("a message has to hold four bytes, the longest character")
+    raw = text.cast("binary")
+    sizes = F.transform(F.split(text, "\n\n"), F.octet_length)
+    none = F.lit(0)
+    start = F.struct(
+        F.array().cast("array<struct<at:int,size:int>>").alias("done"), none.alias("at"), none.alias("size"), none.alias("pos")
+    )
 
+    def closed(acc: Column) -> Column:
+        message = F.struct(acc["at"].alias("at"), acc["size"].alias("size"))
+        return F.when(acc["size"] > 0, F.array_append(acc["done"], message)).otherwise(acc["done"])
+
+    def step(acc: Column, n: Column) -> Column:
+        longer = acc["size"] + 2 + n
+        fits = (acc["size"] > 0) & (longer <= limit)
+        return F.struct(
+            F.when(fits, acc["done"]).otherwise(closed(acc)).alias("done"),
+            F.when(fits, acc["at"]).otherwise(acc["pos"]).alias("at"),
+            F.when(fits, longer).otherwise(n).alias("size"),
+            (acc["pos"] + n + 2).alias("pos"),
+        )
 
-def chunk_by_bytes(text: Column, limit: int = rules.CHUNK_BYTES) -> Column:
-    """Paragraphs packed into messages of at most ``limit`` UTF-8 bytes."""
-
-    @F.pandas_udf(ArrayType(StringType()))
-    def pack(texts: pd.Series) -> pd.Series:
-        def one(value: str) -> list[str]:
-            whole = value.encode("utf-8")
-            if len(whole) <= limit:
-                return [value]
-            messages: list[bytes] = []
-            growing = False
-            for para in whole.split(_GAP):
-                if growing and messages[-1] and len(messages[-1]) + len(_GAP) + len(para) <= limit:
-                    messages[-1] += _GAP + para
-                elif len(para) <= limit:
-                    messages.append(para)
-                    growing = True
-                else:
-                    messages += _cut(para, limit)
-                    growing = False
-            return [m.decode("utf-8") for m in messages if m] or [value]
-
-        return texts.map(one)
-
-    return pack(text)
+    def inside(at: Column) -> Column:
+        return F.hex(F.substr(raw, at + 1, F.lit(1))).between("80", "BF")
+
+    def cut(message: Column) -> Column:
+        """Pieces of a paragraph above the limit; a piece is at most three bytes short."""
+        end = message["at"] + message["size"]
+
+        def piece(acc: Column, _: Column) -> Column:
+            most = acc["at"] + limit
+            stop = (
+                F.when(most >= end, end).when(~inside(most), most).when(~inside(most - 1), most - 1)
+                .when(~inside(most - 2), most - 2).otherwise(most - 3)
+            )
+            part = F.struct(acc["at"].alias("at"), (stop - acc["at"]).alias("size"))
+            return F.struct(
+                F.when(acc["at"] < end, F.array_append(acc["done"], part)).otherwise(acc["done"]).alias("done"), stop.alias("at")
+            )
+
+        first = F.struct(F.array().cast("array<struct<at:int,size:int>>").alias("done"), message["at"].alias("at"))
+        turns = F.sequence(F.lit(1), F.ceil(message["size"] / (limit - 3)).cast("int"))
+        return F.aggregate(turns, first, piece, lambda acc: acc["done"])
+
+    found = F.aggregate(sizes, start, step, closed)
+    stretches = F.flatten(F.transform(found, lambda m: F.when(m["size"] > limit, cut(m)).otherwise(F.array(m))))
+    messages = F.transform(stretches, lambda m: F.decode(F.substr(raw, m["at"] + 1, m["size"]), "UTF-8"))
+    return F.when((F.octet_length(text) <= limit) | (F.size(messages) == 0), F.array(text)).otherwise(messages)
 
 
 def chunk_by_chars(text: Column, limit: int = rules.CHUNK_CHARS) -> Column:

@@ -112,7 +112,7 @@ def review_sample(issues: DataFrame, size: int = 30, seed: int = 7) -> DataFrame
     With no more issues than ``size`` all are taken. Sorting by a hash and taking the head keeps
     only ``size`` rows per task.
     """
-    key = F.xxhash64(F.lit(seed), *[F.col(c).cast("string") for c in ISSUE_KEY])
+    key = F.md5(F.concat_ws("|", F.lit(seed), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ISSUE_KEY]))
     return unique_issues(issues).orderBy(key, *ISSUE_KEY).limit(size)
 
 

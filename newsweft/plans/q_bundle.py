@@ -16,6 +16,7 @@ from newsweft.operators.evidence import primary_source as primary
 from newsweft.plans.articles import ARTICLES_SQL, articles
 from newsweft.plans.q_evidence import cards
 from newsweft.plans.registry import query, table
+from newsweft.plans.walks_sql import chunks_sql
 
 
 def _runs(spark: SparkSession, sf: str) -> DataFrame:
@@ -200,7 +201,18 @@ def health_issues(spark: SparkSession, sf: str) -> DataFrame:
                            F.lit("2024-01-31 00:00:00").cast("timestamp_ntz"))
 
 
-@query("chunk_by_bytes")
+# The hex digits of a line tell where a character begins; a line is cut again and again at the last such place.
+_BYTE_CUTS = """cuts AS (SELECT p AS whole, 0::BIGINT AS n, NULL::VARCHAR AS piece, hex(encode(p)) AS rest FROM
+    (SELECT DISTINCT unnest(string_split(text, chr(10))) AS p FROM documents) WHERE strlen(p) > 2000
+  UNION ALL SELECT whole, n + 1, decode(unhex(substr(rest, 1, 2 * e))), substr(rest, 2 * e + 1) FROM
+    (SELECT *, CASE WHEN substr(rest, 4001, 2) NOT BETWEEN '80' AND 'BF' THEN 2000 WHEN substr(rest, 3999, 2) NOT BETWEEN '80' AND 'BF' THEN 1999
+      WHEN substr(rest, 3997, 2) NOT BETWEEN '80' AND 'BF' THEN 1998 ELSE 1997 END AS e FROM cuts WHERE rest <> '')),
+  cut AS (SELECT whole, list(piece ORDER BY n) AS pieces FROM cuts WHERE n > 0 GROUP BY whole)"""
+_BYTE_CHUNKS = chunks_sql("documents", "doc_id", 2000, "strlen", "(SELECT pieces FROM cut WHERE whole = p)", tight=False)
+_CHAR_CUT = f"list_transform(range(0, ceil(length(p) / {rules.CHUNK_CHARS}::DOUBLE)::BIGINT), lambda i: substr(p, i * {rules.CHUNK_CHARS} + 1, {rules.CHUNK_CHARS}))"
+
+
+@query("chunk_by_bytes", f"WITH RECURSIVE {_BYTE_CUTS}, {_BYTE_CHUNKS} SELECT doc_id, no, strlen(chunk)::INTEGER AS bytes, sha256(chunk) AS sha256 FROM chunks")
 def chunk_by_bytes(spark: SparkSession, sf: str) -> DataFrame:
     """Whole texts, their lines as paragraphs, packed into messages of 2,000 bytes."""
     text = F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n"))
@@ -208,7 +220,8 @@ def chunk_by_bytes(spark: SparkSession, sf: str) -> DataFrame:
     return chunks.select("doc_id", "no", F.octet_length("chunk").alias("bytes"), F.sha2("chunk", 256).alias("sha256"))
 
 
-@query("chunk_by_chars")
+@query("chunk_by_chars", f"""WITH RECURSIVE {chunks_sql('documents', 'doc_id', rules.CHUNK_CHARS, 'length', _CHAR_CUT, tight=True)}
+  SELECT doc_id, no, length(chunk)::INTEGER AS chars, sha256(chunk) AS sha256 FROM chunks""")
 def chunk_by_chars(spark: SparkSession, sf: str) -> DataFrame:
     text = F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n"))
     chunks = table(spark, sf, "documents").select("doc_id", F.posexplode(C.chunk_by_chars(text)).alias("no", "chunk"))

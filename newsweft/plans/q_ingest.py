@@ -151,11 +151,34 @@ def per_source_limit(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("feed_order_accept")
+_TAKES = f"""NOT list_contains(titles, t) AND NOT list_contains(links, link)
+        AND len(list_filter(feeds, lambda x: x = e.source)) < {rules.MAX_PER_FEED}"""
+_ACCEPTED = f"""WITH RECURSIVE {ARTICLES_SQL},
+  e AS (SELECT id, run_key, source, link, md5(lower(title)) AS t, row_number() OVER (PARTITION BY run_key ORDER BY feed_idx, entry_idx) AS pos
+    FROM art WHERE title <> ''),
+  walk AS (SELECT run_key, 0::BIGINT AS pos, NULL::BIGINT AS id, NULL::VARCHAR AS source, []::VARCHAR[] AS titles, []::VARCHAR[] AS links,
+      []::VARCHAR[] AS feeds FROM e GROUP BY run_key
+    UNION ALL SELECT run_key, pos, CASE WHEN ok THEN id END, source, CASE WHEN ok THEN list_append(titles, t) ELSE titles END,
+      CASE WHEN ok THEN list_append(links, link) ELSE links END, CASE WHEN ok THEN list_append(feeds, source) ELSE feeds END
+    FROM (SELECT e.*, titles, links, feeds, {_TAKES} AS ok FROM walk w JOIN e ON e.run_key = w.run_key AND e.pos = w.pos + 1))
+  SELECT id, source, run_key FROM walk WHERE id IS NOT NULL"""
+
+
+def accepted(spark: SparkSession, sf: str, **sizes: int) -> DataFrame:
+    rows = articles(spark, sf).select("id", "source", "title", "link", "feed_idx", "entry_idx", "run_key")
+    return dedup.accept_in_order(rows, "run_key", rules.MAX_PER_FEED, **sizes).select("id", "source", "run_key")
+
+
+@query("feed_order_accept", _ACCEPTED)
 def feed_order_accept(spark: SparkSession, sf: str) -> DataFrame:
     """The sequential rule: only rows taken mark their title and link as seen."""
-    rows = articles(spark, sf).select("id", "source", "title", "link", "feed_idx", "entry_idx", "run_key")
-    return dedup.accept_in_order(rows, "run_key", rules.MAX_PER_FEED).select("id", "source", "run_key")
+    return accepted(spark, sf)
+
+
+@query("feed_order_rounds", _ACCEPTED)
+def feed_order_rounds(spark: SparkSession, sf: str) -> DataFrame:
+    """The same by the rounds of joins that a run beyond one task takes."""
+    return accepted(spark, sf, limit=0)
 
 
 @query("sent_left_anti", """WITH sent AS (SELECT DISTINCT o_custkey AS k FROM orders

@@ -133,11 +133,11 @@ def unwritten_runs(spark: SparkSession, sf: str) -> DataFrame:
     return L.should_skip_run(events.select("week").distinct(), done, "week")
 
 
-@query("proposal_status", """WITH p AS (SELECT p_brand AS run, p_name, p_size, p_partkey, p_type FROM part WHERE p_size < 4)
+@query("proposal_status", """WITH p AS (SELECT p_brand AS run, p_name, p_size, p_partkey, p_type FROM part)
   SELECT run, count(*) AS proposals, count(*) FILTER (WHERE p_size = 2 OR p_partkey % 10 = 0) AS incomplete,
     count(*) <= 5 AND count(*) FILTER (WHERE p_size = 2 OR p_partkey % 10 = 0) = 0 AS valid FROM p GROUP BY run""")
 def proposal_status(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "part").filter("p_size < 4").select(
+    rows = table(spark, sf, "part").select(
         F.col("p_brand").alias("run"), F.col("p_partkey").alias("entry_id"), F.col("p_name").alias("claim"),
         F.col("p_type").alias("when_to_use"), F.when(F.col("p_size") == 2, " ").otherwise("never").alias("when_not_to_use"),
         F.array(F.struct(F.when(F.col("p_partkey") % 10 == 0, "").otherwise("https://e.org").alias("url"))).alias("evidence"),
@@ -217,13 +217,13 @@ def event_updates(spark: SparkSession, sf: str) -> DataFrame:
     return EV.event_updates(empty, batch, matches, day_lit()).select("event_id", "article_id", "title")
 
 
-@query("active_events", """SELECT user_id AS event_id, CAST(max(ts)::DATE AS VARCHAR) AS latest_seen FROM events WHERE event_type = 'purchase'
-  GROUP BY user_id HAVING max(ts)::DATE >= DATE '2024-02-27' - 30""")
+@query("active_events", """SELECT user_id AS event_id, CAST(max(ts)::DATE AS VARCHAR) AS latest_seen FROM events
+  GROUP BY user_id HAVING max(ts)::DATE >= DATE '2024-02-29' - 30""")
 def active_events(spark: SparkSession, sf: str) -> DataFrame:
-    archive = table(spark, sf, "events").filter("event_type = 'purchase'").groupBy(F.col("user_id").alias("event_id")).agg(
+    archive = table(spark, sf, "events").groupBy(F.col("user_id").alias("event_id")).agg(
         F.max(F.to_date("ts")).alias("latest_seen")
     )
-    return EV.active_events(archive, day_lit("2024-02-27")).withColumn("latest_seen", F.col("latest_seen").cast("string"))
+    return EV.active_events(archive, day_lit("2024-02-29")).withColumn("latest_seen", F.col("latest_seen").cast("string"))
 
 
 # --------------------------------------------------------------------------- weekly
@@ -318,7 +318,7 @@ def card_validity(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("render_completeness", """WITH w AS (SELECT DISTINCT o_custkey AS run, o_orderkey AS article_id FROM orders WHERE o_orderstatus <> 'P'),
   h AS (SELECT o_custkey AS run, CASE WHEN l_linenumber = 7 THEN -o_orderkey ELSE o_orderkey END AS article_id, count(*) AS times
-    FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity < 8 GROUP BY ALL),
+    FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL),
   b AS (SELECT coalesce(w.run, h.run) AS run, w.article_id AS want, times FROM w FULL JOIN h ON w.run = h.run AND w.article_id = h.article_id)
   SELECT run, count(want) AS expected, count(*) FILTER (WHERE want IS NOT NULL AND times IS NOT NULL) AS rendered,
     count(*) FILTER (WHERE times IS NULL) AS missing, count(*) FILTER (WHERE want IS NULL) AS unexpected, count(*) FILTER (WHERE times > 1) AS repeated,
@@ -326,7 +326,7 @@ def card_validity(spark: SparkSession, sf: str) -> DataFrame:
 def render_completeness(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("run"), "o_orderkey", "o_orderstatus")
     expected = orders.filter("o_orderstatus <> 'P'").select("run", F.col("o_orderkey").alias("article_id"))
-    lines = table(spark, sf, "lineitem").filter("l_quantity < 8").select("l_orderkey", "l_linenumber")
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
     found = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
         "run", F.when(F.col("l_linenumber") == 7, -F.col("o_orderkey")).otherwise(F.col("o_orderkey")).alias("article_id")
     )
@@ -358,16 +358,18 @@ def unique_issues(spark: SparkSession, sf: str) -> DataFrame:
     return R.unique_issues(issues(spark, sf))
 
 
-@query("seeded_review_sample")
+@query("seeded_review_sample", """WITH u AS (SELECT DISTINCT strftime(l_shipdate, '%Y-%m') AS run_key, l_suppkey AS article_id, l_returnflag AS code,
+  l_quantity::INTEGER AS normalized_value FROM lineitem)
+  SELECT * FROM u ORDER BY md5(concat_ws('|', 7, run_key, article_id, code, normalized_value)) LIMIT 30""")
 def seeded_review_sample(spark: SparkSession, sf: str) -> DataFrame:
     return R.review_sample(issues(spark, sf))
 
 
 @query("false_alarm_rates", """WITH u AS (SELECT DISTINCT strftime(l_shipdate, '%Y-%m') AS run_key, l_suppkey AS article_id, l_returnflag AS code,
-  l_quantity::INTEGER AS v FROM lineitem WHERE l_quantity < 5) SELECT code, count(*) AS reviewed, count(*) FILTER (WHERE v % 3 = 0) AS false_alarms,
+  l_quantity::INTEGER AS v FROM lineitem) SELECT code, count(*) AS reviewed, count(*) FILTER (WHERE v % 3 = 0) AS false_alarms,
   count(*) FILTER (WHERE v % 3 = 0) / count(*) AS rate FROM u GROUP BY ROLLUP (code)""")
 def false_alarm_rates(spark: SparkSession, sf: str) -> DataFrame:
-    sample = R.unique_issues(issues(spark, sf)).filter("normalized_value < 5")
+    sample = R.unique_issues(issues(spark, sf))
     return R.false_alarm_rates(sample, sample.withColumn("false_alarm", F.col("normalized_value") % 3 == 0))
 
 
