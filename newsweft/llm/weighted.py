@@ -11,6 +11,8 @@
    only its leaders go on.
 5. ``verified``: the weighted Jaccard similarity of the candidate pairs, from the shingles themselves.
 6. ``components``: linked texts form a class, by alternating large-star and small-star steps.
+7. ``unlinked``: leaders only save work; a text may fail the exact test with all of them. So in every bucket that still holds more than
+   one class, each text is compared with the texts of the other classes, and steps 5 and 6 are done once more.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from newsweft.session import durable
 SHINGLE, THRESHOLD = 5, 0.8
 #: Bands and samples in a band; likeness by samples from which two texts of a bucket are compared exactly.
 BANDS, ROWS, LIKE = 14, 3, 0.6
+#: Texts of a bucket that one cell of ``unlinked`` holds, besides those of its smaller classes.
+CELL = 2000
 #: How much heavier the rarest shingle is than one that every text has. It is mild on purpose: the shingles of a large group of
 #: copies are frequent, and weighed down strongly they would let a few edits part the group.
 RARITY = 0.25
@@ -43,9 +47,9 @@ BUCKET_DDL = "bucket int, texts binary, sizes binary, keys binary, counts binary
 BUCKET_SCHEMA = pa.schema([("bucket", pa.int32()), *((c, _binary) for c in ("texts", "sizes", "keys", "counts"))])
 PART_DDL = "part int, texts binary, sizes binary, keys binary, counts binary, held binary"
 PART_SCHEMA = pa.schema([("part", pa.int32()), *((c, _binary) for c in ("texts", "sizes", "keys", "counts", "held"))])
-SIGNED_DDL = "text binary, shingles binary, weights binary, total double, band int, band_key long, samples binary, leader binary"
+SIGNED_DDL = "text binary, shingles binary, weights binary, total double, keys array<long>, band int, band_key long, samples binary, leader binary"
 SIGNED_SCHEMA = pa.schema([
-    ("text", _binary), ("shingles", _binary), ("weights", _binary), ("total", pa.float64()), ("band", pa.int32()), ("band_key", pa.int64()), ("samples", _binary), ("leader", _binary),
+    ("text", _binary), ("shingles", _binary), ("weights", _binary), ("total", pa.float64()), ("keys", pa.list_(pa.int64())), ("band", pa.int32()), ("band_key", pa.int64()), ("samples", _binary), ("leader", _binary),
 ])
 
 
@@ -182,7 +186,10 @@ def samples(text: np.ndarray, key: np.ndarray, weight: np.ndarray, number: int)
 
 
 def lead(names: np.ndarray, key: np.ndarray, drawn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Leaders among the entries of each bucket, and the pairs of leader and entry that are like each other."""
+    """Leaders among the entries of each bucket, and the pairs of leader and entry that are like each other.
+
+    Of three or more, those lead first whose samples agree most with all others, as an original does with copies edited apart.
+    """
     order = np.lexsort((names.view(">u8").reshape(-1, 2)[:, 1], names.view(">u8").reshape(-1, 2)[:, 0], key))
     cuts = np.nonzero(np.concatenate([[True], key[order][1:] != key[order][:-1], [True]]))[0]
     leaders, left, right = [order[cuts[:-1][np.diff(cuts) == 1]]], [], []
@@ -190,6 +197,10 @@ def lead(names: np.ndarray, key: np.ndarray, drawn: np.ndarray) -> tuple[np.ndar
         if b - a == 1:
             continue
         own = order[a:b]
+        if len(own) > 2:
+            column = drawn[own].astype(U) + (np.arange(BANDS * ROWS).astype(U) << U(32))
+            _, which, times = np.unique(column.ravel(), return_inverse=True, return_counts=True)
+            own = own[np.argsort(-times[which].reshape(column.shape).sum(axis=1), kind="stable")]
         waits = np.ones(len(own), bool)
         while waits.any():
             head = int(waits.argmax())
@@ -269,7 +280,7 @@ def signatures(parts: DataFrame, texts: int, threshold: float, number: int) -> D
         for k in range(len(names)):
             a, b = cuts[k], cuts[k + 1]
             sort = np.argsort(short[a:b], kind="stable")
-            out.append({"text": name(k), "shingles": short[a:b][sort].tobytes(), "weights": heavy[a:b][sort].tobytes(), "total": float(shared[k] + own[k])})
+            out.append({"text": name(k), "shingles": short[a:b][sort].tobytes(), "weights": heavy[a:b][sort].tobytes(), "total": float(shared[k] + own[k]), "keys": keys[k].astype(np.int64).tolist(), "samples": drawn[k].tobytes()})
         pairs: set[tuple[int, int]] = set()
         for b in range(BANDS):
             leaders, left, right = lead(names, keys[:, b], drawn)
@@ -301,6 +312,46 @@ def candidates(signed: DataFrame, number: int) -> DataFrame:
     return both.select(F.least("leader", "text").alias("a"), F.greatest("leader", "text").alias("b")).where("a <> b").distinct()
 
 
+def unlinked(signed: DataFrame, linked: DataFrame, number: int) -> DataFrame:
+    """Pairs of texts that meet in a bucket, are like each other and not linked yet, each once.
+
+    The largest class of a bucket is cut into cells; all its other texts go to each cell.
+    """
+
+    def meet(table: pa.Table) -> pa.Table:
+        names = np.frombuffer(b"".join(table.column("text").to_pylist()), KEY)
+        _, root = np.unique(np.frombuffer(b"".join(table.column("root").to_pylist()), KEY), return_inverse=True)
+        drawn = np.frombuffer(b"".join(table.column("samples").to_pylist()), np.uint32).reshape(len(names), -1)
+        key, cell = table.column("band_key").to_numpy(), table.column("cell").to_numpy()
+        minor, home = (np.array(table.column(c).to_pylist(), bool) for c in ("minor", "home"))
+        order = np.lexsort((cell, key))
+        fresh = (key[order][1:] != key[order][:-1]) | (cell[order][1:] != cell[order][:-1])
+        cuts = np.nonzero(np.concatenate([[True], fresh, [True]]))[0].tolist()
+        raw = names.tobytes()
+        pairs = set()
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            own = order[a:b]
+            here = own[home[own]]
+            for k in own[minor[own]].tolist():
+                rest = here[root[here] != root[k]]
+                for j in rest[(drawn[rest] == drawn[k]).mean(axis=1) >= LIKE].tolist():
+                    p, q = raw[16 * k : 16 * k + 16], raw[16 * j : 16 * j + 16]
+                    pairs.add((min(p, q), max(p, q)))
+        return pa.table({"a": pa.array([p for p, _ in pairs], _binary), "b": pa.array([q for _, q in pairs], _binary)})
+
+    held = signed.where(F.col("shingles").isNotNull()).select("text", "samples", "keys")
+    held = held.join(linked.withColumnRenamed("node", "text"), "text", "left").withColumn("root", F.coalesce("root", "text"))
+    sizes = held.select("root", F.explode("keys").alias("band_key")).groupBy("band_key", "root").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("band_key").agg(F.sum("n").alias("n"), F.count("*").alias("roots"), F.max(F.struct("n", "root")).alias("most"))
+    mixed = durable(mixed.where("roots > 1").select("band_key", F.ceil(F.col("n") / CELL).cast("int").alias("cells"), F.col("most.root").alias("most")))
+    rows = held.select("text", "root", "samples", F.explode("keys").alias("band_key")).join(mixed, "band_key")
+    rows = rows.withColumns({"minor": F.col("root") != F.col("most"), "own": F.pmod(F.xxhash64("text"), "cells").cast("int")})
+    rows = rows.withColumn("cell", F.explode(F.when(F.col("minor"), F.sequence(F.lit(0), F.col("cells") - 1)).otherwise(F.array("own"))))
+    rows = rows.select("text", "root", "samples", "band_key", "minor", "cell", (F.col("cell") == F.col("own")).alias("home"))
+    rows = rows.withColumn("deal", F.pmod(F.xxhash64("band_key", "cell"), F.lit(4 * number)))
+    return rows.groupBy("deal").applyInArrow(meet, "a binary, b binary").distinct()
+
+
 def verified(pairs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
     """The pairs whose weighted Jaccard similarity is at least the threshold."""
     held = signed.where(F.col("shingles").isNotNull()).select("text", "shingles", "weights", "total")
@@ -355,6 +406,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     parts = frequencies(shingle_rows(docs, number), number)
     signed = durable(signatures(parts, docs.count(), threshold, number))
     linked = components(verified(candidates(signed, number), signed, threshold))
+    more = durable(verified(unlinked(signed, linked, number), signed, threshold))
+    if more.head(1):
+        linked = components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     least = members.groupBy("text").agg(F.min("doc_id").alias("least"))
     roots = least.join(linked.withColumnRenamed("node", "text"), "text", "left").select("text", "least", F.coalesce("root", "text").alias("root"))
     # A class of one text needs no join; all others take the least id over their texts.

@@ -213,6 +213,48 @@ def test_near_duplicates(docs, rows, nothing):
     assert near_duplicates(nothing).count() == 0
 
 
+def test_near_duplicates_of_a_star(spark):
+    """Copies of one original edited apart: each is near the original only, so all have to be found through it."""
+    rng = random.Random(5)
+    original = sentence(rng, 300).split()
+    texts = [" ".join(original)]
+    for _ in range(300):
+        words = list(original)
+        for p in rng.sample(range(5, 295, 12), 5):
+            words[p] = f"edit{rng.random()}"
+        texts.append(" ".join(words))
+    # A chain: each is near its neighbours, the ends are not near each other.
+    words = sentence(rng, 300).split()
+    for k in range(40):
+        texts.append(" ".join(words))
+        for p in range(7 + k, 300, 60):
+            words[p] = f"step{k}.{p}"
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    shingles = [collections.Counter(tuple(w[p : p + 5]) for p in range(len(w) - 4)) for w in map(str.split, texts)]
+    held = collections.Counter(g for s in shingles for g in s)
+    weight = {g: 1 + 0.25 * math.log(len(texts) / n) / math.log(len(texts)) for g, n in held.items()}
+    total = [sum(c * weight[g] for g, c in s.items()) for s in shingles]
+    root = list(range(len(texts)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    pairs = 0
+    for a in range(len(texts)):
+        for b in range(a):
+            both = sum(min(c, shingles[b][g]) * weight[g] for g, c in shingles[a].items() if g in shingles[b])
+            if both and both >= 0.8 * (total[a] + total[b] - both):
+                pairs += 1
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    assert 300 <= pairs < 1000
+    got = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: find(k) for k in range(len(texts))}
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 90), (90, 80)], "a long, b long")
     assert {(r.node, r.root) for r in components(edges).collect()} == {(k, 0) for k in range(1, 41)} | {(90, 80), (100, 80)}
