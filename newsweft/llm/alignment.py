@@ -1,8 +1,9 @@
-"""Benchmark passages in training texts: rare n-gram seeds, then local alignment.
+"""Benchmark passages in training texts: n-gram seeds, then local alignment.
 
-Of the word n-grams of each test item the locally rarer ones, by the number of training texts that hold them, are its seeds. Where a seed
-stands in a training text, the words around it are aligned with the item (Smith-Waterman), so edited copies score too. The items go
-out in blocks of bounded size, each block against all texts; no text is moved.
+All word n-grams of a test item are its seeds, so what is found in one text doesn't depend on others. Where a seed stands in a training
+text, the words around it are aligned with the item (Smith-Waterman), so edited copies score too; stretches that hold too few of the
+item's words for the least score are left out before. The items go out in blocks of bounded size, each block against all texts; no
+text is moved.
 """
 
 from __future__ import annotations
@@ -96,46 +97,11 @@ def text_grams(words: Words, width: int, shorter: list[int]) -> Iterator[tuple[n
             yield at, runs[at]
 
 
-def text_counts(docs: DataFrame, keys: np.ndarray, width: int, shorter: list[int]) -> np.ndarray:
-    """How many texts hold each of the sorted keys."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros(len(keys), np.int64)
-        for batch in batches:
-            buf, at = flat(batch.column("text"))
-            for _, j, data, places in slices(buf, at):
-                words = plain_words(data, places)
-                for where, key in text_grams(words, width, shorter):
-                    slot = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                    hit = keys[slot] == key
-                    pairs = np.unique(slot[hit] * np.int64(len(places)) + words.doc[where[hit]])
-                    found += np.bincount(pairs // len(places), minlength=len(keys))
-        at = np.nonzero(found)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(found[at])], names=["slot", "n"])
-
-    out = np.zeros(len(keys), np.int64)
-    for row in docs.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
-        out[row.slot] = row.n
-    return out
-
-
 def copies_of(docs: DataFrame, ids: list[int | None], words: list[np.ndarray], seed_words: int, least_score: float) -> DataFrame:
     """Rows of the training texts that hold a copy of an item of the block."""
     item, place, key = item_grams(words, seed_words)
     shorter = sorted({len(w) for w in words if len(w) < seed_words})
-    keys = np.unique(key)
-    texts_with = text_counts(docs, keys, seed_words, shorter)[np.searchsorted(keys, key)]
-    # Grams stand in the order of their items. One that is more frequent than both neighbours is no seed; so of any two
-    # neighbours one stays, however frequent a copied item is. A gram that no text has is no neighbour.
-    held = np.where(texts_with > 0, texts_with, np.inf)
-    left, right = np.full(len(held), np.inf), np.full(len(held), np.inf)
-    joined = item[1:] == item[:-1]
-    left[1:][joined] = held[:-1][joined]
-    right[:-1][joined] = held[1:][joined]
-    edge = np.concatenate([[True], ~joined]), np.concatenate([~joined, [True]])
-    common = (edge[0] | (held > left)) & (edge[1] | (held > right)) & ~(edge[0] & edge[1])
-    seeds = np.nonzero((texts_with > 0) & ~common)[0]
-    seeds = seeds[np.argsort(key[seeds], kind="stable")]
+    seeds = np.argsort(key, kind="stable")
     seed_key, seed_item, seed_place = key[seeds], item[seeds], place[seeds]
     length = np.array([len(w) for w in words])
     start = np.concatenate([[0], np.cumsum(length)])
@@ -177,11 +143,22 @@ def copies_of(docs: DataFrame, ids: list[int | None], words: list[np.ndarray], s
                     b = int((stop - first)[some].max())
                     rows = flat_words[np.minimum(start[it[some]][:, None] + np.arange(a)[None, :], len(flat_words) - 1)]
                     cols = words.hash[np.minimum(first[some][:, None] + np.arange(b)[None, :], len(words.hash) - 1)]
+                    # The score is at most the number of the item's words that the stretch holds.
+                    inside = np.arange(b)[None, :] < (stop - first)[some][:, None]
+                    most = np.zeros(len(some), np.int64)
+                    for k in range(a):
+                        most += ((cols == rows[:, k, None]) & inside).any(axis=1) & (k < length[it[some]])
+                    enough = most * MATCH >= least_score * MATCH * length[it[some]]
+                    if not enough.any():
+                        continue
+                    some, rows, cols = some[enough], rows[enough], cols[enough]
                     score, end = best_scores(rows, length[it[some]], cols, (stop - first)[some])
                     share = score / (MATCH * length[it[some]])
                     good = share >= least_score
                     end = first[some] + end - words.at[doc[some]]
                     out.append((doc[some][good], it[some][good], share[good], np.maximum(end - length[it[some]], 0)[good], end[good]))
+                if not out:
+                    continue
                 doc, it, share, begin, end = (np.concatenate(x) for x in zip(*out, strict=True))
                 # One row for each text and item: its best copy.
                 order = np.lexsort((begin, -share, it, doc))

@@ -467,3 +467,14 @@ def test_benchmark_copies(docs, nothing, spark):
     again = {(r.doc_id, r.item_id): r.score for r in benchmark_copies(both, bench, block_words=20).where("item_id <> 4 or item_id is null").collect()}
     assert again == {k: v for k, v in got.items() if k[1] != 4}
     assert benchmark_copies(nothing, bench).count() == 0 and benchmark_copies(docs, bench.limit(0)).count() == 0
+
+
+def test_an_exact_copy_elsewhere_hides_no_edited_copy(spark):
+    rng = random.Random(31)
+    item = [f"w{k}" for k in range(20)]
+    edited = [w if k % 5 != 4 else f"new{k}" for k, w in enumerate(item)]
+    docs = [(k, sentence(rng, 30) + " " + " ".join(w) + " " + sentence(rng, 30)) for k, w in enumerate([item, edited])]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    found = lambda rows: {r.doc_id for r in benchmark_copies(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert found(docs[1:]) == {1}
+    assert found(docs) == {0, 1}
