@@ -32,10 +32,23 @@ MARKS = frozenset(
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 WORD = re.compile(r"[a-z]+")
+#: Words with which a class tells that something is not there or is only beside it; share of the page's unlinked text from which a
+#: container is kept whatever its class is.
+NOT = frozenset("has have no not non with without of hide hidden show".split())
+MOST = 0.8
 #: So many paths of a host are remembered.
 PATHS = 8
 
 
+def surrounds(value: str) -> bool:
+    """Whether a class or id has a token that is a mark, or begins or ends with one and is not about its absence or presence."""
+    for token in value.lower().split():
+        words = WORD.findall(token)
+        if words and (token in MARKS or ((words[0] in MARKS or words[-1] in MARKS) and NOT.isdisjoint(words))):
+            return True
+    return False
+
+
 class Page:
     """Blocks of a page outside its surroundings: text, characters in links, and the number of the container."""
 
@@ -44,6 +57,7 @@ class Page:
         self.parents: list[int] = [-1]
         self.blocks: list[tuple[int, str]] = []
         self.links: list[int] = []
+        marked = [-1]  # the outermost container around each one that is marked by its class
         stack: list[tuple[str, int, bool]] = [("", 0, False)]
         text: list[str] = []
         linked, in_link, at, skip = 0, False, 0, ""
@@ -91,15 +105,29 @@ class Page:
                             break
                 else:
                     marks: list[str] = []
+                    by_class = False
                     for a in ATTRIBUTE.finditer(found[3]):
-                        marks += WORD.findall((a[2] or a[3] or a[4] or "").lower())
-                    around = stack[-1][2] or tag in AROUND or (tag not in ("html", "body") and not MARKS.isdisjoint(marks))
+                        value = a[2] or a[3] or a[4] or ""
+                        marks += WORD.findall(value.lower())
+                        by_class = by_class or surrounds(value)
+                    around = stack[-1][2] or tag in AROUND
+                    # An article within an article is a comment, and may be dropped.
+                    spared = tag in ("html", "body", "main") or (tag == "article" and all(s[0] != "article" for s in stack))
+                    outer = marked[stack[-1][1]]
+                    marked.append(len(self.paths) if outer < 0 and by_class and not spared else outer)
                     self.paths.append(f"{self.paths[stack[-1][1]]}/{'.'.join([tag, *sorted(set(marks))])}")
                     self.parents.append(stack[-1][1])
                     stack.append((tag, len(self.paths) - 1, around))
         if at < len(source) and not stack[-1][2]:
             text.append(source[at:])
         close()
+        held: dict[int, float] = {}
+        for (k, line), linked in zip(self.blocks, self.links, strict=True):
+            held[marked[k]] = held.get(marked[k], 0.0) + max(0.0, len(line) - 2.0 * linked)
+        most = MOST * sum(held.values())
+        keep = [marked[k] < 0 or 0 < most <= held[marked[k]] for k, _ in self.blocks]
+        self.blocks = [b for b, good in zip(self.blocks, keep, strict=True) if good]
+        self.links = [n for n, good in zip(self.links, keep, strict=True) if good]
 
     def votes(self) -> dict[str, float]:
         """Score of each path: characters outside links of the blocks right in it, and half of those one level deeper."""

@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 
 from newsweft.llm.alignment import benchmark_copies
 from newsweft.llm.archive import archive_pages, read_records, warc_record, write_archive
-from newsweft.llm.hostpaths import host_paths, main_texts
+from newsweft.llm.hostpaths import Page, host_paths, main_texts
 from newsweft.llm.huffman import canonical, checksum, code_lengths, decoding_table, from_bits, huffman_store, stretch_sizes, to_bits
 from newsweft.llm.lyndon import lyndon_groups, suffix_array
 from newsweft.llm.packing import fillings, make_plan, nonnegative, pack
@@ -478,3 +478,11 @@ def test_an_exact_copy_elsewhere_hides_no_edited_copy(spark):
     found = lambda rows: {r.doc_id for r in benchmark_copies(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
     assert found(docs[1:]) == {1}
     assert found(docs) == {0, 1}
+
+
+@pytest.mark.parametrize("mark", ["class='site-main has-sidebar'", "class='post no-comments'", "class='content with-menu'", "id='share-of-voice'", "class='content widget'"])
+def test_main_container_is_no_surrounding(mark):
+    found = Page(page(f"<div {mark}><p>{'words of the text ' * 20}</p></div><div class='comment-list'><p>me too</p></div><div class='ad'>buy</div>"))
+    assert [line for _, line in found.blocks] == [("words of the text " * 20).strip()]
+    beside = Page(page(f"<main class='widget'><p>one of the main</p><div {mark}>two</div></main><div class='comments'><p>me me</p></div>"))
+    assert [line for _, line in beside.blocks][0] == "one of the main" and not any("me me" in line for _, line in beside.blocks)
