@@ -1,8 +1,9 @@
 """Main text of web pages by consensus of their hosts.
 
 Each page scores its containers by the text that stands right in them. A container's path (tags and classes, without numbers) gets
-the page's vote; Spark adds the votes of a host. Then every page is read again and gives the text under the best path of
-its host that it has.
+the page's vote; Spark adds the votes of a host. Then every page is read again and gives the text under the nearest common container of
+the best path and all other paths with a share of the host's text, or under the article or main element around it, with what stands
+right in the containers above.
 """
 
 from __future__ import annotations
@@ -36,8 +37,8 @@ WORD = re.compile(r"[a-z]+")
 #: container is kept whatever its class is.
 NOT = frozenset("has have no not non with without of hide hidden show".split())
 MOST = 0.8
-#: So many paths of a host are remembered.
-PATHS = 8
+#: So many paths of a host are remembered in order; share of the host's text right in a path from which it belongs to the main text.
+PATHS, SHARE = 8, 0.02
 
 
 def surrounds(value: str) -> bool:
@@ -141,12 +142,30 @@ class Page:
                     out[self.paths[up]] = out.get(self.paths[up], 0.0) + score / 2
         return out
 
-    def text(self, path: str) -> str:
-        """The blocks under all containers of a path, in page order."""
+    def own(self) -> dict[str, float]:
+        """Characters outside links right in each path."""
+        out: dict[str, float] = {}
+        for (k, line), linked in zip(self.blocks, self.links, strict=True):
+            if len(line) > 2 * linked:
+                out[self.paths[k]] = out.get(self.paths[k], 0.0) + len(line) - 2.0 * linked
+        return out
+
+    def text(self, wanted: set[str]) -> str:
+        """The blocks under the nearest common container of the wanted paths, and those right above it, in page order."""
+        common: list[int] | None = None
+        for k in sorted({k for (k, line), linked in zip(self.blocks, self.links, strict=True) if len(line) > 2 * linked and self.paths[k] in wanted}):
+            line_up = [k]
+            while line_up[-1] > 0:
+                line_up.append(self.parents[line_up[-1]])
+            line_up.reverse()
+            common = line_up if common is None else [a for a, b in zip(common, line_up, strict=False) if a == b]
+        common = common or [0]
+        whole = next((k for k in common if self.paths[k].rpartition("/")[2].split(".")[0] in ("article", "main")), common[-1])
         inside = [False] * len(self.paths)
-        for k, p in enumerate(self.paths):
-            inside[k] = p == path or (self.parents[k] >= 0 and inside[self.parents[k]])
-        return "\n".join(line for k, line in self.blocks if inside[k])
+        for k in range(len(self.paths)):
+            inside[k] = k == whole or (self.parents[k] >= 0 and inside[self.parents[k]])
+        blocks = zip(self.blocks, self.links, strict=True)
+        return "\n".join(line for (k, line), linked in blocks if inside[k] or (k in common and len(line) > 2 * linked))
 
 
 def host_of(url: str) -> F.Column:
@@ -155,21 +174,31 @@ def host_of(url: str) -> F.Column:
 
 def host_paths(pages: DataFrame) -> DataFrame:
     """``host`` and its paths, the one with most votes first."""
+    return voted_paths(pages).select("host", "paths")
+
+
+def voted_paths(pages: DataFrame) -> DataFrame:
+    """``host``, its ``paths``, the one with most votes first, and the ``wide`` ones, with a share of the host's text right in them."""
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, paths, scores = [], [], []
+            hosts, paths, scores, owns = [], [], [], []
             for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                for path, score in Page(source or "").votes().items():
+                page = Page(source or "")
+                own = page.own()
+                for path, score in page.votes().items():
                     hosts.append(host)
                     paths.append(path)
                     scores.append(score)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(scores, pa.float64())], names=["host", "path", "score"])
+                    owns.append(own.get(path, 0.0))
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(scores, pa.float64()), pa.array(owns, pa.float64())], names=["host", "path", "score", "own"])
 
-    votes = pages.select(host_of("url").alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(vote, "host string, path string, score double")
-    sums = votes.groupBy("host", "path").agg(F.sum("score").alias("score"))
-    ranked = sums.groupBy("host").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("score"), "path"))), 1, PATHS).alias("best"))
-    return ranked.select("host", F.col("best.path").alias("paths"))
+    votes = pages.select(host_of("url").alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(vote, "host string, path string, score double, own double")
+    sums = votes.groupBy("host", "path").agg(F.sum("score").alias("score"), F.sum("own").alias("own"))
+    best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("score"), "path"))), 1, PATHS)
+    ranked = sums.groupBy("host").agg(best.alias("best"), F.collect_list(F.struct("own", "path")).alias("all"), F.sum("own").alias("total"))
+    wide = F.filter("all", lambda x: x["own"] >= SHARE * F.col("total"))
+    return ranked.select("host", F.col("best.path").alias("paths"), F.transform(wide, lambda x: x["path"]).alias("wide"))
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
@@ -182,14 +211,17 @@ def main_texts(pages: DataFrame) -> DataFrame:
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for source, paths in zip(batch.column("html").to_pylist(), batch.column("paths").to_pylist(), strict=True):
+            for source, paths, wide in zip(*(batch.column(c).to_pylist() for c in ("html", "paths", "wide")), strict=True):
                 page = Page(source or "")
                 votes = page.votes()
                 own = sorted(votes, key=lambda p: (-votes[p], p))
                 best = next((p for p in paths or [] if p in votes), own[0] if own else None)
-                texts.append("" if best is None else page.text(best))
+                if best is not None and best not in (paths or []):
+                    own_text = page.own()
+                    wide = [p for p in own_text if own_text[p] >= SHARE * sum(own_text.values())]
+                texts.append("" if best is None else page.text({best, *(wide or [])}))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    paths = durable(host_paths(pages))  # stored, so that Spark knows its size when it chooses the join
+    paths = durable(voted_paths(pages))  # stored, so that Spark knows its size when it chooses the join
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host_of("url").alias("host"))
-    return rows.join(paths, "host", "left").select("page_id", "url", "html", "paths").mapInArrow(extract, "page_id long, url string, text string").withColumn("n_chars", F.char_length("text").cast("long"))
+    return rows.join(paths, "host", "left").select("page_id", "url", "html", "paths", "wide").mapInArrow(extract, "page_id long, url string, text string").withColumn("n_chars", F.char_length("text").cast("long"))

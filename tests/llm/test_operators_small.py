@@ -486,3 +486,19 @@ def test_main_container_is_no_surrounding(mark):
     assert [line for _, line in found.blocks] == [("words of the text " * 20).strip()]
     beside = Page(page(f"<main class='widget'><p>one of the main</p><div {mark}>two</div></main><div class='comments'><p>me me</p></div>"))
     assert [line for _, line in beside.blocks][0] == "one of the main" and not any("me me" in line for _, line in beside.blocks)
+
+
+def test_whole_articles(spark):
+    long = "long words of the text " * 40
+    bodies = {
+        "a": f"<article><h1>Head</h1><p>lead</p><section><p>{long}</p></section><section><p>second</p></section></article>",
+        "b": f"<div class=post><h1>Head</h1><div class=intro><p>{'intro ' * 20}</p></div><div class=body><p>{long}</p></div></div>",
+        "c": f"<div class=post><h1>Head</h1><p>before</p><ul><li>{long}</li><li>{long}</li></ul><p>after</p></div>",
+    }
+    rows = [(10 * i + k, f"http://{h}.example/{k}", page(f"{b}<div class=comments>no</div>")) for i, (h, b) in enumerate(bodies.items()) for k in range(3)]
+    got = {r.page_id: r.text.split("\n") for r in main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    long = long.strip()
+    for k in range(3):
+        assert got[k] == ["Head", "lead", long, "second"]
+        assert got[10 + k] == ["Head", ("intro " * 20).strip(), long]
+        assert got[20 + k] == ["Head", "before", long, long, "after"]
