@@ -11,7 +11,7 @@ from newsweft import rules
 from newsweft.functions.text import bundle_title_key, leading_int
 from newsweft.operators.evidence import primary_source
 from newsweft.operators.fuzzy import both_ways, similar_titles
-from newsweft.operators.greedy import keep_first
+from newsweft.operators.greedy import WALK_LIMIT, keep_first
 from newsweft.session import durable
 
 ITEM = ("article_id", "title", "url", "publisher", "score", "evidence_complete", "source_system",
@@ -76,7 +76,7 @@ def source_status(items: DataFrame, targets: DataFrame, systems: Sequence[str],
 
 
 def dedupe_bundle(items: DataFrame, first_source: str, date: str = "date", limit: int | None = rules.BUNDLE_LIMIT,
-                  **sizes: int) -> DataFrame:
+                  walk_limit: int = WALK_LIMIT) -> DataFrame:
     """Items of each date in order of evidence, source and score, without repeated URLs or titles.
 
     ``items(id, <date>, title, url, evidence_complete, source_system, score, pos)``. A row is dropped
@@ -92,8 +92,8 @@ def dedupe_bundle(items: DataFrame, first_source: str, date: str = "date", limit
     rows = durable(rows)
     titles = rows.filter("title_key <> ''").select(date, "title_key").distinct()
     pairs = both_ways(similar_titles(titles, [date]), [date])
-    kept = keep_first(rows.select("id", "ord", date, "url_key", "title_key"), pairs, date, **sizes)
-    out = rows.join(kept, "id", "left_semi").withColumn(
+    kept = keep_first(rows.select("id", "ord", date, "url_key", "title_key"), pairs, date, walk_limit)
+    out = rows.join(kept, [date, "id"], "left_semi").withColumn(
         "rank", F.row_number().over(Window.partitionBy(date).orderBy("ord"))
     )
     out = out if limit is None else out.filter(F.col("rank") <= limit)

@@ -2,24 +2,56 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from newsweft import rules
+from newsweft.functions.text import let
 from newsweft.session import durable
 
-POSITION_STEP = 16
+#: Characters of context that a gram carries on each side, the longest gram, and the pieces of a group.
+AROUND, LONGEST_GRAM, GROUP = 18, 6, 4
+#: Stands for what is before and after a title; no title key holds it.
+PAD = "\x01" * AROUND
+#: The common subsequence is looked at again after so many characters.
+LOOK_EVERY = 64
 
 
-@F.pandas_udf(DoubleType())
-def match_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Share of characters in matching blocks, as the standard library defines it."""
-    return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right)], dtype="float64")
+def common_subsequence_reaches(a: str, b: str, least: int) -> bool:
+    """Whether the longest common subsequence has ``least`` characters, by bit-parallel rows.
+
+    One whole number holds a row of the table; the walk ends as soon as the characters left can't make up for those lost.
+    """
+    if len(a) > len(b):
+        a, b = b, a
+    places: dict[str, int] = {}
+    for i, c in enumerate(b):
+        places[c] = places.get(c, 0) | 1 << i
+    full = (1 << len(b)) - 1
+    row = full
+    for i, c in enumerate(a):
+        hit = row & places.get(c, 0)
+        row = ((row + hit) | (row - hit)) & full
+        if i % LOOK_EVERY == LOOK_EVERY - 1 and len(b) - row.bit_count() + len(a) - i - 1 < least:
+            return False
+    return len(b) - row.bit_count() >= least
+
+
+def ratio_reaches(a: str, b: str, ratio: float) -> bool:
+    """Whether the share of characters in matching blocks, as the standard library defines it, reaches ``ratio``.
+
+    The share depends on the side in rare cases, so either direction may call the titles equal. The blocks are a common
+    subsequence, which is tried first.
+    """
+    total = len(a) + len(b)
+    least = int(total * ratio / 2 - 1e-6)
+    return common_subsequence_reaches(a, b, least) and any(
+        SequenceMatcher(None, x, y).ratio() >= ratio for x, y in ((a, b), (b, a))
+    )
 
 
 def _edits(length: Column, slack: float) -> Column:
@@ -29,63 +61,107 @@ def _edits(length: Column, slack: float) -> Column:
 
 
 def _gram_length(length: Column, edits: Column) -> Column:
-    return F.greatest(F.least(F.floor(length / (edits + 1)), F.lit(6)), F.lit(1)).cast("int")
+    return F.greatest(F.least(F.floor(length / (edits + 1)), F.lit(LONGEST_GRAM)), F.lit(1)).cast("int")
 
 
-def similar_titles(titles: DataFrame, keys: Sequence[str], ratio: float = rules.FUZZY_TITLE_RATIO) -> DataFrame:
-    """Pairs of different titles with match ratio >= ``ratio``: ``keys, t1, t2``, shorter title first.
+def _windows(title: Column, gram: Column) -> Column:
+    """The gram at each place with its context on both sides; one pass over the title."""
+    size = F.concat(F.lit("(?s)(?=(.{"), (gram + 2 * AROUND).cast("string"), F.lit("}))"))
+    return F.regexp_extract_all(F.concat(F.lit(PAD), title, F.lit(PAD)), size, F.lit(1))
+
+
+def _piece_rows(windows: Column, n: Column, edits: Column, gram: Column) -> Column:
+    """Of each piece of a title, joined: its window, the characters of its group before and after the gram, and the
+    most edit distance of these. A group is ``GROUP`` pieces side by side."""
+    pieces = edits + 1
 
-    ``titles(keys, title_key)`` must be distinct and not empty. A ratio of r allows at most
-    ``(1 - r) * (len1 + len2)`` insertions and deletions. Cutting the shorter title into one piece
-    more than that leaves a piece that the longer one holds unchanged, at a place shifted by no more
-    than the edits; the head of each piece and its coarse place make the block. No pair is lost.
-    Candidates are then thinned by edit distance on the JVM before the ratio is computed.
+    def begin(piece: Column) -> Column:
+        return F.floor(piece * n / pieces).cast("int")
+
+    def row(i: Column) -> Column:
+        first = i - i % GROUP
+        end = F.least(first + GROUP, pieces)
+        before = F.least(begin(i) - begin(first), F.lit(AROUND))
+        after = F.least(begin(end) - begin(i) - gram, F.lit(AROUND))
+        return F.concat_ws(
+            "\x02", F.element_at(windows, begin(i) + 1), before.cast("string"), after.cast("string"),
+            (2 * (end - first - 1)).cast("string"),
+        )
+
+    return F.array_distinct(F.transform(F.sequence(F.lit(0), edits), row))
+
+
+def candidate_titles(titles: DataFrame, keys: Sequence[str], slack: float) -> DataFrame:
+    """Pairs ``keys, t1, t2`` of ids that may be similar; none that is gets lost. ``titles(keys, _id, title_key)``.
+
+    At most ``slack * (len1 + len2)`` insertions and deletions lie between two similar titles. The shorter one is cut into
+    one piece more than that, so a piece is left unchanged; and of the groups of pieces side by side one has fewer edits
+    than pieces, so around its unchanged piece the longer title reads nearly alike: its edit distance there, place by place,
+    is at most twice the edits. Each title gives at most one row per character and gram length, and windows that repeat
+    within it count once.
     """
     keys = list(keys)
-    slack = 1.0 - ratio
-    base = titles.select(*keys, "title_key").withColumn("_n", F.length("title_key"))
+    # Titles are few bytes but much work, so they are dealt to all cores.
+    tasks = int(titles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    base = titles.repartition(tasks, "_id").select(*keys, "_id", "title_key", F.length("title_key").alias("_n"))
     edits = _edits(F.col("_n"), slack)
-    short = base.withColumn("_d", edits).withColumn("_q", _gram_length(F.col("_n"), F.col("_d")))
-    piece = F.col("_n") / (F.col("_d") + 1)
-    starts = F.transform(F.sequence(F.lit(0), F.col("_d")), lambda i: F.floor(i * piece).cast("int"))
-    shorter = short.select(
-        *keys, F.col("title_key").alias("t1"), F.col("_n").alias("_n1"), "_q",
-        F.explode(F.array_distinct(starts)).alias("_at1"),
-    ).select(
-        *keys, "t1", "_n1", "_q", "_at1", F.expr("substring(t1, _at1 + 1, _q)").alias("_gram"),
-        F.floor(F.col("_at1") / POSITION_STEP).cast("int").alias("_place"),
+    short = base.withColumn("_d", edits).filter("_d > 0").withColumn("_q", _gram_length(F.col("_n"), F.col("_d")))
+    rows = let(
+        _windows(F.col("title_key"), F.col("_q")), lambda w: _piece_rows(w, F.col("_n"), F.col("_d"), F.col("_q"))
     )
-    # A longer title looks up the grams of every gram length that shorter partners may use, at every
-    # place they may come from: at most all edits before it inserted characters, or half deleted some.
-    low = F.ceil(F.col("_n") * ((1 - slack) / (1 + slack)) - 1e-9).cast("int")
-    lengths = F.array_distinct(
-        F.transform(F.sequence(F.greatest(low, F.lit(1)), F.col("_n")), lambda m: _gram_length(m, _edits(m, slack)))
+    part = F.split("_piece", "\x02")
+    shorter = short.select(*keys, F.col("_id").alias("t1"), F.col("_n").alias("_n1"), "_q", F.explode(rows).alias("_piece")).select(
+        *keys, "t1", "_n1", "_q", part[0].alias("_w1"), part[1].cast("int").alias("_before"), part[2].cast("int").alias("_after"),
+        part[3].cast("int").alias("_most"), F.substring(part[0], F.lit(AROUND + 1), F.col("_q")).alias("_gram"),
     )
-    at, d2 = F.col("_at2"), F.col("_d2")
-    probes = base.withColumn("_d2", edits).withColumn("_q", F.explode(lengths)).filter("_n >= _q").select(
-        *keys, F.col("title_key").alias("t2"), F.col("_n").alias("_n2"), "_q", "_d2",
-        F.explode(F.sequence(F.lit(0), F.col("_n") - F.col("_q"))).alias("_at2"),
-    ).select(
-        *keys, "t2", "_n2", "_q", "_at2", F.expr("substring(t2, _at2 + 1, _q)").alias("_gram"),
-        F.explode(F.sequence(
-            F.greatest(F.floor((at - d2) / POSITION_STEP), F.lit(0)).cast("int"),
-            F.floor((at + d2 / 2) / POSITION_STEP).cast("int"),
-        )).alias("_place"),
+    # A longer title looks up the grams of every gram length that shorter partners may use.
+    low = F.ceil(F.col("_n") * ((1 - slack) / (1 + slack)) - 1e-9).cast("int")
+    lengths = F.array_distinct(F.transform(
+        F.filter(F.sequence(F.greatest(low, F.lit(1)), F.col("_n")), lambda m: _edits(m, slack) > 0),
+        lambda m: _gram_length(m, _edits(m, slack)),
+    ))
+    longer = base.withColumn("_q", F.explode(lengths)).filter("_n >= _q").select(
+        *keys, F.col("_id").alias("t2"), F.col("_n").alias("_n2"), "_q",
+        F.explode(F.array_distinct(_windows(F.col("title_key"), F.col("_q")))).alias("_w2"),
+    ).withColumn("_gram", F.substring(F.col("_w2"), F.lit(AROUND + 1), F.col("_q")))
+
+    def distance(start: Column, size: Column) -> Column:
+        return F.levenshtein(F.substring(F.col("_w1"), start, size), F.substring(F.col("_w2"), start, size))
+
+    before = distance(F.lit(AROUND + 1) - F.col("_before"), F.col("_before"))
+    after = distance(F.lit(AROUND + 1) + F.col("_q"), F.col("_after"))
+    allowed = (F.col("_n1") + F.col("_n2")) * slack + 1e-9
+    ordered = (F.col("_n1") < F.col("_n2")) | ((F.col("_n1") == F.col("_n2")) & (F.col("t1") < F.col("t2")))
+    fits = ordered & (F.col("_n2") - F.col("_n1") <= allowed)
+    # A CASE keeps the costly distances behind the cheap tests.
+    alike = F.when(fits, (before + after) <= F.col("_most")).otherwise(False)
+    # The rows are many times the titles they come from, which no estimate sees: never broadcast.
+    return shorter.join(longer.hint("shuffle_merge"), [*keys, "_q", "_gram"]).filter(alike).select(*keys, "t1", "t2").distinct()
+
+
+def similar_titles(titles: DataFrame, keys: Sequence[str], ratio: float = rules.FUZZY_TITLE_RATIO) -> DataFrame:
+    """Pairs of different titles with match ratio >= ``ratio``: ``keys, t1, t2``, shorter title first, else the smaller one.
+
+    ``titles(keys, title_key)`` must be distinct and not empty. Titles of any length are whole; candidates come from
+    ``candidate_titles``, by the hash of a title, and each is settled by the ratio itself.
+    """
+    keys = list(keys)
+    named = durable(titles.select(*keys, "title_key").withColumn("_id", F.sha2("title_key", 256)))
+    pairs = durable(candidate_titles(named, keys, 1.0 - ratio))
+    both = pairs.join(named.select(*keys, F.col("_id").alias("t1"), F.col("title_key").alias("_a")), [*keys, "t1"]).join(
+        named.select(*keys, F.col("_id").alias("t2"), F.col("title_key").alias("_b")), [*keys, "t2"]
     )
-    allowed, longer = (F.col("_n1") + F.col("_n2")) * slack + 1e-9, F.col("_n2") - F.col("_n1")
-    shift = F.col("_at2") - F.col("_at1")
-    candidates = shorter.join(probes, [*keys, "_q", "_gram", "_place"]).filter(
-        ((F.col("_n1") < F.col("_n2")) | ((F.col("_n1") == F.col("_n2")) & (F.col("t1") < F.col("t2"))))
-        & (longer <= allowed) & (shift <= (allowed + longer) / 2) & (shift >= (longer - allowed) / 2)
+
+    def settle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame[[ratio_reaches(a, b, ratio) for a, b in zip(frame["_a"], frame["_b"])]]
+
+    both = both.select(*keys, "_a", "_b")
+    first, second = (
+        F.when((F.length("_a") < F.length("_b")) | ((F.length("_a") == F.length("_b")) & (F.col("_a") < F.col("_b"))), x).otherwise(y)
+        for x, y in ((F.col("_a"), F.col("_b")), (F.col("_b"), F.col("_a")))
     )
-    # A pair is found through many pieces. Stored as one row first, or the optimizer would move the
-    # costly distance test before the cheap ones.
-    near = durable(candidates.select(*keys, "t1", "t2").distinct()).filter(F.expr(
-        f"levenshtein(t1, t2, cast(floor((length(t1) + length(t2)) * {slack!r} + 1e-9) as int)) >= 0"
-    ))
-    # The ratio depends on the side in rare cases, so either direction may call them equal.
-    either = F.greatest(match_ratio(F.col("t1"), F.col("t2")), match_ratio(F.col("t2"), F.col("t1")))
-    return near.withColumn("ratio", either).filter(F.col("ratio") >= ratio).select(*keys, "t1", "t2")
+    return both.mapInPandas(settle, both.schema).select(*keys, first.alias("t1"), second.alias("t2"))
 
 
 def both_ways(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -171,7 +171,7 @@ def keep_first(rows: DataFrame, title_pairs: DataFrame, scope: str, limit: int =
     """Drop a row when an earlier *kept* row has the same URL or a similar title.
 
     ``rows(id, ord, <scope>, url_key, title_key)``; ``title_pairs(<scope>, t1, t2)``: similar,
-    different title keys in both directions. Returns the ids kept.
+    different title keys in both directions. Returns ``(<scope>, id)`` of the rows kept; an id may stand in many runs.
     """
     rows = durable(rows.select("id", "ord", scope, "url_key", "title_key"))
     title_pairs = durable(title_pairs.select(scope, "t1", "t2"))
@@ -191,12 +191,13 @@ def keep_first(rows: DataFrame, title_pairs: DataFrame, scope: str, limit: int =
             urls.add(url)
             if title:
                 titles.add(title)
-        return pd.DataFrame({"id": pd.Series(kept, dtype=nodes["id"].dtype)})
+        return pd.DataFrame({scope: nodes[scope].iloc[:1].repeat(len(kept)).to_numpy(), "id": pd.Series(kept, dtype=nodes["id"].dtype)})
 
+    kind = {c: rows.schema[c].dataType.simpleString() for c in (scope, "id")}
     kept = (
         rows.join(small, scope, "left_semi").groupBy(scope)
         .cogroup(title_pairs.join(small, scope, "left_semi").groupBy(scope))
-        .applyInPandas(walk, f"id {rows.schema['id'].dataType.simpleString()}")
+        .applyInPandas(walk, f"{scope} {kind[scope]}, id {kind['id']}")
     )
     if not big.isEmpty():
         kept = kept.unionByName(
@@ -243,7 +244,7 @@ def keep_first_rounds(rows: DataFrame, title_pairs: DataFrame, scope: str) -> Da
                 .alias("kept"),
             )
         )
-    return state.filter("kept").select("id")
+    return state.filter("kept").select(scope, "id")
 
 
 def accept_in_feed_order(entries: DataFrame, scope: str, limit: int = WALK_LIMIT) -> DataFrame:

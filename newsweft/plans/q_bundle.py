@@ -16,6 +16,7 @@ from newsweft.operators.evidence import primary_source as primary
 from newsweft.plans.articles import ARTICLES_SQL, articles
 from newsweft.plans.q_evidence import cards
 from newsweft.plans.registry import query, table
+from newsweft.plans.titles_sql import keep_first_sql, similar_sql, title_key_sql
 from newsweft.plans.walks_sql import chunks_sql
 
 
@@ -131,21 +132,55 @@ def bundle_pool(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("bundle_kept")
+_POOL = f"""{ARTICLES_SQL}, {_RADAR},
+  pool AS (SELECT 'd' || id AS id, CAST(substr(run_key, 1, 10) AS DATE) AS date, title,
+      CASE WHEN id % 3 = 0 THEN coalesce(p.url, link) ELSE link END AS url, id % 11 AS score, id % 2 = 0 AS evidence, 'daily' AS source_system, id AS ord
+    FROM art LEFT JOIN pages p ON p.page_id = art.id WHERE ends_with(run_key, 'AM')
+    UNION ALL SELECT id, date, title, url, CAST(substr(id, 2) AS BIGINT) % 30, false, 'radar', CAST(substr(id, 2) AS BIGINT) FROM o
+    UNION ALL SELECT 'w' || (conv_id * 100 + turn), DATE '2024-02-01' - (conv_id % 5)::INTEGER, split_part(text, chr(10), 1), 'https://w.org/' || (conv_id * 100 + turn),
+      (conv_id * 100 + turn) % 31, false, 'review', conv_id * 100 + turn FROM conversations
+      WHERE role <> 'system' AND turn <> 0 AND (conv_id * 100 + turn) % 31 >= 23 AND split_part(text, chr(10), 1) <> ''),
+  item AS (SELECT pool.*, lower(trim(coalesce(url, ''))) AS url_key, {title_key_sql("coalesce(title, '')")} AS title_key FROM pool SEMI JOIN t USING (date))"""
+_KEPT = f"""WITH RECURSIVE {_POOL}, title AS (SELECT DISTINCT date AS scope, title_key AS k FROM item WHERE title_key <> '' AND url_key <> ''),
+  {similar_sql()},
+  node AS (SELECT date AS scope, row_number() OVER (PARTITION BY date ORDER BY NOT evidence, source_system <> 'daily', -score, ord, id) AS pos, url_key, title_key, id, source_system
+    FROM item WHERE url_key <> ''),
+  {keep_first_sql()},
+  ranked AS (SELECT id, CAST(scope AS VARCHAR) AS date, CAST(row_number() OVER (PARTITION BY scope ORDER BY pos) AS INTEGER) AS rank, source_system
+    FROM node SEMI JOIN kept USING (scope, pos)) SELECT * FROM ranked"""
+
+
+@query("bundle_kept", _KEPT)
 def bundle_kept(spark: SparkSession, sf: str) -> DataFrame:
     """All items of each date that survive the URL and title rule, before the report limit."""
     out = B.dedupe_bundle(bundle_pool(spark, sf), "daily", limit=None)
     return out.select("id", F.col("date").cast("string").alias("date"), "rank", "source_system")
 
 
-@query("bundle_items")
+@query("bundle_kept_rounds", _KEPT)
+def bundle_kept_rounds(spark: SparkSession, sf: str) -> DataFrame:
+    """The same by rounds of joins for every date, whatever its size."""
+    out = B.dedupe_bundle(bundle_pool(spark, sf), "daily", limit=None, walk_limit=0)
+    return out.select("id", F.col("date").cast("string").alias("date"), "rank", "source_system")
+
+
+@query("bundle_items", f"{_KEPT} WHERE rank <= {rules.BUNDLE_LIMIT}")
 def bundle_items(spark: SparkSession, sf: str) -> DataFrame:
     """The bundle of each date: five items."""
     out = B.dedupe_bundle(bundle_pool(spark, sf), "daily")
     return out.select("id", F.col("date").cast("string").alias("date"), "rank", "source_system")
 
 
-@query("enrich_context")
+@query("enrich_context", f"""WITH RECURSIVE {_POOL},
+  ctx AS (SELECT DATE '2024-02-01' - (page_id % 4)::INTEGER + lag::INTEGER AS date, page_id AS ref, lower(trim(url)) AS url_key, {title_key_sql("title")} AS title_key
+    FROM (SELECT page_id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, unnest([0, 1]) AS lag FROM pages) WHERE title <> '' AND url <> ''),
+  title AS (SELECT date AS scope, title_key AS k FROM item WHERE title_key <> '' UNION SELECT date, title_key FROM ctx WHERE title_key <> ''),
+  {similar_sql()},
+  by_url AS (SELECT date, url_key, min(ref) AS ref FROM ctx GROUP BY ALL),
+  near AS (SELECT scope, a, b FROM sim UNION ALL SELECT scope, k, k FROM title),
+  by_title AS (SELECT near.scope AS date, near.a AS title_key, min(ref) AS ref FROM near JOIN ctx ON ctx.date = near.scope AND ctx.title_key = near.b GROUP BY ALL)
+  SELECT id, CAST(item.date AS VARCHAR) AS date, coalesce(by_url.ref, by_title.ref) AS ref FROM item LEFT JOIN by_url USING (date, url_key)
+  LEFT JOIN by_title ON by_title.date = item.date AND by_title.title_key = item.title_key""")
 def enrich_context(spark: SparkSession, sf: str) -> DataFrame:
     """Daily and night items with the page captured the same day or the day before."""
     contexts = table(spark, sf, "pages").select(

@@ -3,6 +3,7 @@
 import random
 from difflib import SequenceMatcher
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from newsweft.functions.text import proper_nouns, title_keywords
 from newsweft.operators import fuzzy, greedy, samestory, vectors
 from newsweft.operators.dedup import accept_in_order
 from newsweft.operators.linkage import link_progress
+from newsweft.plans.titles_sql import similar_sql
 
 
 def walk_clusters(order, near):
@@ -207,6 +209,47 @@ def test_fuzzy_titles(spark, seed):
     assert got == want and len(want) > 10
 
 
+def long_titles():
+    """Titles of 30,000 characters: a base, near copies, and another text of the same syllables; and one long repeat."""
+    rnd = random.Random(8)
+    syllables = ["".join(rnd.choice("abcdefghijklmnoprst") for _ in range(rnd.randint(2, 4))) for _ in range(400)]
+    text = lambda n: "".join(rnd.choice(syllables) for _ in range(n))[: 3 * n]
+    base = text(10_000)
+    near = list(base)
+    for i in range(0, len(near), 400):
+        near[i] = "Z"
+    far = "".join(c for i, c in enumerate(base) if i % 5)
+    return [base, "".join(near), base[:-900] + "Ü", far, text(10_000), "ab" * 15_000, "ab" * 14_900 + "c"]
+
+
+def test_fuzzy_titles_of_any_length(spark):
+    titles = long_titles()
+    df = spark.createDataFrame([(0, t) for t in titles], "d int, title_key string")
+    got = {frozenset((r.t1, r.t2)) for r in fuzzy.similar_titles(df, ["d"]).collect()}
+    ratio = lambda a, b: max(SequenceMatcher(None, a, b).ratio(), SequenceMatcher(None, b, a).ratio())
+    assert got == {frozenset((a, b)) for i, a in enumerate(titles) for b in titles[i + 1:] if ratio(a, b) >= 0.92} and got
+    # Edits that the ratio does not forgive, as all letters of so long a title are common, are candidates all the same.
+    named = df.withColumn("_id", F.col("title_key"))
+    pairs = {frozenset((r.t1, r.t2)) for r in fuzzy.candidate_titles(named, ["d"], 0.08).collect()}
+    assert {frozenset(titles[:2]), frozenset((titles[0], titles[2])), frozenset(titles[5:])} <= pairs
+    assert not any(titles[3] in p or titles[4] in p for p in pairs)
+
+
+def test_check_sql_of_similar_titles():
+    rnd = random.Random(9)
+    titles = set(fuzzy_inputs(4, 12))
+    for n in (210, 260, 420):
+        base = "".join(rnd.choice("abcdefghiklmnorstu" + "xyzäöé" * (rnd.random() < 0.2)) for _ in range(n))
+        titles |= {base, base[: n // 2] + "qj" + base[n // 2 + 3 :], base[5:], "".join(c for i, c in enumerate(base) if i % 14)}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE title (scope INT, k VARCHAR)")
+    con.executemany("INSERT INTO title VALUES (0, ?)", [[t] for t in titles])
+    got = {frozenset(r) for r in con.execute(f"WITH RECURSIVE {similar_sql()} SELECT a, b FROM sim").fetchall()}
+    ratio = lambda a, b: max(SequenceMatcher(None, a, b).ratio(), SequenceMatcher(None, b, a).ratio())
+    want = {frozenset((a, b)) for a in titles for b in titles if a < b and ratio(a, b) >= 0.92}
+    assert got == want and len(want) > 8
+
+
 @pytest.mark.parametrize("limit", [10**6, 1])
 def test_keep_first(spark, limit):
     rnd = random.Random(3)
