@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsweft.functions.text import let
 from newsweft.llm.alignment import benchmark_copies
 from newsweft.llm.archive import archive_pages
 from newsweft.llm.hostpaths import main_texts
 from newsweft.llm.huffman import checksum, huffman_store
 from newsweft.llm.packing import pack
+from newsweft.llm.periodic import periodic_runs
 from newsweft.llm.repetition import LEAST_WORDS, LONGEST_WORDS, MOST_COVERED_PERCENT, repetition_rules
 from newsweft.llm.shards import lpt_shards
 from newsweft.llm.substring import substring_dedup
@@ -66,11 +68,39 @@ def op10_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def with_loops(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``, with a loop in the texts of every tenth checksum of an id: from a word on, the words after it repeat."""
+    check = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    tens = F.floor(check / 10)
+
+    def looped(words: Column) -> Column:
+        n = F.greatest(F.size(words), F.lit(1))
+        first = tens % n
+        period = 1 + F.floor((n - first) / (3 + tens % 8))
+        return F.array_join(F.transform(
+            words, lambda w, i: F.when(i >= first, F.get(words, (first + (i - first) % period).cast("int"))).otherwise(w)
+        ), " ")
+
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    return docs.select("doc_id", F.when(check % 10 == 0, let(words, looped)).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = F.arrays_zip("starts", "lengths", "periods")
+    lines = F.transform(runs, lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("starts", "lengths", "periods")]), F.lit("\n")))
+    best = F.array_max(F.transform(runs, lambda r: F.struct(r["lengths"].alias("length"), (-r["starts"]).alias("s"), (-r["periods"]).alias("p"))))
+    return periodic_runs(with_loops(read(spark, sf_dir, "documents"))).withColumn("best", best).select(
+        "doc_id", F.size("starts").cast("long").alias("n_runs"), (-F.col("best.s")).alias("start"), "best.length", (-F.col("best.p")).alias("period"),
+        F.floor(1000 * F.col("best.length") / -F.col("best.p")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_suffix_repetition, op2_content_addressed, op3_seed_extend, op4_weighted_minhash, op5_lpt_shards,
-        op6_suffix_dedup, op7_huffman_ids, op8_host_paths, op9_seeded_alignment, op10_nnls_packing,
+        op6_suffix_dedup, op7_huffman_ids, op8_host_paths, op9_seeded_alignment, op10_nnls_packing, op11_periodic_runs,
     )
 }
 
@@ -87,6 +117,14 @@ def _window_words(name: str, width: int) -> str:
 {name} AS (SELECT doc_id, count(DISTINCT q) AS c FROM (SELECT doc_id, unnest(range(p, p + {width})) AS q FROM {name}_r) GROUP BY 1)"""
 
 
+def crc32_sql(text: str) -> str:
+    """The checksum of a text, bit by bit: a byte is mixed in, then eight steps follow."""
+    pairs = f"hex(encode({text}))"
+    steps = f"flatten(list_transform(range(0, strlen({text})), lambda i: [CAST('0x' || substr({pairs}, 2 * i + 1, 2) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    step = "CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END) END"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {steps}), lambda c, x: {step}), 4294967295::BIGINT)"
+
+
 CHECKS = {
     "op1_suffix_repetition": f"""
 WITH {_NUMBERED}, {_window_words('five', 5)}, {_window_words('deep', LEAST_WORDS)}, {_window_words('long', LONGEST_WORDS)},
@@ -120,4 +158,21 @@ kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY q) AS t FROM word ANTI JOI
 c AS (SELECT doc_id, count(*) AS c FROM gone GROUP BY 1)
 SELECT w.doc_id, n AS n_words, coalesce(c.c, 0) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
 FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN c USING (doc_id)""",
+    "op11_periodic_runs": f"""
+WITH w0 AS (SELECT *, len(ws) AS n, {crc32_sql("CAST(doc_id AS VARCHAR)")} AS h FROM (SELECT doc_id, {_WORDS} AS ws FROM documents)),
+w1 AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n END AS a, h // 10 AS g FROM w0),
+w AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN ws ELSE list_transform(range(0, n), lambda i: ws[1 + CASE WHEN i < a THEN i
+    ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) END AS ws FROM w1),
+g AS (SELECT doc_id, n, i, md5(array_to_string(ws[i + 1:i + 5], ' ')) AS g FROM (SELECT doc_id, n, ws, unnest(range(0, n - 4)) AS i FROM w WHERE n > 5)),
+cell AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM g x JOIN g y ON x.doc_id = y.doc_id AND x.g = y.g AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+stretch AS (SELECT doc_id, q, min(i) AS s, count(*) + 4 + q AS l FROM
+  (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM cell) GROUP BY doc_id, q, k HAVING count(*) + 4 + q >= greatest(6, 4 * q)),
+r AS (SELECT * FROM stretch x WHERE NOT EXISTS (SELECT 1 FROM stretch y WHERE y.doc_id = x.doc_id AND y.q < x.q AND x.q % y.q = 0 AND y.s <= x.s AND y.s + y.l >= x.s + x.l)),
+a AS (SELECT doc_id, count(*) AS n_runs, max([l, -s, -q]) AS best, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS t FROM r GROUP BY 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + l)) AS i FROM r),
+word AS (SELECT doc_id, unnest(ws) AS word, unnest(range(0, n)) AS i FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY 1)
+SELECT w.doc_id, coalesce(n_runs, 0) AS n_runs, -best[2] AS start, best[1] AS length, -best[3] AS period, 1000 * best[1] // -best[3] AS exponent_milli,
+  sha256(coalesce(a.t, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256
+FROM w LEFT JOIN a USING (doc_id) LEFT JOIN kept USING (doc_id)""",
 }
