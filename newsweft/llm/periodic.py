@@ -179,7 +179,7 @@ def periodic_runs(docs: DataFrame) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, ids = batch.column("text").cast(pa.large_string()), batch.column("doc_id").cast(pa.int64())
+            texts, ids = batch.column("text").cast(pa.string()), batch.column("doc_id").cast(pa.int64())
             for i, j in pieces(texts):
                 words, at = words_of(texts.slice(i, j - i))
                 coded = words.dictionary_encode()
@@ -187,12 +187,12 @@ def periodic_runs(docs: DataFrame) -> DataFrame:
                 kept = ~dropped(len(words), start, length, period)
                 counts = np.zeros(len(words) + 1, np.int64)
                 np.cumsum(kept, out=counts[1:])
-                rest = pa.LargeListArray.from_arrays(pa.array(counts[at]), words.filter(pa.array(kept)))
+                rest = pa.ListArray.from_arrays(pa.array(counts[at].astype(np.int32)), words.filter(pa.array(kept)))
                 runs_at = np.searchsorted(start, at)
                 own = np.repeat(at[:-1], np.diff(runs_at))
                 yield pa.RecordBatch.from_arrays([
                     ids.slice(i, j - i), pa.array(np.diff(at)), lists(start - own, runs_at), lists(length, runs_at),
-                    lists(period, runs_at), pc.binary_join(rest, " ").cast(pa.string()),
+                    lists(period, runs_at), pc.binary_join(rest, " "),
                 ], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
     return docs.select("doc_id", "text").mapInArrow(scan, SCHEMA)
