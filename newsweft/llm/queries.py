@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from newsweft.functions.text import let
 from newsweft.llm.alignment import benchmark_copies
 from newsweft.llm.archive import archive_pages
+from newsweft.llm.forest import nearest_vectors
 from newsweft.llm.hostpaths import main_texts
 from newsweft.llm.huffman import checksum, huffman_store
 from newsweft.llm.packing import pack
@@ -96,11 +97,17 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings")
+    return nearest_vectors(rows, rows.where("vec_id % 20 = 0"), 20)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_suffix_repetition, op2_content_addressed, op3_seed_extend, op4_weighted_minhash, op5_lpt_shards,
         op6_suffix_dedup, op7_huffman_ids, op8_host_paths, op9_seeded_alignment, op10_nnls_packing, op11_periodic_runs,
+        op12_projection_forest,
     )
 }
 
