@@ -16,6 +16,7 @@ from newsweft.llm.packing import pack
 from newsweft.llm.periodic import periodic_runs
 from newsweft.llm.repetition import LEAST_WORDS, LONGEST_WORDS, MOST_COVERED_PERCENT, repetition_rules
 from newsweft.llm.shards import lpt_shards
+from newsweft.llm.spelling import spelling_variants
 from newsweft.llm.substring import substring_dedup
 from newsweft.llm.suffixdedup import suffix_dedup
 from newsweft.llm.weighted import near_duplicates
@@ -102,12 +103,32 @@ def op12_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_vectors(rows, rows.where("vec_id % 20 = 0"), 20)
 
 
+def spelled(docs: DataFrame) -> DataFrame:
+    """``word, n``: the runs of letters of all texts, A-Z in lower case, with a code point left out where 97 divides the checksum of
+    id and run; of at least 5 code points and 3 occurrences. A null id reads as no digits."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    text = F.translate(F.coalesce("text", F.lit("")), upper, upper.lower())
+    runs = docs.select(
+        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.explode(F.regexp_extract_all(text, F.lit(r"([A-Za-z\u00C0-\u00FF]+)"), F.lit(1))).alias("run")
+    )
+    check = F.crc32(F.concat("id", F.lit(":"), "run").cast("binary"))
+    at = (check % F.length("run")).cast("int")
+    shorter = F.concat(F.substring(F.col("run"), F.lit(1), at), F.substring(F.col("run"), at + 2, F.length("run")))
+    word = F.when(check % 97 == 0, shorter).otherwise(F.col("run"))
+    return runs.select(word.alias("word")).where(F.length("word") >= 5).groupBy("word").agg(F.count("*").alias("n")).where("n >= 3")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling_variants(spelled(read(spark, sf_dir, "documents")))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_suffix_repetition, op2_content_addressed, op3_seed_extend, op4_weighted_minhash, op5_lpt_shards,
         op6_suffix_dedup, op7_huffman_ids, op8_host_paths, op9_seeded_alignment, op10_nnls_packing, op11_periodic_runs,
-        op12_projection_forest,
+        op12_projection_forest, op13_spelling_variants,
     )
 }
 
@@ -182,4 +203,18 @@ kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t FROM word ANTI JOI
 SELECT w.doc_id, coalesce(n_runs, 0) AS n_runs, -best[2] AS start, best[1] AS length, -best[3] AS period, 1000 * best[1] // -best[3] AS exponent_milli,
   sha256(coalesce(a.t, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256
 FROM w LEFT JOIN a USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op13_spelling_variants": f"""
+WITH RECURSIVE run AS (SELECT doc_id, run, count(*) AS c FROM (SELECT doc_id,
+    unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents) GROUP BY 1, 2),
+sum AS (SELECT *, {crc32_sql("(doc_id || ':' || run)")} AS h FROM run),
+w AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM (SELECT c, CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word
+  FROM sum) WHERE length(word) >= 5 GROUP BY 1 HAVING sum(c) >= 3),
+less AS (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, unnest(range(0, length(word))) AS i FROM w)),
+pair AS (SELECT x.word, y.word AS near FROM less x JOIN less y ON x.i = y.i AND x.rest = y.rest AND x.word <> y.word
+  UNION SELECT less.word, w.word FROM less JOIN w ON w.word = less.rest UNION SELECT w.word, less.word FROM less JOIN w ON w.word = less.rest),
+best AS (SELECT pair.word, count(*) AS n_near, first(near ORDER BY w.n DESC, near) AS near, max(w.n) AS near_n FROM pair JOIN w ON w.word = near GROUP BY 1),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * w.n THEN near END AS form, CASE WHEN near_n >= 2 * w.n THEN near_n END AS form_n
+  FROM w LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS here FROM f UNION ALL SELECT c.word, f.form FROM chain c JOIN f ON f.word = c.here WHERE f.form IS NOT NULL)
+SELECT f.word, form, here AS root, n, n_near, form_n FROM f JOIN chain USING (word) SEMI JOIN (SELECT word AS here FROM f WHERE form IS NULL) e ON e.here = chain.here""",
 }
