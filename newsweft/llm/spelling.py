@@ -213,7 +213,8 @@ def near_pairs(words: DataFrame, block: int = BLOCK) -> DataFrame:
         mine = F.pmod(F.xxhash64("word"), F.col(own)).cast("int").alias(own)
         return df.select("first", "bin", "word", "n", mine, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other))
 
-    asked = dealt(placed.where("asks"), "ask_blocks", "word_blocks")
+    # New names tell the two sides apart for Spark.
+    asked = dealt(placed.where("asks").toDF(*placed.columns), "ask_blocks", "word_blocks")
     held = dealt(placed, "word_blocks", "ask_blocks")
     cell = ("first", "bin", "word_blocks", "ask_blocks")
 
