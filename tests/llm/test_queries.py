@@ -22,7 +22,7 @@ def duck(sf_dir):
 
 
 def test_all_are_registered():
-    assert {f"op{n}" for n in range(1, 11)} == {name.split("_")[0] for name in QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {name.split("_")[0] for name in QUERIES}
     assert set(QUERIES) | {"pipeline"} <= set(entry_module.queries()) and set(CHECKS) <= set(entry_module.oracle_sql())
 
 
