@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from newsweft import rules
 from newsweft.functions.text import let
-from newsweft.session import durable
+from newsweft.session import by_all_cores, durable
 
 #: Characters of context that a gram carries on each side, the longest gram, and the pieces of a group.
 AROUND, LONGEST_GRAM, GROUP = 18, 6, 4
@@ -101,9 +101,7 @@ def candidate_titles(titles: DataFrame, keys: Sequence[str], slack: float) -> Da
     within it count once.
     """
     keys = list(keys)
-    # Titles are few bytes but much work, so they are dealt to all cores.
-    tasks = int(titles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    base = titles.repartition(tasks, "_id").select(*keys, "_id", "title_key", F.length("title_key").alias("_n"))
+    base = by_all_cores(titles, "_id").select(*keys, "_id", "title_key", F.length("title_key").alias("_n"))
     edits = _edits(F.col("_n"), slack)
     short = base.withColumn("_d", edits).filter("_d > 0").withColumn("_q", _gram_length(F.col("_n"), F.col("_d")))
     rows = let(

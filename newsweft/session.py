@@ -60,3 +60,11 @@ def durable(df: DataFrame) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark)}/newsweft-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def by_all_cores(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by keys to as many tasks as the session shuffles to, however few bytes they are.
+
+    Adaptive execution merges tasks by their bytes; rows that cost much more work than their bytes tell would then wait for one core.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

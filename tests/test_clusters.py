@@ -78,20 +78,20 @@ def same_story(a, b):
     return common >= need or (common == need - 1 and common / max(1, min(len(ka), len(kb))) >= part)
 
 
-@pytest.mark.parametrize("cold", [1, 8, 64])
-def test_story_pairs_and_clusters(spark, cold):
-    rnd = random.Random(cold)
+@pytest.mark.parametrize("seed", [1, 8, 64])
+def test_story_pairs_and_clusters(spark, seed):
+    rnd = random.Random(seed)
     titles = random_titles(rnd, 60)
     rows = [(i, "r", t, float(rnd.randint(0, 5)), f"s{i % 3}", i % 4 == 0, i % 3, i) for i, t in enumerate(titles)]
     df = spark.createDataFrame(rows, "id long, run_key string, title string, score double, source string, reference boolean, feed_idx int, entry_idx int")
     feats = {r.id: (set(r.kw), set(r.pn)) for r in df.select("id", title_keywords(F.col("title")).alias("kw"), proper_nouns(F.col("title")).alias("pn")).collect()}
     sigs = samestory.title_signatures(samestory.title_features(df))
-    got = {(r.a, r.b) for r in samestory.story_edges(sigs, cold=cold).collect()}
+    got = {(r.a, r.b) for r in samestory.story_edges(sigs).collect()}
     reps = sorted(r.sig for r in sigs.collect())
     want = {(a, b) for a in reps for b in reps if a < b and same_story(feats[a], feats[b])}
     assert got == want and got
 
-    if cold != 8:
+    if seed != 8:
         return
     clustered = df.join(samestory.cluster_stories(df), "id").cache()
     order = [r[0] for r in sorted(rows, key=lambda r: (-r[3], r[6], r[7]))]
@@ -107,6 +107,15 @@ def test_story_pairs_and_clusters(spark, cold):
         assert rep.cluster_titles == [f"{m[4]}: {m[2]}" for m in others[:4]]
 
 
+def test_many_reworded_reports_of_one_story(spark):
+    rnd = random.Random(12)
+    stock = [f"{c}{v}{d}ing" for c in "bcdfglmnprst" for v in "aeiou" for d in "mnrt"]
+    rows = [(i, "r", " ".join(["flood", "river", "bridge", "rescue", *rnd.sample(stock, 12)]), float(i % 7), 0, i) for i in range(1000)]
+    df = spark.createDataFrame(rows, "id long, run_key string, title string, score double, feed_idx int, entry_idx int")
+    found = samestory.cluster_stories(df).collect()
+    assert len(found) == 1000 and len({r.cluster for r in found}) == 1
+
+
 def test_stories_of_the_desk(spark):
     def clusters(titles):
         rows = [(i, "r", t, 1.0, 0, i) for i, t in enumerate(titles)]
