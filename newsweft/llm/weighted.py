@@ -12,7 +12,8 @@
 5. ``verified``: the weighted Jaccard similarity of the candidate pairs, from the shingles themselves.
 6. ``components``: linked texts form a class, by alternating large-star and small-star steps.
 7. ``unlinked``: leaders only save work; a text may fail the exact test with all of them. So in every bucket that still holds more than
-   one class, each text is compared with the texts of the other classes, and steps 5 and 6 are done once more.
+   one class, each text is compared with the texts of the other classes that it is like, in cells that hold their shingles. Only links
+   that join two classes leave a cell, and step 6 is done once more.
 """
 
 from __future__ import annotations
@@ -312,44 +313,105 @@ def candidates(signed: DataFrame, number: int) -> DataFrame:
     return both.select(F.least("leader", "text").alias("a"), F.greatest("leader", "text").alias("b")).where("a <> b").distinct()
 
 
-def unlinked(signed: DataFrame, linked: DataFrame, number: int) -> DataFrame:
-    """Pairs of texts that meet in a bucket, are like each other and not linked yet, each once.
+def alike_cells(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The rows of each bucket and cell, and of all rows the class, the samples, whether it is of a smaller class (then its rank, else
+    -1) and whether this is its own cell."""
+    _, root = np.unique(np.frombuffer(b"".join(table.column("root").to_pylist()), KEY), return_inverse=True)
+    drawn = np.frombuffer(b"".join(table.column("samples").to_pylist()), np.uint32).reshape(table.num_rows, -1)
+    key, cell = table.column("band_key").to_numpy(), table.column("cell").to_numpy()
+    minor, home = (np.array(table.column(c).to_pylist(), bool) for c in ("minor", "home"))
+    rank = np.unique(np.frombuffer(b"".join(table.column("text").to_pylist()), KEY), return_inverse=True)[1]
+    minor = np.where(minor, rank, -1)
+    order = np.lexsort((cell, key))
+    fresh = (key[order][1:] != key[order][:-1]) | (cell[order][1:] != cell[order][:-1])
+    return np.split(order, np.nonzero(fresh)[0] + 1) if len(order) else [], root, drawn, minor, home
 
-    The largest class of a bucket is cut into cells; all its other texts go to each cell.
+
+def alike_here(drawn: np.ndarray, root: np.ndarray, minor: np.ndarray, k: int, here: np.ndarray, band: int) -> np.ndarray:
+    """Rows of ``here`` of other classes that are like row k by their samples and agree with it in no band before this one.
+
+    Two rows of smaller classes go to each other's cell; the one of lesser rank asks.
     """
+    rest = here[(root[here] != root[k]) & ((minor[here] < 0) | (minor[here] > minor[k]))]
+    equal = drawn[rest] == drawn[k]
+    some = rest[equal.mean(axis=1) >= LIKE]
+    if not len(some) or not band:
+        return some
+    early = (drawn[some, : band * ROWS] == drawn[k, : band * ROWS]).reshape(len(some), band, ROWS).all(axis=2).any(axis=1)
+    return some[~early]
+
+
+def unlinked(signed: DataFrame, linked: DataFrame, threshold: float, number: int) -> DataFrame:
+    """Links between classes, found by comparing the texts of a bucket that are like each other and not linked yet.
+
+    The largest class of a bucket is cut into cells; all its other texts go to each cell. A pair is compared in the first band
+    that it agrees in. Texts with somebody to be compared with bring their shingles to the cell, where they are compared exactly;
+    only links that join two classes leave it, so a cell of n texts gives n - 1 at most.
+    """
+    kind = "text binary, root binary, samples binary, band int, band_key long, minor boolean, cell int, home boolean, deal long"
+
+    def wanted(table: pa.Table) -> pa.Table:
+        cells, root, drawn, minor, home = alike_cells(table)
+        band, wants = table.column("band").to_numpy(), np.zeros(table.num_rows, bool)
+        for own in cells:
+            here = own[home[own]]
+            for k in own[minor[own] >= 0].tolist():
+                some = alike_here(drawn, root, minor, k, here, int(band[k]))
+                wants[some] = True
+                wants[k] |= len(some) > 0
+        return table.filter(pa.array(wants))
+
+    def compare(table: pa.Table) -> pa.Table:
+        cells, root, drawn, minor, home = alike_cells(table)
+        band, total = table.column("band").to_numpy(), table.column("total").to_numpy()
+        names = table.column("text").to_pylist()
+        shingles = [np.frombuffer(x, "<u4") for x in table.column("shingles").to_pylist()]
+        weights = [np.frombuffer(x, "<f4") for x in table.column("weights").to_pylist()]
+        out: list[tuple[bytes, bytes]] = []
+        for own in cells:
+            join = {int(r): int(r) for r in np.unique(root[own])}
+
+            def top(r: int) -> int:
+                while join[r] != r:
+                    join[r] = join[join[r]]
+                    r = join[r]
+                return r
 
-    def meet(table: pa.Table) -> pa.Table:
-        names = np.frombuffer(b"".join(table.column("text").to_pylist()), KEY)
-        _, root = np.unique(np.frombuffer(b"".join(table.column("root").to_pylist()), KEY), return_inverse=True)
-        drawn = np.frombuffer(b"".join(table.column("samples").to_pylist()), np.uint32).reshape(len(names), -1)
-        key, cell = table.column("band_key").to_numpy(), table.column("cell").to_numpy()
-        minor, home = (np.array(table.column(c).to_pylist(), bool) for c in ("minor", "home"))
-        order = np.lexsort((cell, key))
-        fresh = (key[order][1:] != key[order][:-1]) | (cell[order][1:] != cell[order][:-1])
-        cuts = np.nonzero(np.concatenate([[True], fresh, [True]]))[0].tolist()
-        raw = names.tobytes()
-        pairs = set()
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            own = order[a:b]
             here = own[home[own]]
-            for k in own[minor[own]].tolist():
-                rest = here[root[here] != root[k]]
-                for j in rest[(drawn[rest] == drawn[k]).mean(axis=1) >= LIKE].tolist():
-                    p, q = raw[16 * k : 16 * k + 16], raw[16 * j : 16 * j + 16]
-                    pairs.add((min(p, q), max(p, q)))
-        return pa.table({"a": pa.array([p for p, _ in pairs], _binary), "b": pa.array([q for _, q in pairs], _binary)})
-
-    held = signed.where(F.col("shingles").isNotNull()).select("text", "samples", "keys")
+            # All shingles of the cell as places of one row of weights.
+            sizes = np.array([len(shingles[i]) for i in own])
+            _, place = np.unique(np.concatenate([shingles[i] for i in own]), return_inverse=True)
+            at = dict(zip(own.tolist(), np.split(place, np.cumsum(sizes)[:-1]), strict=True))
+            row = np.zeros(int(place.max(initial=-1)) + 1, np.float32)
+            for k in own[minor[own] >= 0].tolist():
+                mine = top(int(root[k]))
+                some = [j for j in alike_here(drawn, root, minor, k, here, int(band[k])).tolist() if top(int(root[j])) != mine]
+                if not some:
+                    continue
+                row[at[k]] = weights[k]
+                ends = np.cumsum([0, *(len(at[j]) for j in some)])
+                shared = np.minimum(row[np.concatenate([at[j] for j in some])], np.concatenate([weights[j] for j in some]))
+                both = np.add.reduceat(np.append(shared.astype(np.float64), 0.0), ends[:-1])
+                row[at[k]] = 0
+                for j in np.array(some)[both >= threshold * (total[k] + total[some] - both) - 1e-4].tolist():
+                    if top(int(root[j])) != top(int(root[k])):
+                        join[top(int(root[j]))] = top(int(root[k]))
+                        out.append((names[k], names[j]))
+        return pa.table({"a": pa.array([a for a, _ in out], _binary), "b": pa.array([b for _, b in out], _binary)})
+
+    texts = signed.where(F.col("shingles").isNotNull())
+    held = texts.select("text", "samples", "keys")
     held = held.join(linked.withColumnRenamed("node", "text"), "text", "left").withColumn("root", F.coalesce("root", "text"))
     sizes = held.select("root", F.explode("keys").alias("band_key")).groupBy("band_key", "root").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("band_key").agg(F.sum("n").alias("n"), F.count("*").alias("roots"), F.max(F.struct("n", "root")).alias("most"))
     mixed = durable(mixed.where("roots > 1").select("band_key", F.ceil(F.col("n") / CELL).cast("int").alias("cells"), F.col("most.root").alias("most")))
-    rows = held.select("text", "root", "samples", F.explode("keys").alias("band_key")).join(mixed, "band_key")
+    rows = held.select("text", "root", "samples", F.posexplode("keys").alias("band", "band_key")).join(mixed, "band_key")
     rows = rows.withColumns({"minor": F.col("root") != F.col("most"), "own": F.pmod(F.xxhash64("text"), "cells").cast("int")})
     rows = rows.withColumn("cell", F.explode(F.when(F.col("minor"), F.sequence(F.lit(0), F.col("cells") - 1)).otherwise(F.array("own"))))
-    rows = rows.select("text", "root", "samples", "band_key", "minor", "cell", (F.col("cell") == F.col("own")).alias("home"))
-    rows = rows.withColumn("deal", F.pmod(F.xxhash64("band_key", "cell"), F.lit(4 * number)))
-    return rows.groupBy("deal").applyInArrow(meet, "a binary, b binary").distinct()
+    rows = rows.withColumns({"home": F.col("cell") == F.col("own"), "deal": F.pmod(F.xxhash64("band_key", "cell"), F.lit(4 * number))})
+    asked = rows.select(*(c.split()[0] for c in kind.split(", "))).groupBy("deal").applyInArrow(wanted, kind)
+    full = asked.join(texts.select("text", "shingles", "weights", "total"), "text")
+    return full.groupBy("deal").applyInArrow(compare, "a binary, b binary").distinct()
 
 
 def verified(pairs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
@@ -406,7 +468,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     parts = frequencies(shingle_rows(docs, number), number)
     signed = durable(signatures(parts, docs.count(), threshold, number))
     linked = components(verified(candidates(signed, number), signed, threshold))
-    more = durable(verified(unlinked(signed, linked, number), signed, threshold))
+    more = durable(unlinked(signed, linked, threshold, number))
     if more.head(1):
         linked = components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     least = members.groupBy("text").agg(F.min("doc_id").alias("least"))
