@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from newsweft.functions.text import let, strip
+
 
 def drop_thinking(raw: Column) -> Column:
     return F.trim(F.regexp_replace(raw, r"(?s)<think>.*?</think>", ""))
@@ -44,27 +46,43 @@ def salvage_decisions(raw: Column) -> Column:
     return F.transform(F.coalesce(objects, loose), _decision)
 
 
+def _quoted_items(body: Column) -> Column:
+    """The strings of a list whose inner quotes may stand bare: only a comma alone between two quotes parts them."""
+    def items(tokens: Column) -> Column:
+        framed = (F.size(tokens) > 2) & (tokens[0] == "") & (F.element_at(tokens, -1) == "")
+        inside = F.when(framed, F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 2, F.lit(0)))).otherwise(tokens)
+        marked = F.transform(inside, lambda t: F.when(F.trim(F.translate(t, "\n\t\r", "   ")) == ",", "\x01").otherwise(t))
+        return F.split(F.array_join(marked, '"'), '"?\x01"?')
+
+    parts = let(F.split(strip(body), '"'), items)
+    return F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != "")
+
+
 def salvage_report(raw: Column, passing: float = 10.0) -> Column:
-    """Overall mark and issues of a review; anything unreadable counts as passed."""
+    """Overall mark and issues of a review; anything unreadable counts as passed.
+
+    What the parser refuses is read by its two names: the number behind the first, and behind the second the strings of a list that
+    the object's end follows.
+    """
     payload = F.regexp_extract(drop_thinking(raw), r"(?s)\{.*\}", 0)
     strict = F.try_parse_json(payload)
-    overall = F.regexp_extract(payload, r'"overall"\s*:\s*(-?\d+(?:\.\d+)?)', 1).try_cast("double")
-    inner = F.trim(F.regexp_extract(payload, r'(?s)"issues"\s*:\s*\[(.*)\]\s*\}', 1))
-    has_issues = F.rlike(payload, F.lit(r'(?s)"issues"\s*:\s*\[.*\]\s*\}'))
-    inner = F.regexp_replace(inner, r'(?s)^"(.*)"$', "$1")
-    parts = F.filter(
-        F.transform(F.split(inner, r'"\s*,\s*"'), lambda p: F.trim(p)), lambda p: p != ""
-    )
-    lenient = F.when(
-        overall.isNotNull() & has_issues, F.struct(overall.alias("overall"), parts.alias("issues"))
-    )
-    issues = F.coalesce(F.try_variant_get(strict, "$.issues", "array<string>"), F.array().cast("array<string>"))
+
+    def behind(name: str) -> Column:
+        return F.regexp_replace(F.get(F.split(payload, f'"{name}"', 2), F.lit(1)), r"^\s*:\s*", "")
+
+    mark = F.get(F.split(behind("overall"), r"[\s,}\]]", 2), F.lit(0)).try_cast("double")
+    ends = F.split(behind("issues"), r"\]\s*\}")
+    body = F.array_join(F.slice(ends, F.lit(1), F.greatest(F.size(ends) - 1, F.lit(0))), "]}")
+    listed = (F.size(ends) > 1) & F.startswith(body, F.lit("["))
+    nothing = F.array().cast("array<string>")
+    loose = F.when(mark.isNotNull() & listed, F.struct(mark.alias("overall"), _quoted_items(F.substr(body, F.lit(2))).alias("issues")))
+    issues = F.coalesce(F.try_variant_get(strict, "$.issues", "array<string>"), nothing)
     clean = F.struct(
         F.coalesce(F.try_variant_get(strict, "$.overall", "double"), F.lit(passing)).alias("overall"),
         F.filter(issues, lambda i: i.isNotNull() & (i != "")).alias("issues"),
     )
-    nothing = F.struct(F.lit(passing).alias("overall"), F.array().cast("array<string>").alias("issues"))
-    return F.when(strict.isNotNull() & (payload != ""), clean).otherwise(F.coalesce(lenient, nothing))
+    passed = F.struct(F.lit(passing).alias("overall"), nothing.alias("issues"))
+    return F.when(strict.isNotNull() & (payload != ""), clean).otherwise(F.coalesce(loose, passed))
 
 
 def numbered_lines(raw: Column) -> Column:

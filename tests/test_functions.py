@@ -95,6 +95,12 @@ def test_audit_block(value):
     assert value(T.strip_audit_block(F.lit(text))) == "a\n## next\nb"
     assert value(T.strip_audit_block(F.lit("a\n```自我审计\nx\n```\nb"))) == "a\nb"
     assert value(T.strip_audit_block(F.lit("```markdown\nbody\n```"))) == "body"
+    for raw, want in (
+        ("a\n### 『自我审计』：\nx\n```\ny\n## b\nc", "a\n## b\nc"), ("a\n```自我审计 v2\nx", "a"), ("a\n自我审计", "a\n自我审计"), ("自我审计\n", ""),
+        ("```md\na\n```自我审计\nx\n```\n## 自我审计\ny\n##\nb\n```\n", "a\n##\nb"), ("a\n自我审计 is fine\nb", "a\n自我审计 is fine\nb"), ("", ""),
+        ("```自我审计\nx\n```\n```自我审计\ny\n```\n自我审计:\nz\n## n", "## n"),
+    ):
+        assert value(T.strip_audit_block(F.lit(raw))) == want
 
 
 def test_numbers(value):
@@ -137,6 +143,13 @@ def test_salvage(value):
     assert value(V.salvage_report(F.lit("garbage"))).overall == 10.0
     report = value(V.salvage_report(F.lit('{"overall": 4.5, "issues": ["say "x" now", "b"]}')))
     assert (report.overall, report.issues) == (4.5, ['say "x" now', "b"])
+    for raw, want in (
+        ('{"overall": -3, "issues": [] }x', (-3.0, [])), ('{"overall": 7 "issues": []}', (7.0, [])), ('{"overall": 6.5, "n": 01, "issues": ["a" ,\n "b ", ""]}', (6.5, ["a", "b"])),
+        ('{"overall": 5, "issues": ["a"b"]', (10.0, [])), ('{"issues": ["x" y"]}', (10.0, [])), ('{"overall": 2, "issues": "x" y}', (10.0, [])),
+        ('{"overall": 2, "n": 01, "issues": [open]}', (2.0, ["open"])), ('{"issues": ["p", null, ""], "overall": 3}', (3.0, ["p"])),
+    ):
+        report = value(V.salvage_report(F.lit(raw)))
+        assert (report.overall, report.issues) == want, raw
     lines = value(V.numbered_lines(F.lit('1. "abc"\n2、 def\nfoo\n3) “g”')))
     assert [(x.idx, x.text) for x in lines] == [(1, "abc"), (2, "def"), (3, "g")]
 
