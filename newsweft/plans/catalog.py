@@ -7,6 +7,7 @@ from newsweft.plans import (  # noqa: F401
     q_scoring,
     q_selection,
     q_similarity,
+    q_sources,
     q_streaming,
     q_time,
 )

@@ -25,21 +25,28 @@ def run_key_of(path: Column) -> Column:
     return F.regexp_extract(path, r"(\d{4}-\d{2}-\d{2}-(?:AM|PM))[^/]*$", 1)
 
 
-def read_json_artifacts(spark: SparkSession, path: str, schema: str, pattern: str = "*.json") -> DataFrame:
-    """One JSON object per file with ``path, run_key, artifact_status``; a damaged file has status
-    ``invalid`` and null fields. Older files may lack fields, which are null too."""
+def text_files(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
+    """Whole files: ``path, value``."""
+    return spark.read.text(path, wholetext=True, pathGlobFilter=pattern).select(F.input_file_name().alias("path"), "value")
+
+
+def parse_json_artifacts(files: DataFrame, schema: str) -> DataFrame:
+    """The fields of one JSON object per row of ``files(path, value)`` with ``path, run_key, artifact_status``; damaged text has
+    status ``invalid`` and null fields. Older objects may lack fields, which are null too."""
     fields = StructType([*StructType.fromDDL(schema).fields, StructField("_corrupt", StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    files = spark.read.text(path, wholetext=True, pathGlobFilter=pattern)
-    parsed = files.select(
-        F.from_json("value", fields, options).alias("j"), F.input_file_name().alias("path")
-    )
+    parsed = files.select(F.from_json("value", fields, options).alias("j"), "path")
     return parsed.select(
         "j.*", "path", run_key_of(F.col("path")).alias("run_key"),
         F.when(F.col("j").isNull() | F.col("j._corrupt").isNotNull(), "invalid").otherwise("present").alias("artifact_status"),
     ).drop("_corrupt")
 
 
+def read_json_artifacts(spark: SparkSession, path: str, schema: str, pattern: str = "*.json") -> DataFrame:
+    """``parse_json_artifacts`` of the files of a folder."""
+    return parse_json_artifacts(text_files(spark, path, pattern), schema)
+
+
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     return read_json_artifacts(spark, path, LEDGER_SCHEMA).filter("artifact_status = 'present'")
 
@@ -92,34 +99,49 @@ def recent_snapshots(snapshots: DataFrame, count: int = rules.RECENT_SNAPSHOTS,
     return snapshots.join(newest, key, "left_semi")
 
 
-def read_recent_reps(spark: SparkSession, path: str, count: int = rules.RECENT_SNAPSHOTS) -> DataFrame:
-    """Representatives of the newest readable snapshots, one row each with the run's date.
+def recent_reps(files: DataFrame, count: int = rules.RECENT_SNAPSHOTS) -> DataFrame:
+    """Representatives of the newest readable snapshots of ``files(path, value)``, one row each with the run's date.
 
-    Only real run files count, so other files of the folder take no place among the newest.
+    Only real run files count, so other files take no place among the newest.
     """
-    files = read_json_artifacts(spark, path, SNAPSHOT_SCHEMA).filter(
-        F.rlike("path", F.lit(r"/\d{4}-\d{2}-\d{2}-(?:AM|PM)\.json$"))
-    )
-    newest = recent_snapshots(files.filter("artifact_status = 'present'"), count)
+    runs = parse_json_artifacts(files, SNAPSHOT_SCHEMA).filter(F.rlike("path", F.lit(r"/\d{4}-\d{2}-\d{2}-(?:AM|PM)\.json$")))
+    newest = recent_snapshots(runs.filter("artifact_status = 'present'"), count)
     return newest.select("run_key", F.substring("run_key", 1, 10).alias("date"), F.explode("reps").alias("r")).select(
         "run_key", "date", "r.*"
     ).filter(F.coalesce("raw_title", F.lit("")) != "")
 
 
+def read_recent_reps(spark: SparkSession, path: str, count: int = rules.RECENT_SNAPSHOTS) -> DataFrame:
+    return recent_reps(text_files(spark, path), count)
+
+
+def marked_titles(body: Column) -> Column:
+    """Bold titles of a digest that begin with a mark."""
+    return F.regexp_extract_all(body, F.lit(rf"(?m)^\*\*\s*((?:[{rules.TITLE_MARKS}][{rules.TITLE_MARKS}\s]*).+?)\*\*"), F.lit(1))
+
+
+def archive_titles(files: DataFrame, count: int = 3) -> DataFrame:
+    """Marked bold titles of the newest digests of ``files(path, value)``: ``run_key, pos, title``."""
+    text = files.select(run_key_of(F.col("path")).alias("run_key"), F.col("value").alias("body"))
+    return recent_snapshots(text, count).select("run_key", F.posexplode(marked_titles(F.col("body"))).alias("pos", "title"))
+
+
 def read_archive_titles(spark: SparkSession, path: str, count: int = 3) -> DataFrame:
-    """Marked bold titles of the newest digests, oldest digest first: ``run_key, pos, title``."""
-    text = spark.read.text(path, wholetext=True, pathGlobFilter="*.md").select(
-        run_key_of(F.input_file_name()).alias("run_key"), F.col("value").alias("body")
-    )
-    newest = recent_snapshots(text, count)
-    title = F.regexp_extract_all("body", F.lit(rf"(?m)^\*\*\s*((?:[{rules.TITLE_MARKS}][{rules.TITLE_MARKS}\s]*).+?)\*\*"), F.lit(1))
-    return newest.select("run_key", F.posexplode(title).alias("pos", "title")).orderBy("run_key", "pos")
+    """The same of a folder, oldest digest first."""
+    return archive_titles(text_files(spark, path, "*.md"), count).orderBy("run_key", "pos")
 
 
-def within_retention(df: DataFrame, as_of_day: Column, days: int, key: str = "run_key") -> DataFrame:
-    """Runs not older than ``days``, by the day in their key; a key without a day is kept."""
+def within_retention(df: DataFrame, as_of_day: Column, days: int, key: str = "run_key", inner: Column | None = None) -> DataFrame:
+    """Runs not older than ``days``, by the day in their key; a key without a day is kept.
+
+    With ``inner``, a text that begins with the artifact's own date, both days have to be too old; one that is no date does not save it.
+    """
+    first = F.date_sub(as_of_day, days)
     day = F.try_to_date(F.substring(key, 1, 10), "yyyy-MM-dd")
-    return df.filter(day.isNull() | (day >= F.date_sub(as_of_day, days)))
+    fresh = day.isNull() | (day >= first)
+    if inner is not None:
+        fresh = fresh | F.coalesce(F.try_to_date(F.substring(inner, 1, 10), "yyyy-MM-dd") >= first, F.lit(False))
+    return df.filter(fresh)
 
 
 def write_version(df: DataFrame, path: str, version: int) -> None:

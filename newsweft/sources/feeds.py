@@ -8,8 +8,13 @@ from pyspark.sql import functions as F
 from newsweft.functions.text import clean_html, let, strip, strip_source_suffix, truncate
 from newsweft.rules import SUMMARY_CHARS
 
-_RSS = "item array<struct<title:string,link:string,description:string,summary:string,pubDate:string,published:string,updated:string>>"
-_ATOM = "entry array<struct<title:string,link:struct<_href:string>,summary:string,content:string,published:string,updated:string>>"
+_LINKS = "array<struct<_VALUE:string,_href:string,_rel:string,_type:string>>"
+_ENTRY = (
+    f"array<struct<title:string,link:{_LINKS},description:string,summary:string,content:string,"
+    "pubDate:string,published:string,updated:string,date:string>>"
+)
+#: Entries stand in the channel (RSS), beside it (RDF) or in the feed itself (Atom).
+_FEED = f"channel struct<item:{_ENTRY}>, item {_ENTRY}, entry {_ENTRY}"
 
 
 def parse_time(c: Column) -> Column:
@@ -27,49 +32,57 @@ def parse_published(published: Column, updated: Column) -> Column:
     return F.coalesce(parse_time(published), parse_time(updated))
 
 
-def read_feeds(spark: SparkSession, path: str, sources: DataFrame) -> DataFrame:
-    """Entries of landed RSS and Atom files in feed order.
+def entry_link(links: Column) -> Column:
+    """The page of an entry: the text of a link element, else the first link that names a page as its alternate form, else the first
+    that is no part of the feed's own machinery."""
+    text = F.filter(links, lambda x: F.trim(F.coalesce(x["_VALUE"], F.lit(""))) != "")
+    named = F.filter(links, lambda x: F.coalesce(x["_href"], F.lit("")) != "")
+    page = F.filter(named, lambda x: (F.coalesce(x["_rel"], F.lit("alternate")) == "alternate") & F.coalesce(
+        x["_type"], F.lit("text/html")).isin("text/html", "application/xhtml+xml"))
+    other = F.filter(named, lambda x: ~F.coalesce(x["_rel"], F.lit("")).isin("self", "enclosure", "edit", "hub"))
+    first = lambda found, field: F.get(found, F.lit(0))[field]
+    return F.trim(F.coalesce(first(text, "_VALUE"), first(page, "_href"), first(other, "_href"), F.lit("")))
+
+
+def parse_feeds(files: DataFrame, sources: DataFrame) -> DataFrame:
+    """Entries of ``files(name, content)`` in feed order; RSS, RDF and Atom are told by where the entries stand.
 
-    A file is named after its feed (``<name>.xml``); ``sources(name, category, reference, max_items,
-    window_hours, feed_idx)``. One file is one feed, so an entry keeps its place in it.
+    ``sources(name, category, reference, max_items, window_hours, feed_idx)``. A feed is parsed once, as a whole; what is no feed gives
+    no entries, and entries without a title are left out but keep the others' places.
     """
-    def rows(tag: str, schema: str, items: str) -> DataFrame:
-        feed = spark.read.format("xml").option("rowTag", tag).option("attributePrefix", "_").schema(schema).load(path)
-        return feed.select(
-            F.regexp_replace(F.regexp_extract(F.input_file_name(), r"([^/]+)\.xml$", 1), "%20", " ").alias("name"),
-            F.posexplode(items).alias("entry_idx", "e"),
-        )
-
-    rss = rows("channel", _RSS, "item").select(
-        "name", "entry_idx", "e.title", "e.link", F.coalesce("e.summary", "e.description").alias("summary"),
-        F.coalesce("e.published", "e.pubDate").alias("published"), "e.updated",
-    )
-    atom = rows("feed", _ATOM, "entry").select(
-        "name", "entry_idx", "e.title", F.col("e.link._href").alias("link"), F.coalesce("e.summary", "e.content").alias("summary"),
-        "e.published", "e.updated",
-    )
-    entries = rss.unionByName(atom).join(sources, "name")
-    title = strip(F.coalesce("title", F.lit("")))
+    parsed = F.from_xml("content", F.lit(_FEED), {"ignoreNamespace": "true", "attributePrefix": "_"})
+    items = F.coalesce(F.col("feed.channel.item"), F.col("feed.item"), F.col("feed.entry"))
+    entries = files.select("name", parsed.alias("feed")).select("name", F.posexplode(items).alias("entry_idx", "e")).join(sources, "name")
+    title = strip(F.coalesce("e.title", F.lit("")))
+    reference = F.coalesce("reference", F.lit(False))
     return entries.select(
-        F.col("name").alias("source"), "category", F.coalesce("reference", F.lit(False)).alias("reference"),
-        "max_items", "window_hours", "feed_idx", "entry_idx",
-        strip_source_suffix(title, F.coalesce("reference", F.lit(False))).alias("title"),
-        strip(F.coalesce("link", F.lit(""))).alias("link"),
-        truncate(clean_html(F.coalesce("summary", F.lit(""))), SUMMARY_CHARS).alias("summary"),
-        parse_published(F.col("published"), F.col("updated")).alias("published"),
+        F.col("name").alias("source"), "category", reference.alias("reference"), "max_items", "window_hours", "feed_idx", "entry_idx",
+        strip_source_suffix(title, reference).alias("title"), entry_link(F.col("e.link")).alias("link"),
+        truncate(clean_html(F.coalesce("e.summary", "e.description", "e.content", F.lit(""))), SUMMARY_CHARS).alias("summary"),
+        parse_published(F.coalesce("e.published", "e.pubDate"), F.coalesce("e.updated", "e.date")).alias("published"),
     ).filter("title <> ''")
 
 
-def read_source_list(spark: SparkSession, path: str) -> DataFrame:
-    """``name | url`` lines; blank lines, comments and incomplete lines are skipped."""
+def read_feeds(spark: SparkSession, path: str, sources: DataFrame) -> DataFrame:
+    """Entries of landed feed files, each read once and named after its feed (``<name>.xml``); as ``parse_feeds``."""
+    name = F.regexp_replace(F.regexp_extract(F.input_file_name(), r"([^/]+)\.xml$", 1), "%20", " ")
+    return parse_feeds(spark.read.text(path, wholetext=True).select(name.alias("name"), F.col("value").alias("content")), sources)
+
+
+def parse_source_list(lines: DataFrame) -> DataFrame:
+    """``name | url`` lines (``value``); blank lines, comments and incomplete lines are skipped."""
     line = F.trim("value")
     parts = F.split(line, r"\|", 2)
-    rows = spark.read.text(path).filter((line != "") & ~F.startswith(line, F.lit("#"))).select(
+    rows = lines.filter((line != "") & ~F.startswith(line, F.lit("#"))).select(
         F.trim(F.get(parts, F.lit(0))).alias("name"), F.trim(F.get(parts, F.lit(1))).alias("url")
     )
     return rows.filter((F.col("name") != "") & (F.col("url") != ""))
 
 
+def read_source_list(spark: SparkSession, path: str) -> DataFrame:
+    return parse_source_list(spark.read.text(path))
+
+
 def front_matter(text: Column) -> Column:
     """Scalars between the two ``---`` lines at the top of a note, as a map without quotes."""
     head = F.regexp_extract(text, r"(?s)\A---\n(.*?)\n---", 1)

@@ -33,6 +33,19 @@ def test_feeds(spark, tmp_path):
     assert rows[1].published is None and rows[2].published == datetime(2026, 6, 2, 8)
 
 
+def test_feeds_of_all_kinds(spark):
+    rdf = ('<rdf:RDF xmlns:rdf="r" xmlns="http://purl.org/rss/1.0/" xmlns:dc="d"><channel rdf:about="q"><title>c</title><items><rdf:Seq/></items></channel>'
+           '<item><title>R1</title><link>http://r/1</link><dc:date>2024-01-02T00:00:00Z</dc:date></item><item><link>http://r/2</link></item><item><title>R3</title></item></rdf:RDF>')
+    atom = ('<feed xmlns="http://www.w3.org/2005/Atom"><link href="me" rel="self"/><entry><title>A</title><link rel="enclosure" href="e.mp3"/><link rel="alternate" type="text/html" href="http://a/1"/>'
+            '<link rel="self" href="http://a/s"/></entry><entry><title>B</title><link rel="related" href="http://a/2"/></entry><entry><title>C</title><link rel="self" href="s"/></entry></feed>')
+    files = spark.createDataFrame([("r", rdf), ("a", atom), ("n", "no feed <"), ("e", "")], "name string, content string")
+    sources = spark.createDataFrame([(n, "en", False, 5, 24, i) for i, n in enumerate("rane")], "name string, category string, reference boolean, max_items int, window_hours int, feed_idx int")
+    rows = feeds.parse_feeds(files, sources).orderBy("feed_idx", "entry_idx").collect()
+    assert [(r.source, r.entry_idx, r.title, r.link) for r in rows] == [
+        ("r", 0, "R1", "http://r/1"), ("r", 2, "R3", ""), ("a", 0, "A", "http://a/1"), ("a", 1, "B", "http://a/2"), ("a", 2, "C", "")]
+    assert rows[0].published == datetime(2024, 1, 2)
+
+
 def test_source_list(spark, tmp_path):
     write(tmp_path, "s.txt", "# comment\n\nA | https://a|b\nbroken\n | https://c\n")
     assert [tuple(r) for r in feeds.read_source_list(spark, str(tmp_path)).collect()] == [("A", "https://a|b")]
