@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from newsweft import rules
 from newsweft.plans.registry import query, table
 from newsweft.streaming import jobs as J
+from newsweft.streaming import state as K
 
 
 def event_stream(spark: SparkSession, sf: str) -> DataFrame:
@@ -67,33 +68,24 @@ def stream_usage(spark: SparkSession, sf: str) -> DataFrame:
       AND e.s > CAST(floor(epoch(r.ts + INTERVAL 8 HOUR - TIMESTAMP '1970-01-01 04:00:00') / 43200) AS BIGINT) GROUP BY r.user_id)
   SELECT user_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS accepted FROM r""")
 def stream_session_gate(spark: SparkSession, sf: str) -> DataFrame:
-    base = J.work_folder(spark, "gate")
-    stream = event_stream(spark, sf).select("user_id", "ts")
-    schema = "user_id bigint, ts timestamp_ntz"
-    state = J.StateTable(spark, f"{base}/state", lambda: spark.createDataFrame([], schema))
-    J.drain_batches(stream, J.gate_batches(state, f"{base}/out", "user_id"), base)
-    out = spark.read.schema(schema).parquet(f"{base}/out")
-    return out.select("user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("accepted"))
+    out = J.drain(K.session_gate(event_stream(spark, sf).select("user_id", "at"), "user_id", "at"))
+    return out.select("user_id", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("accepted"))
 
 
 @query("stream_deliver_once", """SELECT user_id AS run_id, CASE WHEN max(value) > 20 THEN 'delivered' ELSE 'empty' END AS status
   FROM events GROUP BY user_id""")
 def stream_deliver_once(spark: SparkSession, sf: str) -> DataFrame:
-    base = J.work_folder(spark, "deliver")
     stream = event_stream(spark, sf).select(
-        F.col("user_id").alias("run_id"), F.when(F.col("value") > 20, 1).otherwise(0).cast("long").alias("count")
+        F.col("user_id").alias("run_id"), F.when(F.col("value") > 20, 1).otherwise(0).cast("long").alias("count"), "at"
     )
-    schema = spark.createDataFrame([], "run_id bigint, status string, count bigint").schema
-    state = J.StateTable(spark, f"{base}/state", lambda: spark.createDataFrame([], schema))
-    J.drain_batches(stream, J.deliver_batches(state), base)
-    return J.latest_version(spark, f"{base}/state", schema).select("run_id", "status")
+    return J.drain(K.deliver_once(stream, "at")).select("run_id", "status")
 
 
 @query("stream_issue_alerts", """SELECT user_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, event_type AS signature FROM events
   QUALIFY event_type <> coalesce(lag(event_type) OVER (PARTITION BY user_id ORDER BY ts), '')""")
 def stream_issue_alerts(spark: SparkSession, sf: str) -> DataFrame:
     stream = event_stream(spark, sf).select("user_id", "at", F.col("event_type").alias("signature"))
-    return J.drain(J.issue_alerts(stream, "user_id", "at", "signature")).select(
+    return J.drain(K.issue_alerts(stream, "user_id", "at", "signature")).select(
         "user_id", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"), "signature"
     )
 
@@ -116,3 +108,22 @@ def stream_event_archive(spark: SparkSession, sf: str) -> DataFrame:
     state = J.StateTable(spark, f"{base}/state", lambda: spark.createDataFrame([], schema))
     J.drain_batches(stream, J.archive_batches(state, lambda b: F.lit("2024-01-30").cast("date")), base)
     return J.latest_version(spark, f"{base}/state", schema).select("event_id", "title")
+
+
+_NOW = "2024-01-20 12:00:00"
+
+
+@query("stream_fresh", f"""SELECT 'kept ' || event_type AS what, count(*) AS n, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first FROM events
+    WHERE event_id % 9 = 0 OR ts >= TIMESTAMP '{_NOW}' - INTERVAL {rules.WINDOW_HOURS} HOUR GROUP BY 1
+  UNION ALL SELECT 'late', count(*), strftime(min(ts), '%Y-%m-%d %H:%M:%S') FROM events
+    WHERE event_id % 9 <> 0 AND ts < TIMESTAMP '{_NOW}' - INTERVAL {rules.WINDOW_HOURS} HOUR""")
+def stream_fresh(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows no older than a day at a given time, every ninth without a time of its own, and the number of those that are too old."""
+    base = J.work_folder(spark, "fresh")
+    stream = event_stream(spark, sf).withColumn("stated", F.when(F.col("event_id") % 9 != 0, F.col("ts")))
+    now = lambda: F.lit(_NOW).cast("timestamp_ntz")
+    J.drain_batches(stream, J.split_fresh(f"{base}/out", f"{base}/late", "stated", now), base)
+    text = lambda c: F.date_format(F.min(c), "yyyy-MM-dd HH:mm:ss").alias("first")
+    kept = spark.read.parquet(f"{base}/out").filter(F.col("fresh").cast("boolean")).groupBy(F.concat(F.lit("kept "), "event_type").alias("what")).agg(F.count("*").alias("n"), text("ts"))
+    late = spark.read.parquet(f"{base}/late").agg(F.sum("late").alias("n"), text("oldest"))
+    return kept.unionByName(late.withColumn("what", F.lit("late")))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,9 +19,8 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from newsweft import rules
 from newsweft.operators import events as EV
-from newsweft.operators import ledger as L
-from newsweft.operators import sessions as S
 from newsweft.session import ensure_checkpoint_dir
+from newsweft.streaming.state import STORE
 
 
 def dedup_within(stream: DataFrame, ts: str, key: str, days: int = rules.SENT_RETENTION_DAYS) -> DataFrame:
@@ -77,35 +77,26 @@ def usage_windows(stream: DataFrame, ts: str, keys: list[str], delay: str = "1 d
     return stream.withWatermark(ts, delay).groupBy(F.window(ts, "7 days", "1 day"), *keys).agg(F.count("*").alias("count"))
 
 
-def fresh_only(stream: DataFrame, ts: str, hours: int = rules.WINDOW_HOURS) -> DataFrame:
-    """Mark rows older than the window as late data, to be dropped by the next stateful step."""
-    return stream.withWatermark(ts, f"{hours} hours")
+def is_fresh(at: Column, now: Column, hours: Column | int = rules.WINDOW_HOURS) -> Column:
+    """Whether a row's time is no more than ``hours`` before ``now``; a row without a time is kept, one of the future as well."""
+    age = F.timestamp_diff("MICROSECOND", at, now)
+    return F.coalesce(age <= F.lit(hours) * F.lit(3_600_000_000), F.lit(True))
 
 
-def issue_alerts(stream: DataFrame, key: str, at: str, signature: str) -> DataFrame:
-    """Emit ``key, at, signature`` whenever the signature of a key differs from the one before.
+def split_fresh(out: str, late: str, at: str, now: Callable[[], Column], hours: Column | int = rules.WINDOW_HOURS) -> Callable[[DataFrame, int], None]:
+    """Per micro-batch: fresh rows to ``out``, and to ``late`` how many rows were too old, with the oldest one's time.
 
-    The state of a key is its last signature and time; older rows than that are ignored.
+    The test needs no state, so a row's verdict does not depend on others. Each batch writes its own folder, so one that is repeated
+    writes the same again; the batch is read once and stored before it is split.
     """
-    key_type = stream.schema[key].dataType.simpleString()
-    at_type = stream.schema[at].dataType.simpleString()
+    def run(batch: DataFrame, batch_id: int) -> None:
+        judged = batch.withColumn("fresh", is_fresh(F.col(at), now(), hours))
+        judged.write.mode("overwrite").partitionBy("fresh").parquet(f"{out}/batch={batch_id}")
+        again = batch.sparkSession.read.schema(judged.schema).parquet(f"{out}/batch={batch_id}")
+        old = again.filter("not fresh").agg(F.count("*").alias("late"), F.min(at).alias("oldest"))
+        old.write.mode("overwrite").parquet(f"{late}/batch={batch_id}")
 
-    def update(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, seen = state.get if state.exists else ("", pd.Timestamp.min)
-        rows = pd.concat(list(batches)).sort_values(at)
-        changed = []
-        for when, sig in zip(rows[at], rows[signature]):
-            if when > seen:
-                if sig != last:
-                    changed.append((group[0], when, sig))
-                last, seen = sig, when
-        state.update((last, seen))
-        yield pd.DataFrame(changed, columns=[key, at, signature])
-
-    return stream.groupBy(key).applyInPandasWithState(
-        update, f"{key} {key_type}, {at} {at_type}, {signature} string",
-        f"last string, seen {at_type}", "append", GroupStateTimeout.NoTimeout,
-    )
+    return run
 
 
 class StateTable:
@@ -129,26 +120,6 @@ class StateTable:
         return self.spark.read.schema(df.schema).parquet(self._version(batch_id))
 
 
-def gate_batches(state: StateTable, out: str, key: str) -> Callable[[DataFrame, int], None]:
-    """Per micro-batch: run the session gate on the new triggers after each key's last accepted one.
-
-    The state ``(key, ts)`` holds the last accepted trigger of a key; triggers older than it are late
-    and ignored.
-    """
-    def run(batch: DataFrame, batch_id: int) -> None:
-        last = state.before(batch_id)
-        fresh = batch.select(key, "ts").join(last.withColumnRenamed("ts", "last"), key, "left").filter(
-            F.col("last").isNull() | (F.col("ts") > F.col("last"))
-        ).select(key, "ts")
-        accepted = S.session_gate(fresh.unionByName(last), key).select(key, "ts")
-        new = accepted.join(last, [key, "ts"], "left_anti")
-        new.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-        written = batch.sparkSession.read.schema(new.schema).parquet(f"{out}/batch={batch_id}")
-        state.write(batch_id, last.unionByName(written).groupBy(key).agg(F.max("ts").alias("ts")))
-
-    return run
-
-
 def archive_batches(state: StateTable, day_of: Callable[[DataFrame], Column],
                     days: int = rules.ACTIVE_EVENT_DAYS) -> Callable[[DataFrame, int], None]:
     """Per micro-batch: match the articles to the archive, upsert it, and drop what is long inactive."""
@@ -161,27 +132,33 @@ def archive_batches(state: StateTable, day_of: Callable[[DataFrame], Column],
     return run
 
 
-def deliver_batches(state: StateTable) -> Callable[[DataFrame, int], None]:
-    """Per micro-batch: record each run once; a run the ledger closed is not delivered again."""
-    def run(batch: DataFrame, batch_id: int) -> None:
-        ledger = state.before(batch_id)
-        runs = batch.groupBy("run_id").agg(F.max("count").alias("count"))
-        new = L.deliver_once(runs, ledger).filter("status <> 'duplicate'")
-        state.write(batch_id, ledger.join(new.select("run_id"), "run_id", "left_anti").unionByName(new))
-
-    return run
-
-
 def work_folder(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """Streams started within keep their state in the store that keyed state needs; a running stream keeps the one it began with."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, STORE)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over all data there is into a table and read the table."""
     spark = stream.sparkSession
     base = work_folder(spark, "stream")
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint")
-    writer.trigger(availableNow=True).format("parquet").option("path", f"{base}/out").start().awaitTermination()
+    with state_store(spark):
+        query = writer.trigger(availableNow=True).format("parquet").option("path", f"{base}/out").start()
+    query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from newsweft.operators import sessions
 from newsweft.plans.registry import table
 from newsweft.streaming import jobs as J
+from newsweft.streaming import state as K
 
 
 @pytest.fixture(scope="module")
@@ -51,18 +52,14 @@ def test_link_memory_does_not_depend_on_the_cut(spark, tmp_path, days_a_file):
 
 
 def test_gate(spark, daily):
-    base = J.work_folder(spark, "gate-test")
-    schema = "user_id bigint, ts timestamp_ntz"
-    state = J.StateTable(spark, f"{base}/state", lambda: spark.createDataFrame([], schema))
-    J.drain_batches(stream(spark, daily).select("user_id", "ts"), J.gate_batches(state, f"{base}/out", "user_id"), base)
-    got = {(r.user_id, r.ts) for r in spark.read.schema(schema).parquet(f"{base}/out").collect()}
+    got = {(r.user_id, r["at"]) for r in J.drain(K.session_gate(stream(spark, daily), "user_id", "at")).collect()}
     want = sessions.session_gate(spark.read.parquet(daily).select("user_id", "ts"), "user_id")
     assert got == {(r.user_id, r.ts) for r in want.collect()}
 
 
 def test_alerts(spark, daily):
     source = stream(spark, daily).select("user_id", "at", F.col("event_type").alias("signature"))
-    got = {(r.user_id, r["at"], r.signature) for r in J.drain(J.issue_alerts(source, "user_id", "at", "signature")).collect()}
+    got = {(r.user_id, r["at"], r.signature) for r in J.drain(K.issue_alerts(source, "user_id", "at", "signature")).collect()}
     want, last = set(), {}
     for r in spark.read.parquet(daily).orderBy("ts").collect():
         if last.get(r.user_id) != r.event_type:
@@ -71,11 +68,38 @@ def test_alerts(spark, daily):
     assert got == want
 
 
+def test_state_of_silent_keys_goes(spark, tmp_path):
+    """Key a is told again after its memory; b comes often and its change is told once."""
+    schema = "at timestamp, k string, sig string"
+    for day in range(1, 16):
+        rows = [(datetime(2026, 1, day, 1), "b", "same")] + [(datetime(2026, 1, day, 2), "a", "same")] * (day in (1, 14))
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = J.drain(K.issue_alerts(source, "k", "at", "sig", delay="1 hour", memory_days=3))
+    assert sorted((r.k, r["at"].day) for r in out.collect()) == [("a", 1), ("a", 14), ("b", 1)]
+
+
 def test_deliveries(spark, daily):
-    base = J.work_folder(spark, "deliver-test")
-    source = stream(spark, daily).select(F.col("user_id").alias("run_id"), F.lit(1).cast("long").alias("count"))
-    schema = spark.createDataFrame([], "run_id bigint, status string, count bigint").schema
-    state = J.StateTable(spark, f"{base}/state", lambda: spark.createDataFrame([], schema))
-    J.drain_batches(source, J.deliver_batches(state), base)
-    out = J.latest_version(spark, f"{base}/state", schema)
-    assert out.count() == out.select("run_id").distinct().count() == spark.read.parquet(daily).select("user_id").distinct().count()
+    source = stream(spark, daily).select(F.col("user_id").alias("run_id"), (F.col("event_id") % 2).alias("count"), "at")
+    out = J.drain(K.deliver_once(source, "at")).collect()
+    first = {}
+    for r in spark.read.parquet(daily).select("user_id", F.to_date("ts").alias("day"), (F.col("event_id") % 2).alias("count")).collect():
+        day, n = first.get(r.user_id, (r.day, 0))
+        first[r.user_id] = (min(day, r.day), max(n, r["count"]) if day == r.day else n if day < r.day else r["count"])
+    assert {r.run_id: r.status for r in out} == {u: "delivered" if n else "empty" for u, (_, n) in first.items()}
+    assert len(out) == len(first)
+
+
+@pytest.mark.parametrize("files", [1, 5])
+def test_fresh(spark, tmp_path, files):
+    rows = [(i, datetime(2026, 1, 1 + i % 10) if i % 4 else None) for i in range(40)]
+    spark.createDataFrame(rows, "id long, at timestamp_ntz").repartition(files).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema("id long, at timestamp_ntz").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    now = lambda: F.lit("2026-01-09 00:00:00").cast("timestamp_ntz")
+    base = str(tmp_path)
+    J.drain_batches(source, J.split_fresh(f"{base}/out", f"{base}/late", "at", now, 48), base)
+    keep = {i for i, t in rows if t is None or t >= datetime(2026, 1, 7)}
+    assert {r.id for r in spark.read.parquet(f"{base}/out").filter(F.col("fresh").cast("boolean")).collect()} == keep
+    late = spark.read.parquet(f"{base}/late").collect()
+    assert sum(r.late for r in late) == 40 - len(keep)
+    assert min(r.oldest for r in late if r.oldest) == min(t for i, t in rows if t and i not in keep)
