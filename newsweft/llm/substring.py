@@ -8,6 +8,7 @@ and none is listed. A window of the wanted length is a repeat where an earlier p
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -61,8 +62,11 @@ def windows_by_extension(met: Open, kind: Windows) -> np.ndarray:
     return out
 
 
-def cut_words(table: pa.Table, marked: Iterator) -> pa.Table:
-    """The words left, joined by single spaces, and the spans of removed words."""
+def cut_words(table: pa.Table, marked: Iterator, layout: bool = False) -> pa.Table:
+    """The words left, joined by single spaces, and the spans of removed words.
+
+    With ``layout`` the text is left as it is but for the spans, which go up to the next word; what stands before them stays.
+    """
     cols: list[list] = [[] for _ in range(5)]
     for _, data, places, at, marks in marked:
         words = Words(data, places)
@@ -83,6 +87,14 @@ def cut_words(table: pa.Table, marked: Iterator) -> pa.Table:
         open_at = marks & (fresh | ~np.concatenate([[False], marks[:-1]]))
         shut = np.concatenate([fresh[1:], [True]]) | ~np.concatenate([marks[1:], [False]]) if len(marks) else marks
         start, end = np.nonzero(open_at)[0], np.nonzero(marks & shut)[0] + 1
+        if layout:
+            after = np.minimum(end, len(words.start) - 1)
+            until = np.where((end < len(words.start)) & (words.doc[after] == words.doc[start]), words.start[after], words.end[end - 1])
+            steps = np.zeros(len(data) + 1, np.int32)
+            steps[words.start[start]] += 1
+            steps[until] -= 1
+            joined, taken = data, np.cumsum(steps)[:-1] == 0
+            sums = np.concatenate([[0], np.cumsum(taken)])
         spans = np.searchsorted(start, at)
         base = at[words.doc[start]]
         for c, x in zip(cols, (
@@ -96,11 +108,12 @@ def cut_words(table: pa.Table, marked: Iterator) -> pa.Table:
     return pa.table([table.column("doc_id").cast(pa.int64()), *(pa.chunked_array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
 
-def substring_dedup(docs: DataFrame, width: int = 20, seed: int = 8, carry: Sequence[str] = ()) -> DataFrame:
+def substring_dedup(docs: DataFrame, width: int = 20, seed: int = 8, carry: Sequence[str] = (), layout: bool = False) -> DataFrame:
     """Each text without the words covered by a window of ``width`` words that also starts earlier.
 
     Earlier is a smaller ``doc_id``, or a smaller place in the same document. A null text has no words. Rows with one
     ``doc_id`` count as that document, each with its own places; a null ``doc_id`` comes after all others. Texts of fewer
-    words stay whole. Of other columns those to ``carry`` are passed on, the rest are not looked at.
+    words stay whole. Of other columns those to ``carry`` are passed on, the rest are not looked at. ``kept`` is the words left, joined
+    by one space; with ``layout`` it is the text itself without the spans, so a text of which nothing is removed is unchanged.
     """
-    return repeats(docs, Windows(width, seed, words=True, same_text=True), windows_by_extension, cut_words, SCHEMA, carry)
+    return repeats(docs, Windows(width, seed, words=True, same_text=True), windows_by_extension, partial(cut_words, layout=layout), SCHEMA, carry)

@@ -502,3 +502,13 @@ def test_whole_articles(spark):
         assert got[k] == ["Head", "lead", long, "second"]
         assert got[10 + k] == ["Head", ("intro " * 20).strip(), long]
         assert got[20 + k] == ["Head", "before", long, long, "after"]
+
+
+def test_substring_dedup_keeps_the_layout(docs, rows):
+    plain = {(r.doc_id, r.kept): r for r in substring_dedup(docs).collect()}
+    for r in substring_dedup(docs, layout=True).collect():
+        assert (r.doc_id, " ".join(WORD.findall(r.kept))) in plain
+        if r.n_removed == 0:
+            assert any(i == r.doc_id and (t or "") == r.kept for i, t in rows)
+        else:
+            assert any(i == r.doc_id and len(r.kept) < len(t or "") for i, t in rows)
