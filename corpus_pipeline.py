@@ -40,11 +40,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without repeated passages; documents of which nothing is left go."""
+    """Texts without repeated passages, else as they were; documents of which no word is left go."""
     docs = of_documents(docs)
-    found = substring_dedup(docs, carry=[c for c in docs.columns if c not in ("doc_id", "text", "n_chars")])
+    found = substring_dedup(docs, carry=[c for c in docs.columns if c not in ("doc_id", "text", "n_chars")], layout=True)
     found = found.withColumns({"text": F.col("kept"), "n_chars": F.char_length("kept").cast("long")})
-    return found.where("text <> ''").select(*docs.columns)
+    return found.where("n_removed < n_words").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
