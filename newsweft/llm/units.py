@@ -1,8 +1,8 @@
 """Texts of an Arrow batch as flat arrays: bytes, words, their hashes, and hashes of any run of them.
 
-Everything here works on all texts of a batch at once. A hash of a run is the difference of two
-prefix sums of a polynomial over 2**64, brought back to power zero; each unit enters as a random odd
-number, so that texts with a regular structure are not special.
+Everything here works on all texts of a batch at once. A hash of a run is the difference of two prefix sums of a polynomial, brought
+back to power zero, over the prime field of 2**31 - 1 at two bases; each unit enters as two random numbers. Over a field no pattern of
+units makes the difference of two runs vanish by itself, as it does over a power of two (words in Thue-Morse order).
 """
 
 from __future__ import annotations
@@ -14,8 +14,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
+#: An odd number that spreads keys over 64 bits.
 BASE = U(0x9E3779B97F4A7C15)
-INVERSE = U(pow(int(BASE), -1, 2**64))
+#: The prime of the field, and two numbers whose powers run through all of it but zero.
+PRIME, BASES = 2**31 - 1, (742_938_285, 950_706_376)
+_PRIME, _BITS = U(PRIME), U(31)
+#: Units worked on at once, so that they stay in the processor's cache.
+STEP = 1 << 14
 #: Fixed random odd numbers, one for each byte; the same on every machine.
 BYTE = np.random.Generator(np.random.PCG64(20_240_229)).integers(0, 2**63, 256).astype(U) * U(2) + U(1)
 #: The white space between words: U+0020 and U+0009 to U+000D.
@@ -24,17 +29,29 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: So many bytes of text are worked on at once; a longer text is worked on alone.
 SLICE_BYTES = 1_000_000
 
-_powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
+_powers: dict[int, np.ndarray] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE and INVERSE to the powers 0 to n."""
-    if len(_powers[0]) <= n:
-        for k, base in enumerate((BASE, INVERSE)):
-            grown = np.full(max(n + 1, 1 << 16), base, U)
-            grown[0] = 1
-            _powers[k] = np.cumprod(grown)
-    return _powers[0], _powers[1]
+def fold(x: np.ndarray) -> np.ndarray:
+    """Makes the numbers smaller in place, with the same residues: below 2**32 if they were below 2**62."""
+    upper = x >> _BITS
+    x &= _PRIME
+    x += upper
+    return x
+
+
+def least(x: np.ndarray) -> np.ndarray:
+    """The residues, of numbers below twice the prime; a difference below zero is a very large number."""
+    return np.minimum(x, x - _PRIME)
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """``base`` to the powers 0 to n, in the field."""
+    held = _powers.get(base, np.ones(1, U))
+    while len(held) <= n:
+        held = np.concatenate([held, least(fold(fold(held * U(pow(base, len(held), PRIME)))))])
+    _powers[base] = held
+    return held
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -45,20 +62,46 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class Runs:
-    """Hashes of runs of units."""
+    """Hashes of runs of units, of 62 bits. Units are 64-bit numbers whose upper 31 bits, and the 31 bits from the third lowest on, are random."""
 
     def __init__(self, values: np.ndarray):
-        up, self.down = powers(len(values) + 1)
-        self.sums = np.zeros(len(values) + 1, U)
-        np.cumsum(values * up[: len(values)], out=self.sums[1:])
+        self.sums, self.down = [], []
+        n = len(values)
+        ups = [powers(base, n) for base in BASES]
+        self.down = [powers(pow(base, -1, PRIME), n) for base in BASES]
+        self.sums = [np.zeros(n + 1, U) for _ in BASES]
+        for k in range(0, n, STEP):
+            some = values[k : k + STEP]
+            for sums, up, part in zip(self.sums, ups, (some >> U(33), some >> U(2) & _PRIME), strict=True):
+                part *= up[k : k + STEP][: len(some)]
+                to = sums[k + 1 : k + 1 + len(some)]
+                np.cumsum(fold(part), out=to)
+                to += sums[k]
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.sums[end] - self.sums[start]) * self.down[start]
+        out = np.empty(len(start), U)
+        for k in range(0, len(out), STEP):
+            a, b = start[k : k + STEP], end[k : k + STEP]
+            self.put(out[k : k + STEP], [(sums[b] - sums[a], down[a]) for sums, down in zip(self.sums, self.down, strict=True)])
+        return out
 
     def windows(self, width: int) -> np.ndarray:
         """One for each start."""
-        n = len(self.sums) - width
-        return (self.sums[width:] - self.sums[:n]) * self.down[:n] if n > 0 else np.zeros(0, U)
+        out = np.empty(max(0, len(self.sums[0]) - width), U)
+        for k in range(0, len(out), STEP):
+            j = min(k + STEP, len(out))
+            self.put(out[k:j], [(sums[k + width : j + width] - sums[k:j], down[k:j]) for sums, down in zip(self.sums, self.down, strict=True)])
+        return out
+
+    @staticmethod
+    def put(out: np.ndarray, parts: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        for total, down in parts:
+            fold(fold(total))
+            total *= down
+            fold(fold(total))
+        upper, lower = (least(total) for total, _ in parts)
+        np.left_shift(upper, _BITS, out=out)
+        out |= lower
 
 
 def flat(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
