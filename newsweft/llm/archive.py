@@ -7,6 +7,8 @@ stored apart. A record is its header and, unless it is a revisit, its payload; i
 from __future__ import annotations
 
 import uuid
+from datetime import UTC, datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +19,7 @@ from newsweft.session import ensure_checkpoint_dir
 LEAST_SHARED = 1000
 #: Fixed values of the format.
 CRLF = "\r\n"
+CONTROLS = [*range(0x20), 0x7F]
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -28,13 +31,20 @@ def record_rows(pages: DataFrame) -> DataFrame:
     )
 
 
-def write_archive(pages: DataFrame, path: str, least_shared: int = LEAST_SHARED) -> None:
-    """Writes ``path/payloads`` and ``path/headers``.
+def one_line(url: F.Column) -> F.Column:
+    """A url whose control characters, which would end the line of a header, are percent-encoded."""
+    encoded = reduce(lambda c, k: F.replace(c, F.lit(chr(k)), F.lit(f"%{k:02X}")), CONTROLS, url)
+    return F.when(url.rlike(r"[\x00-\x1F\x7F]"), encoded).otherwise(url)
+
+
+def write_archive(pages: DataFrame, path: str, least_shared: int = LEAST_SHARED, written_at: datetime | None = None) -> None:
+    """Writes ``path/payloads`` and ``path/headers``. All records have one date, ``written_at`` or the time of the call.
 
     Records of one payload of at least ``least_shared`` bytes revisit the one with the largest ``page_id``; shorter payloads are
     responses, though their bytes are stored once too. A null ``page_id`` is smaller than all others.
     """
     rows = record_rows(pages)
+    date = (written_at or datetime.now(UTC)).astimezone(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     slim = rows.select(
         "page_id", "url", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("sha1"), F.unhex(F.sha2("payload", 256)).alias("sha256")
     )
@@ -48,7 +58,8 @@ def write_archive(pages: DataFrame, path: str, least_shared: int = LEAST_SHARED)
         F.lit(f"WARC/1.1{CRLF}"),
         line("WARC-Type", F.when(F.col("revisits"), "revisit").otherwise("response")),
         line("WARC-Record-ID", uri("page_id")),
-        line("WARC-Target-URI", F.coalesce(F.col("url"), F.lit(""))),
+        line("WARC-Date", F.lit(date)),
+        line("WARC-Target-URI", F.coalesce(one_line(F.col("url")), F.lit(""))),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
         F.when(F.col("revisits"), F.concat(line("WARC-Profile", F.lit(REVISIT_PROFILE)), line("WARC-Refers-To", uri("response_id")))).otherwise(""),
         line("Content-Type", F.lit("text/html; charset=utf-8")),
@@ -77,7 +88,8 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def field(name: str) -> F.Column:
-    return F.regexp_extract(F.decode("header", "UTF-8"), rf"(?m)^{name}: ([^\r\n]*)", 1)
+    """Value of a line of the header; only a line feed ends a line."""
+    return F.regexp_extract(F.decode("header", "UTF-8"), rf"(?md)^{name}: ([^\r\n]*)", 1)
 
 
 def warc_record(header: str = "header", payload: str = "payload") -> F.Column:

@@ -21,8 +21,9 @@ from newsweft.session import durable
 #: Fixed values. Elements whose text is no text of the page; elements that are never part of the article; elements that hold others;
 #: elements that end a block of text; words of class or id that mark what surrounds an article.
 RAW = frozenset("script style noscript template textarea title iframe svg math object canvas".split())
-AROUND = frozenset("nav header footer aside form button select menu dialog head".split())
-HOLDS = frozenset("html body div article section main td th table ul ol dl figure blockquote details center".split()) | AROUND
+AROUND = frozenset("nav header footer aside button select menu dialog head".split())
+HOLDS = frozenset("html body div article section main td th table ul ol dl figure blockquote details center form".split()) | AROUND
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 BLOCK = HOLDS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre tr thead tbody tfoot caption figcaption hr address summary fieldset legend".split())
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising adbox adsense sponsor sponsored promo promotion banner sidebar side menu nav navbar navigation "
@@ -30,15 +31,16 @@ MARKS = frozenset(
     "alert popup modal newsletter subscribe signup login share sharing social related recommended recommendations widget toolbar pagination pager "
     "copyright legal disclaimer".split()
 )
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*|[^>]*)>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 WORD = re.compile(r"[a-z]+")
 #: Words with which a class tells that something is not there or is only beside it; share of the page's unlinked text from which a
 #: container is kept whatever its class is.
 NOT = frozenset("has have no not non with without of hide hidden show".split())
 MOST = 0.8
-#: So many paths of a host are remembered in order; share of the host's text right in a path from which it belongs to the main text.
-PATHS, SHARE = 8, 0.02
+#: Share of a host's votes from which a path has won; share of the host's text right in a path from which it belongs to the main text.
+#: So a host has at most 100 and 50 such paths.
+WINS, SHARE = 0.01, 0.02
 
 
 def surrounds(value: str) -> bool:
@@ -58,10 +60,11 @@ class Page:
         self.parents: list[int] = [-1]
         self.blocks: list[tuple[int, str]] = []
         self.links: list[int] = []
-        marked = [-1]  # the outermost container around each one that is marked by its class
+        marked = [-1]  # the nearest container around each one, or itself, that is marked by its class or is a form
+        above: dict[int, int] = {}  # the nearest one around a marked container
         stack: list[tuple[str, int, bool]] = [("", 0, False)]
         text: list[str] = []
-        linked, in_link, at, skip = 0, False, 0, ""
+        linked, in_link, at, headline = 0, False, 0, False
 
         def close() -> None:
             nonlocal linked
@@ -76,7 +79,7 @@ class Page:
         for found in TAG.finditer(source):
             if found.start() < at:
                 continue
-            if found.start() > at and not stack[-1][2]:
+            if found.start() > at and (headline or not stack[-1][2]):
                 piece = source[at : found.start()]
                 text.append(piece)
                 if in_link:
@@ -97,6 +100,8 @@ class Page:
             elif tag in BLOCK:
                 close()
                 in_link = False
+                # The headline of an article may stand in its header.
+                headline = tag in HEADING and not ends and self.in_own_header(stack)
                 if tag not in HOLDS:
                     continue
                 if ends:
@@ -115,21 +120,39 @@ class Page:
                     # An article within an article is a comment, and may be dropped.
                     spared = tag in ("html", "body", "main") or (tag == "article" and all(s[0] != "article" for s in stack))
                     outer = marked[stack[-1][1]]
-                    marked.append(len(self.paths) if outer < 0 and by_class and not spared else outer)
+                    if (by_class or tag == "form") and not spared:
+                        above[len(self.paths)] = outer
+                        outer = len(self.paths)
+                    marked.append(outer)
                     self.paths.append(f"{self.paths[stack[-1][1]]}/{'.'.join([tag, *sorted(set(marks))])}")
                     self.parents.append(stack[-1][1])
                     stack.append((tag, len(self.paths) - 1, around))
-        if at < len(source) and not stack[-1][2]:
+        if at < len(source) and (headline or not stack[-1][2]):
             text.append(source[at:])
         close()
-        held: dict[int, float] = {}
+        held = dict.fromkeys(above, 0.0)
+        whole = 0.0
         for (k, line), linked in zip(self.blocks, self.links, strict=True):
-            held[marked[k]] = held.get(marked[k], 0.0) + max(0.0, len(line) - 2.0 * linked)
-        most = MOST * sum(held.values())
-        keep = [marked[k] < 0 or 0 < most <= held[marked[k]] for k, _ in self.blocks]
+            size = max(0.0, len(line) - 2.0 * linked)
+            whole += size
+            m = marked[k]
+            while m >= 0:
+                held[m] += size
+                m = above[m]
+        # Numbers ascend from the outside in; a container stays if it holds most of the text and all around it stay.
+        stays = {-1: True}
+        for m, outer in above.items():
+            stays[m] = stays[outer] and 0 < MOST * whole <= held[m]
+        keep = [stays[marked[k]] for k, _ in self.blocks]
         self.blocks = [b for b, good in zip(self.blocks, keep, strict=True) if good]
         self.links = [n for n, good in zip(self.links, keep, strict=True) if good]
 
+    @staticmethod
+    def in_own_header(stack: list[tuple[str, int, bool]]) -> bool:
+        """Whether all that is dropped around a place is a header, right in one outermost article or in an element that is kept there."""
+        inner = [tag for tag, _, _ in stack]
+        return inner.count("article") == 1 and AROUND.intersection(inner) == {"header"} and inner.index("article") < inner.index("header")
+
     def votes(self) -> dict[str, float]:
         """Score of each path: characters outside links of the blocks right in it, and half of those one level deeper."""
         out: dict[str, float] = {}
@@ -195,10 +218,13 @@ def voted_paths(pages: DataFrame) -> DataFrame:
 
     votes = pages.select(host_of("url").alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(vote, "host string, path string, score double, own double")
     sums = votes.groupBy("host", "path").agg(F.sum("score").alias("score"), F.sum("own").alias("own"))
-    best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("score"), "path"))), 1, PATHS)
-    ranked = sums.groupBy("host").agg(best.alias("best"), F.collect_list(F.struct("own", "path")).alias("all"), F.sum("own").alias("total"))
-    wide = F.filter("all", lambda x: x["own"] >= SHARE * F.col("total"))
-    return ranked.select("host", F.col("best.path").alias("paths"), F.transform(wide, lambda x: x["path"]).alias("wide"))
+    # Stored, as it is read twice: for the sums of each host and for the paths with a share of them, which are few.
+    sums = durable(sums)
+    total = sums.groupBy("host").agg(F.sum("score").alias("all_score"), F.sum("own").alias("all_own"))
+    wins, wide = F.col("score") >= WINS * F.col("all_score"), F.col("own") >= SHARE * F.col("all_own")
+    chosen = sums.join(total, "host").filter(wins | wide)
+    best = F.sort_array(F.collect_list(F.when(wins, F.struct((-F.col("score")).alias("score"), "path"))))
+    return chosen.groupBy("host").agg(best["path"].alias("paths"), F.sort_array(F.collect_list(F.when(wide, F.col("path")))).alias("wide"))
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
