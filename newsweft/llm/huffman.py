@@ -130,41 +130,55 @@ def stretch_sizes(sizes: np.ndarray) -> np.ndarray:
     return np.minimum(STRETCH, np.repeat(sizes, number) - place * STRETCH)
 
 
-def token_rows(docs: DataFrame, tokenizer: str, keeps_space: bool, end: int) -> DataFrame:
-    """``doc_id`` (a null counts as the last) and the token ids of each whole text with ``end`` after them, 32 bits each."""
+def token_rows(docs: DataFrame, tokenizer: str, keeps_space: bool, end: int, size: int) -> DataFrame:
+    """``doc_id`` (a null counts as the last) and the token ids of each whole text with ``end`` after them, 32 bits each.
+
+    After its texts each task gives one side row of ``used`` ids and how often it met each (``times``), so nothing has to be read
+    again to be counted.
+    """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(size, np.int64)
         for batch in batches:
             own = batch.column("doc_id")
             for i, j, ids, at in encoded(batch.column("text"), tokenizer, keeps_space):
                 ids, at = with_end(ids, at, end)
+                found += np.bincount(ids, minlength=size)
                 held = pa.LargeBinaryArray.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer((at * 4).astype(np.int64)), pa.py_buffer(ids.astype("<u4"))])
-                yield pa.RecordBatch.from_arrays([own.slice(i, j - i), held.cast(pa.binary())], names=["doc_id", "ids"])
+                none = pa.nulls(j - i, pa.binary())
+                yield pa.RecordBatch.from_arrays([own.slice(i, j - i), held.cast(pa.binary()), none, none], names=["doc_id", "ids", "used", "times"])
+        used = np.nonzero(found)[0]
+        if len(used):
+            side = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), *(pa.array([x.tobytes()], pa.binary()) for x in (used.astype("<u4"), found[used].astype("<i8")))]
+            yield pa.RecordBatch.from_arrays(side, names=["doc_id", "ids", "used", "times"])
 
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encode, "doc_id long, ids binary")
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return texts.mapInArrow(encode, "doc_id long, ids binary, used binary, times binary")
 
 
 def count_ids(rows: DataFrame, size: int) -> np.ndarray:
-    """How often each id occurs; the driver gets one number for each id of the vocabulary."""
+    """How often each id occurs, from the side rows; the driver gets one number for each id of the vocabulary."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros(size, np.int64)
         for batch in batches:
-            for ids in batch.column("ids"):
-                found += np.bincount(np.frombuffer(ids.as_buffer(), "<u4"), minlength=size)
+            for used, times in zip(batch.column("used").to_pylist(), batch.column("times").to_pylist(), strict=True):
+                found[np.frombuffer(used, "<u4")] += np.frombuffer(times, "<i8")
         at = np.nonzero(found)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(found[at])], names=["id", "n"])
 
     out = np.zeros(size, np.int64)
-    for row in rows.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    side = rows.filter("used IS NOT NULL").select("used", "times")
+    for row in side.mapInArrow(add, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         out[row.id] = row.n
     return out
 
 
 def write_ids(rows: DataFrame, path: str, size: int) -> None:
-    """Writes ``doc_id`` and ``ids`` rows as files of the format, in ascending order of ``doc_id``."""
+    """Writes rows of ``token_rows`` as files of the format, in ascending order of ``doc_id``."""
     spark = rows.sparkSession
     lengths = code_lengths(count_ids(rows, size))
+    rows = rows.filter("used IS NULL").select("doc_id", "ids")
     codes = canonical(lengths)
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").coalesce(1).write.parquet(f"{path}/book")
     number = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -278,7 +292,7 @@ def huffman_store(docs: DataFrame, tokenizer: str, size: int = 50_257, keeps_spa
     spark = docs.sparkSession
     path = path or f"{ensure_checkpoint_dir(spark)}/ids-{uuid.uuid4().hex}"
     rows = f"{path}/rows"
-    token_rows(docs, tokenizer, keeps_space, end).write.option("compression", "zstd").parquet(rows)
+    token_rows(docs, tokenizer, keeps_space, end, size).write.option("compression", "zstd").parquet(rows)
     write_ids(spark.read.parquet(rows), path, size)
     return read_ids(spark, path)
 
