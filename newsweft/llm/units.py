@@ -46,10 +46,12 @@ def least(x: np.ndarray) -> np.ndarray:
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """``base`` to the powers 0 to n, in the field."""
-    held = _powers.get(base, np.ones(1, U))
+    """``base`` to the powers 0 to n, in the field; 32 bits each, as a long text needs many."""
+    held = _powers.get(base, np.ones(1, np.uint32))
     while len(held) <= n:
-        held = np.concatenate([held, least(fold(fold(held * U(pow(base, len(held), PRIME)))))])
+        grown = held[: n + 1 - len(held) if n >= 1 << 20 else len(held)].astype(U)
+        grown *= U(pow(base, len(held), PRIME))
+        held = np.concatenate([held, least(fold(fold(grown))).astype(np.uint32)])
     _powers[base] = held
     return held
 
