@@ -109,21 +109,31 @@ def merge_sections(texts: DataFrame, scope: Sequence[str], order: str, text: str
                    other: str = rules.SECTION_OTHER) -> DataFrame:
     """Lines of all parts of a scope by the last heading seen in their part: ``scope, section, content``.
 
-    Headings and filler lines are left out. The text of a section is put together in order; a
-    section is one document of the scope, so its lines are gathered once.
+    Headings and filler lines are left out. Each part is cut at its headings inside its row, so what moves is one joined text for
+    each stretch of a section; they are put together in order, once for each section of a scope.
     """
     scope = list(scope)
-    lines = texts.select(*scope, order, F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    bare = F.regexp_replace("line", r"(?U)^\s+|\s+$", "")
-    heading: Column | None = None
-    for s in sections:
-        test = F.startswith(bare, F.lit("##")) & F.contains(bare, F.lit(s))
-        heading = F.when(test, s) if heading is None else heading.when(test, s)
-    filler = F.contains(F.regexp_replace("line", r"[\s（）()。.!！]", ""), F.lit(placeholder))
-    seen = Window.partitionBy(*scope, order).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.filter(~filler).withColumn("heading", heading)
-    lines = lines.withColumn("section", F.coalesce(F.last("heading", ignorenulls=True).over(seen), F.lit(other)))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "pos", "line"))), lambda x: x["line"]), "\n")
-    return lines.filter("heading is null").groupBy(*scope, "section").agg(
-        F.regexp_replace(body, r"(?U)^\s+|\s+$", "").alias("content")
-    )
+
+    def heading(bare: Column) -> Column:
+        found = F.lit(None).cast("string")
+        for s in reversed(sections):
+            found = F.when(F.startswith(bare, F.lit("##")) & F.contains(bare, F.lit(s)), s).otherwise(found)
+        return found
+
+    def is_filler(line: Column) -> Column:
+        return F.contains(F.regexp_replace(line, r"[\s（）()。.!！]", ""), F.lit(placeholder))
+
+    said = F.filter(F.split(text, "\n"), lambda x: ~is_filler(x))
+    lines = F.transform(said, lambda x: F.struct(x.alias("line"), heading(F.regexp_replace(x, r"(?U)^\s+|\s+$", "")).alias("heading")))
+    # What stands before the first heading is a stretch as well, at place 0.
+    places = F.concat(F.array(F.lit(0)), F.filter(F.transform("_lines", lambda x, i: F.when(x["heading"].isNotNull(), i + 1)), lambda i: i.isNotNull()))
+    ends = F.concat(F.slice("_at", F.lit(2), F.size("_at")), F.array(F.size("_lines") + 1))
+    stretches = F.transform(F.arrays_zip(F.col("_at").alias("head"), ends.alias("end")), lambda x: F.struct(
+        F.coalesce(F.get("_lines", x["head"] - 1)["heading"], F.lit(other)).alias("section"),
+        F.slice("_lines", x["head"] + 1, x["end"] - x["head"] - 1)["line"].alias("lines"),
+    ))
+    rows = texts.select(*scope, order, lines.alias("_lines")).filter("_lines IS NOT NULL").select(*scope, order, "_lines", places.alias("_at"))
+    rows = rows.select(*scope, order, F.posexplode(stretches).alias("_number", "_part")).filter(F.size("_part.lines") > 0)
+    rows = rows.select(*scope, order, "_number", F.col("_part.section").alias("section"), F.array_join("_part.lines", "\n").alias("_text"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "_number", "_text"))), lambda x: x["_text"]), "\n")
+    return rows.groupBy(*scope, "section").agg(F.regexp_replace(body, r"(?U)^\s+|\s+$", "").alias("content"))

@@ -38,26 +38,29 @@ def parse_items(markdown: Column) -> Column:
 def split_items(docs: DataFrame, keys: Sequence[str], markdown: str) -> DataFrame:
     """Rendered items of a digest: ``keys, item, title, body, source_line``.
 
-    An item starts at a bold line with a mark and ends at its citation line or the next title.
+    An item starts at a bold line with a mark and ends at its citation line or the next title. The lines stay an array of their
+    row, cut at the titles, so nothing is shuffled and rows of equal keys don't mix. A null digest has no items.
     """
     keys = list(keys)
     mark = f"[{rules.TITLE_MARKS}]"
     title_line = rf"^\*\*\s*{mark}[{rules.TITLE_MARKS}\s]*(.+?)\*\*\s*$"
-    lines = docs.select(*keys, F.posexplode(F.split(markdown, r"\r\n|\r|\n")).alias("pos", "line")).withColumn(
-        "bare", strip(F.col("line"))
-    ).withColumn("is_title", F.rlike("bare", F.lit(title_line))).withColumn(
-        "is_source", ~F.col("is_title") & F.rlike("bare", F.lit(rules.SOURCE_MARK))
-    )
-    walk = Window.partitionBy(*keys).orderBy("pos")
-    lines = lines.withColumn("item", F.sum(F.col("is_title").cast("int")).over(walk)).filter("item > 0")
-    inside = Window.partitionBy(*keys, "item").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    lines = lines.withColumn("closed", F.coalesce(F.max("is_source").over(inside), F.lit(False))).filter("not closed")
-    body = F.filter(F.array_sort(F.collect_list(F.struct("pos", "line", (F.col("is_title") | F.col("is_source")).alias("skip")))),
-                    lambda x: ~x["skip"])
-    return lines.groupBy(*keys, "item").agg(
-        strip(F.max(F.when(F.col("is_title"), F.regexp_extract("bare", title_line, 1)))).alias("title"),
-        strip(F.array_join(F.transform(body, lambda x: x["line"]), "\n")).alias("body"),
-        F.coalesce(F.max(F.when(F.col("is_source"), F.col("bare"))), F.lit("")).alias("source_line"),
+    lines = F.transform(F.split(markdown, r"\r\n|\r|\n"), lambda x: F.struct(x.alias("line"), strip(x).alias("bare")))
+    lines = F.transform(lines, lambda x: F.struct(
+        x["line"].alias("line"), x["bare"].alias("bare"), F.rlike(x["bare"], F.lit(title_line)).alias("is_title"),
+    ))
+    places = F.filter(F.transform("_lines", lambda x, i: F.when(x["is_title"], i + 1)), lambda i: i.isNotNull())
+    # An item ends before the next title; the last one with the text.
+    ends = F.concat(F.slice("_at", 2, F.greatest(F.size("_at"), F.lit(1))), F.array(F.size("_lines") + 1))
+    spans = F.filter(F.arrays_zip(F.col("_at").alias("first"), ends.alias("end")), lambda x: x["first"].isNotNull())  # none without a title
+    items = F.transform(spans, lambda x: F.slice("_lines", x["first"], x["end"] - x["first"]))
+    rows = docs.select(*keys, lines.alias("_lines")).select(*keys, "_lines", places.alias("_at")).select(*keys, F.posexplode(items).alias("_number", "_item"))
+    source = F.array_position(F.transform("_item", lambda x: ~x["is_title"] & F.rlike(x["bare"], F.lit(rules.SOURCE_MARK))), True)
+    rows = rows.withColumn("_source", source.cast("int"))
+    length = F.when(F.col("_source") > 0, F.col("_source") - 2).otherwise(F.size("_item") - 1)
+    return rows.select(
+        *keys, (F.col("_number") + 1).cast("long").alias("item"), strip(F.regexp_extract(F.col("_item")[0]["bare"], title_line, 1)).alias("title"),
+        strip(F.array_join(F.slice("_item", F.lit(2), length)["line"], "\n")).alias("body"),
+        F.when(F.col("_source") > 0, F.get("_item", F.col("_source") - 1)["bare"]).otherwise("").alias("source_line"),
     )
 
 

@@ -371,3 +371,20 @@ def test_health(spark):
         spark.createDataFrame([("p", "OK", datetime(2026, 7, 1))], "name string, status string, last_run timestamp_ntz"), now)
     assert sorted((r.code, r.source) for r in out.collect()) == [
         ("disconnected", "b"), ("job_failed", "c"), ("pipeline_stale", "p"), ("process_down", "a"), ("source_unavailable", "t")]
+
+
+def test_items_are_cut_inside_their_row(spark):
+    mark = rules.TITLE_MARKS[0]
+    text = f"intro\r\n**{mark} One**\r\nbody\r\n> 📰 来源：x\r\nafter\r\n**{mark} Two**"
+    df = spark.createDataFrame([(1, text), (1, text), (2, "no title\nat all"), (3, None), (4, "")], "d int, md string")
+    out = quality.split_items(df, ["d"], "md")
+    one, two = (1, 1, "One", "body", "> 📰 来源：x"), (1, 2, "Two", "", "")
+    assert sorted(map(tuple, out.collect())) == [one, one, two, two]
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sections_without_lines_leave_no_trace(spark):
+    rows = [(1, 1, "lead\n## A\n## B\nb1\n\nb2"), (1, 2, "## A\na1"), (1, 3, None), (1, 4, ""), (2, 1, "## B"), (1, 5, "  ## B \nb3\n## A")]
+    df = spark.createDataFrame(rows, "d int, part int, t string")
+    out = chunking.merge_sections(df, ["d"], "part", "t", sections=("A", "B"), placeholder="nothing new", other="rest")
+    assert sorted(map(tuple, out.collect())) == [(1, "A", "a1"), (1, "B", "b1\n\nb2\nb3"), (1, "rest", "lead")]
