@@ -13,17 +13,18 @@ from newsweft.functions.urls import host_allowed, hostname, normalize_url
 
 
 def backfill_texts(targets: DataFrame, results: DataFrame, captured_at: Column, scope: str = "run_key",
-                   domains: Sequence[str] = rules.FULLTEXT_DOMAINS) -> DataFrame:
+                   domains: Sequence[str] = rules.FULLTEXT_DOMAINS, search: str = "id") -> DataFrame:
     """Targets with the text of their first usable search result: ``fulltext`` and ``backfill``.
 
-    ``targets(<scope>, id, ...)``, ``results(id, search_rank, url, title, source, text)``. A result is
+    ``targets(<scope>, id, <search>, ...)``, ``results(<search>, search_rank, url, title, source, text)``. A result is
     usable if its host is allowed and its page gave a text. Targets without one keep a null
-    ``backfill``. Each target takes one result by a partial aggregate.
+    ``backfill``. Each search keeps one result by a partial aggregate before it meets the targets that made it, so
+    targets with the same search never multiply the results.
     """
     host = hostname(F.col("url"))
     usable = results.filter(host_allowed(host, domains) & (F.coalesce("text", F.lit("")) != ""))
     text = truncate(F.col("text"), rules.FULLTEXT_CHARS)
-    best = usable.groupBy("id").agg(F.min_by(
+    best = usable.groupBy(search).agg(F.min_by(
         F.struct(
             F.struct(
                 "url", normalize_url(F.col("url")).alias("canonical_url"), host.alias("hostname"),
@@ -34,8 +35,8 @@ def backfill_texts(targets: DataFrame, results: DataFrame, captured_at: Column,
             text.alias("text"),
         ), "search_rank",
     ).alias("b"))
-    found = best.select("id", F.col("b.backfill").alias("backfill"), F.col("b.text").alias("_text"))
-    out = targets.drop("backfill").join(found, "id", "left")
+    found = best.select(search, F.col("b.backfill").alias("backfill"), F.col("b.text").alias("_text"))
+    out = targets.drop("backfill").join(found, search, "left")
     return out.withColumn("fulltext", F.coalesce("_text", "fulltext")).drop("_text")
 
 

@@ -493,14 +493,13 @@ def numbered_join(spark: SparkSession, sf: str) -> DataFrame:
   SELECT t.id, ok.page_id AS search_rank, ok.host AS hostname, substr(ok.body, 1, 2800) AS fulltext,
     sha256(trim(substr(ok.body, 1, 2800))) AS content_sha256 FROM t LEFT JOIN b USING (id) LEFT JOIN ok ON ok.page_id = b.page_id""")
 def backfill_texts(spark: SparkSession, sf: str) -> DataFrame:
-    """Articles of reference sources, with pages of the same residue as search results."""
-    targets = articles(spark, sf).filter("reference").select("id", "run_key", F.lit(None).cast("string").alias("fulltext"))
+    """Articles of reference sources, each with one of 50 searches, whose results are the pages of a residue."""
+    targets = articles(spark, sf).filter("reference").select("id", "run_key", (F.col("id") % 50).alias("slot"), F.lit(None).cast("string").alias("fulltext"))
     pages = table(spark, sf, "pages").select(
         (F.col("page_id") % 50).alias("slot"), F.col("page_id").alias("search_rank"), "url", F.lit("t").alias("title"),
         F.lit("s").alias("source"), T.extract_main_text(F.col("html")).alias("text"),
     )
-    results = targets.select("id", (F.col("id") % 50).alias("slot")).join(pages, "slot")
-    out = BF.backfill_texts(targets, results, as_of(), domains=("example.org",))
+    out = BF.backfill_texts(targets, pages, as_of(), domains=("example.org",), search="slot")
     return out.select("id", "backfill.search_rank", "backfill.hostname", "fulltext", "backfill.content_sha256")
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsweft import rules
-from newsweft.operators import bundle, chunking, evidence, events, health, ledger, quality, rollup, selection, sessions
+from newsweft.operators import backfill, bundle, chunking, evidence, events, health, ledger, quality, rollup, selection, sessions
 from newsweft.rules import SelectionRules
 
 RULE = SelectionRules(quota={"w": 6, "t": 4, "f": 3}, floor={"w": 3, "f": 2}, required=("w", "t", "f"), default_category="w")
@@ -388,3 +388,12 @@ def test_sections_without_lines_leave_no_trace(spark):
     df = spark.createDataFrame(rows, "d int, part int, t string")
     out = chunking.merge_sections(df, ["d"], "part", "t", sections=("A", "B"), placeholder="nothing new", other="rest")
     assert sorted(map(tuple, out.collect())) == [(1, "A", "a1"), (1, "B", "b1\n\nb2\nb3"), (1, "rest", "lead")]
+
+
+def test_targets_of_one_search_share_its_result(spark):
+    targets = spark.createDataFrame([(1, "r", "q", None), (2, "r", "q", "old"), (3, "r", "z", "own"), (4, "r", None, None)], "id int, run_key string, query string, fulltext string")
+    results = spark.createDataFrame(
+        [("q", 2, "https://www.reuters.com/b", "t", "s", "later"), ("q", 1, "https://www.reuters.com/a", "t", "s", "first"), ("q", 0, "https://www.reuters.com/0", "t", "s", ""), ("z", 1, "https://other.example/", "t", "s", "text")],
+        "query string, search_rank int, url string, title string, source string, text string")
+    out = backfill.backfill_texts(targets, results, F.lit("2026-07-03"), domains=("reuters.com",), search="query")
+    assert {r.id: (r.fulltext, r.backfill and r.backfill.search_rank) for r in out.collect()} == {1: ("first", 1), 2: ("first", 1), 3: ("own", None), 4: (None, None)}
