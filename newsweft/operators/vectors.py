@@ -6,15 +6,19 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsweft import rules
 from newsweft.operators.greedy import complete_link
-from newsweft.session import durable
+from newsweft.session import by_all_cores, durable
 
-BLOCK_ROWS = 2048
-PIVOTS = 32
+#: Rows of a block, blocks that a cell may be cut into whatever their rows, and pairs looked at together.
+BLOCK_ROWS, LEAST_SLICES, CELLS = 49_152, 8, 2_000_000
+#: Cells are used if a row of the sample has partners in this share of them at most.
+PIVOTS, SAMPLE, MOST_NEAR = 32, 256, 0.25
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -61,24 +65,43 @@ def _with_cells(df: DataFrame, pivots: np.ndarray, radius: float, outer: bool) -
     return df.withColumn("cell", F.explode(cells("vec")))
 
 
-def _pivot_rows(df: DataFrame, count: int) -> np.ndarray:
+def _sampled(df: DataFrame, count: int) -> np.ndarray:
     """A fixed number of vectors, chosen by hash; any vectors would give right results."""
     rows = df.select("vec").orderBy(F.xxhash64("id"), "id").limit(count).collect()
-    if not rows:
-        return np.zeros((0, 1))
-    unit = _unit(pd.Series([r["vec"] for r in rows]))
-    return np.unique(unit, axis=0)
+    return _unit(pd.Series([r["vec"] for r in rows])) if rows else np.zeros((0, 1))
 
 
-def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, keys: Sequence[str],
-                  *, same: bool = False, block_rows: int = BLOCK_ROWS, pivots: int = PIVOTS) -> DataFrame:
+def _pivot_rows(df: DataFrame, count: int, radius: float) -> np.ndarray:
+    """The pivots, or none where a sampled row has partners in so many of their cells that cells would only copy it."""
+    sample = _sampled(df, max(count, SAMPLE))
+    pivots = np.unique(sample[:count], axis=0)
+    if not len(pivots):
+        return pivots
+    cos = sample @ pivots.T
+    home = cos.argmax(axis=1)
+    spread = np.linalg.norm(pivots[:, None, :] - pivots[None, :, :], axis=2)
+    near = cos.max(axis=1, keepdims=True) - cos <= radius * spread[home] + 1e-9
+    return pivots if near.mean() <= MOST_NEAR else pivots[:0]
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Unit rows of a column of arrays."""
+    flat = pa.concat_arrays([c.flatten() for c in column.chunks]).to_numpy(zero_copy_only=False).astype(np.float64)
+    m = flat.reshape(len(column), -1)
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
+
+def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, keys: Sequence[str], *, same: bool = False,
+                  nearest: bool = False, block_rows: int = BLOCK_ROWS, pivots: int = PIVOTS) -> DataFrame:
     """All pairs of equal ``keys`` with cosine >= ``threshold``: ``keys, a, b, cos``.
 
     Both sides are ``(keys, id, vec)``; with ``same`` they are one table and each pair comes
     once, ``a < b``. A key with few rows is one dense product. A bigger one is cut into cells
-    around pivots: the right row goes to its own cell, the left row also to every cell close
-    enough to hold a partner. Cells are cut further into blocks of bounded size, so a key that
-    holds a third of all rows is spread over many tasks. No pair is lost.
+    around pivots, if a row has partners in few of them: the right row goes to its own cell, the left row also to every cell close
+    enough to hold a partner. Cells, or the key itself, are cut further into blocks of bounded size, so a key that
+    holds a third of all rows is spread over many tasks; a block holds up to ``block_rows`` rows, or an eighth of a small cell.
+    No pair is lost. With ``nearest`` a block tells only the best partner of each left row, of equal ones that with the smallest id.
     """
     keys = list(keys)
     radius = float(np.sqrt(max(0.0, 2.0 - 2.0 * threshold)))
@@ -90,7 +113,7 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, keys: Seq
         "big", F.greatest("n_l", "n_r") > block_rows
     ).select(*keys, "big")
     left, right = left.join(sizes, keys), right.join(sizes, keys)
-    points = _pivot_rows(right.filter("big"), pivots)
+    points = _pivot_rows(right.filter("big"), pivots, radius)
     if len(points):
         whole = F.lit(-1)
         left = durable(_with_cells(left.filter("big"), points, radius, outer=True)).unionByName(
@@ -103,39 +126,62 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, keys: Seq
         left, right = left.withColumn("cell", F.lit(-1)), right.withColumn("cell", F.lit(-1))
 
     cell_keys = [*keys, "cell"]
-    slices = lambda n: F.ceil(F.col(n) / block_rows).cast("int")
-    grid = (
-        left.groupBy(*cell_keys).agg(F.count("*").alias("n_l"))
-        .join(right.groupBy(*cell_keys).agg(F.count("*").alias("n_r")), cell_keys)
-        .select(*cell_keys, slices("n_l").alias("g_l"), slices("n_r").alias("g_r"))
-    )
+    most = F.greatest(F.lit(LEAST_SLICES), F.ceil(F.col("n") / BLOCK_ROWS))
+    slices = F.least(F.ceil(F.col("n") / block_rows), most).cast("int")
+
+    def sliced(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy(*cell_keys).agg(F.count("*").alias("n")).select(*cell_keys, slices.alias(name))
+
+    grid = sliced(left, "g_l").join(sliced(right, "g_r"), cell_keys)
     slot = lambda g: F.pmod(F.xxhash64("id"), F.col(g)).cast("int")
     span = lambda g: F.explode(F.sequence(F.lit(0), F.col(g) - 1))
-    lhs = left.join(grid, cell_keys).select(*cell_keys, slot("g_l").alias("i"), span("g_r").alias("j"), "id", "vec")
-    rhs = right.join(grid, cell_keys).select(*cell_keys, span("g_l").alias("i"), slot("g_r").alias("j"), "id", "vec")
-
-    # The two sides may come from one table; new names keep them apart in the cogroup.
     block = [*cell_keys, "i", "j"]
-    rhs = rhs.select(*[F.col(c).alias(f"r_{c}") for c in rhs.columns])
-
-    def match(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        names = [*keys, "a", "b", "cos"]
-        if l.empty or r.empty:
-            return pd.DataFrame(columns=names)
-        cos = _unit(l["vec"]) @ _unit(r["r_vec"]).T
-        hit = cos >= threshold
-        if same:
-            hit &= l["id"].to_numpy()[:, None] < r["r_id"].to_numpy()[None, :]
-        x, y = np.nonzero(hit)
-        out = {k: [l[k].iloc[0]] * len(x) for k in keys}
-        out |= {"a": l["id"].to_numpy()[x], "b": r["r_id"].to_numpy()[y], "cos": cos[x, y]}
-        return pd.DataFrame(out, columns=names)
+    columns = [*block, "side", "id", "vec"]
+    # One table that is not cut into cells meets itself: every two blocks once.
+    itself = F.lit(same) & (F.col("cell") == -1)
+    once = left.where(itself).join(grid, cell_keys).withColumn("own", slot("g_l")).withColumn("other", span("g_l")).select(
+        *cell_keys, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+        F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "id", "vec",
+    )
+    lhs = left.where(~itself).join(grid, cell_keys).withColumn("i", slot("g_l")).withColumn("j", span("g_r")).withColumn("side", F.lit(0))
+    rhs = right.where(~itself).join(grid, cell_keys).withColumn("j", slot("g_r")).withColumn("i", span("g_l")).withColumn("side", F.lit(1))
+    dealt = lhs.select(*columns).unionByName(rhs.select(*columns))
+    dealt = once.unionByName(dealt) if same else dealt
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        l, r = table.filter(pc.equal(table["side"], 0)), table.filter(pc.equal(table["side"], 1))
+        halves = same and table["cell"][0].as_py() == -1
+        if halves and table["i"][0] == table["j"][0]:
+            r = l
+        if not len(l) or not len(r):
+            return
+        r = r.sort_by("id")
+        id_l, id_r = l["id"].to_numpy(), r["id"].to_numpy()
+        vec_l, vec_r = _matrix(l["vec"]), _matrix(r["vec"])
+        # Blocks of two numbers hold both orders of ids, all others only those asked for.
+        ordered = same and not (halves and table["i"][0] != table["j"][0])
+        step = max(1, CELLS // len(r))
+        for at in range(0, len(l), step):
+            cos = vec_l[at:at + step] @ vec_r.T
+            if nearest:
+                x, y = np.arange(len(cos)), cos.argmax(axis=1)
+                x, y = x[cos[x, y] >= threshold], y[cos[x, y] >= threshold]
+            else:
+                hit = cos >= threshold
+                if ordered:
+                    hit &= id_l[at:at + step, None] < id_r[None, :]
+                x, y = np.nonzero(hit)
+            a, b = id_l[at + x], id_r[y]
+            if same:
+                a, b = np.where(a < b, a, b), np.where(a < b, b, a)
+            found = {k: pa.repeat(table[k][0], len(x)) for k in keys}
+            found |= {"a": pa.array(a, l["id"].type), "b": pa.array(b, l["id"].type), "cos": pa.array(cos[x, y])}
+            yield pa.RecordBatch.from_pydict(found)
 
     fields = [f"{k} {left.schema[k].dataType.simpleString()}" for k in keys]
-    fields += [f"a {left.schema['id'].dataType.simpleString()}", f"b {right.schema['id'].dataType.simpleString()}"]
-    return lhs.groupBy(*block).cogroup(rhs.groupBy(*[f"r_{c}" for c in block])).applyInPandas(
-        match, ", ".join([*fields, "cos double"])
-    )
+    fields += [f"{c} {left.schema['id'].dataType.simpleString()}" for c in ("a", "b")]
+    return by_all_cores(dealt, *block).groupBy(*block).applyInArrow(match, ", ".join([*fields, "cos double"]))
 
 
 def _distinct_vectors(df: DataFrame, keys: Sequence[str], order: Column) -> tuple[DataFrame, DataFrame]:
@@ -211,7 +257,7 @@ def drop_near_copies(candidates: DataFrame, base: DataFrame, keys: Sequence[str]
     """Candidates without any base row of the same keys at or above the threshold."""
     cand, mapping = _distinct_vectors(candidates.filter("vec is not null"), keys, F.col("id"))
     known, _ = _distinct_vectors(base.filter("vec is not null"), keys, F.col("id"))
-    hits = similar_pairs(cand, known, threshold, keys, **blocking).select(F.col("a").alias("rep")).distinct()
+    hits = similar_pairs(cand, known, threshold, keys, nearest=True, **blocking).select(F.col("a").alias("rep")).distinct()
     return candidates.join(mapping.join(hits, "rep", "left_semi").select("id"), "id", "left_anti")
 
 
@@ -223,7 +269,7 @@ def nearest_earlier(today: DataFrame, past: DataFrame, keys: Sequence[str],
     """
     now, now_map = _distinct_vectors(today.filter("vec is not null"), keys, F.col("id"))
     old, _ = _distinct_vectors(past.filter("vec is not null"), keys, F.col("id"))
-    best = similar_pairs(now, old, threshold, keys, **blocking).groupBy(*keys, "a").agg(
+    best = similar_pairs(now, old, threshold, keys, nearest=True, **blocking).groupBy(*keys, "a").agg(
         F.min_by(F.struct("b", "cos"), F.struct((-F.col("cos")).alias("c"), F.col("b").alias("o"))).alias("m")
     )
     return now_map.join(best.withColumnRenamed("a", "rep"), [*keys, "rep"]).select(
