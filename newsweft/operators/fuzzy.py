@@ -4,19 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsweft import rules
-from newsweft.functions.text import let
+from newsweft.operators.ranges import running_number
 from newsweft.session import by_all_cores, durable
 
-#: Characters of context that a gram carries on each side, the longest gram, and the pieces of a group.
-AROUND, LONGEST_GRAM, GROUP = 18, 6, 4
-#: Stands for what is before and after a title; no title key holds it.
-PAD = "\x01" * AROUND
+#: Titles of a block, pairs of titles looked at together, and characters read together.
+BLOCK, CELLS, CHARS = 4096, 200_000, 500_000
+#: Gram lengths and bins of the counts that two similar titles nearly share; the first is compared for all pairs of like length.
+GRAMS = ((1, 64), (4, 2048), (5, 4096))
+#: Titles longer than this are compared by all their grams of this length too, which are held for so many titles.
+LONG, GRAM, HELD = 400, 5, 512
 #: The common subsequence is looked at again after so many characters.
 LOOK_EVERY = 64
 
@@ -41,100 +47,146 @@ def common_subsequence_reaches(a: str, b: str, least: int) -> bool:
     return len(b) - row.bit_count() >= least
 
 
+def _least(a: str, b: str, slack: float) -> int:
+    """Characters of the common subsequence of two titles with at most ``slack`` of their lengths in insertions and deletions."""
+    total = len(a) + len(b)
+    return (total - int(total * slack + 1e-9) + 1) // 2
+
+
 def ratio_reaches(a: str, b: str, ratio: float) -> bool:
     """Whether the share of characters in matching blocks, as the standard library defines it, reaches ``ratio``.
 
     The share depends on the side in rare cases, so either direction may call the titles equal. The blocks are a common
     subsequence, which is tried first.
     """
-    total = len(a) + len(b)
-    least = int(total * ratio / 2 - 1e-6)
-    return common_subsequence_reaches(a, b, least) and any(
+    return common_subsequence_reaches(a, b, _least(a, b, 1.0 - ratio)) and any(
         SequenceMatcher(None, x, y).ratio() >= ratio for x, y in ((a, b), (b, a))
     )
 
 
-def _edits(length: Column, slack: float) -> Column:
-    """Most insertions and deletions between a title of this length and a longer similar one."""
-    longest = F.floor(length * ((1 + slack) / (1 - slack)) + 1e-9)
-    return F.floor((length + longest) * slack + 1e-9).cast("int")
-
-
-def _gram_length(length: Column, edits: Column) -> Column:
-    return F.greatest(F.least(F.floor(length / (edits + 1)), F.lit(LONGEST_GRAM)), F.lit(1)).cast("int")
-
-
-def _windows(title: Column, gram: Column) -> Column:
-    """The gram at each place with its context on both sides; one pass over the title."""
-    size = F.concat(F.lit("(?s)(?=(.{"), (gram + 2 * AROUND).cast("string"), F.lit("}))"))
-    return F.regexp_extract_all(F.concat(F.lit(PAD), title, F.lit(PAD)), size, F.lit(1))
-
-
-def _piece_rows(windows: Column, n: Column, edits: Column, gram: Column) -> Column:
-    """Of each piece of a title, joined: its window, the characters of its group before and after the gram, and the
-    most edit distance of these. A group is ``GROUP`` pieces side by side."""
-    pieces = edits + 1
-
-    def begin(piece: Column) -> Column:
-        return F.floor(piece * n / pieces).cast("int")
-
-    def row(i: Column) -> Column:
-        first = i - i % GROUP
-        end = F.least(first + GROUP, pieces)
-        before = F.least(begin(i) - begin(first), F.lit(AROUND))
-        after = F.least(begin(end) - begin(i) - gram, F.lit(AROUND))
-        return F.concat_ws(
-            "\x02", F.element_at(windows, begin(i) + 1), before.cast("string"), after.cast("string"),
-            (2 * (end - first - 1)).cast("string"),
-        )
-
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), edits), row))
-
-
-def candidate_titles(titles: DataFrame, keys: Sequence[str], slack: float) -> DataFrame:
-    """Pairs ``keys, t1, t2`` of ids that may be similar; none that is gets lost. ``titles(keys, _id, title_key)``.
-
-    At most ``slack * (len1 + len2)`` insertions and deletions lie between two similar titles. The shorter one is cut into
-    one piece more than that, so a piece is left unchanged; and of the groups of pieces side by side one has fewer edits
-    than pieces, so around its unchanged piece the longer title reads nearly alike: its edit distance there, place by place,
-    is at most twice the edits. Each title gives at most one row per character and gram length, and windows that repeat
-    within it count once.
+def _counts(titles: list[str], gram: int, bins: int) -> np.ndarray:
+    """Per title how many of its grams fall into each bin, 255 at most."""
+    out = np.zeros((len(titles), bins), np.uint8)
+    ends = np.cumsum([len(t) for t in titles])
+    first = 0
+    while first < len(titles):
+        done = ends[first - 1] if first else 0
+        last = min(max(int(np.searchsorted(ends, done + CHARS, "right")), first + 1), first + 256)
+        some = titles[first:last]
+        chars = np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        row = np.repeat(np.arange(len(some)), [len(t) for t in some])
+        size = max(len(chars) - gram + 1, 0)
+        code = np.zeros(size, np.uint64)
+        for i in range(gram):
+            code = code * np.uint64(1_000_003) + chars[i:size + i]
+        inside = row[:size] == row[gram - 1:]
+        code = (code * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(bins)
+        cell = row[:size][inside] * bins + code[inside].astype(np.int64)
+        out[first:last] = np.minimum(np.bincount(cell, minlength=len(some) * bins), 255).reshape(len(some), bins)
+        first = last
+    return out
+
+
+def _grams(title: str, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different grams of a title, by 64 bits, and how often each stands there."""
+    chars = np.frombuffer(title.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    code = np.zeros(max(len(chars) - gram + 1, 0), np.uint64)
+    for i in range(gram):
+        code = code * np.uint64(0x9E3779B97F4A7C15) + chars[i:len(code) + i]
+    return np.unique(code, return_counts=True)
+
+
+def _grams_near(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], most: int) -> bool:
+    """Whether the grams of two titles differ by ``most`` at most."""
+    if not len(a[0]) or not len(b[0]):
+        return True
+    at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
+    shared = np.minimum(a[1], b[1][at])[b[0][at] == a[0]].sum()
+    return int(a[1].sum() + b[1].sum() - 2 * shared) <= most
+
+
+def _near_counts(a: list[str], b: list[str], slack: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places in two lists of titles, each by length, whose counts differ no more than the insertions and deletions between
+    similar titles can make them: one of them changes ``2 q - 1`` grams of length q at most. With ``same`` the lists are one."""
+    size_a, size_b = (np.array([len(t) for t in x], np.int64) for x in (a, b))
+    counts = [(x, x if same else _counts(b, *g)) for g in GRAMS for x in (_counts(a, *g),)]
+    bags = [np.ascontiguousarray(x.T.astype(np.int16)) for x in counts[0]]
+    step = max(1, CELLS // len(b))
+    for first in range(0, len(a), step):
+        last = min(first + step, len(a))
+        # Both ways: a block of longer titles may begin with the lengths that the other one ends with.
+        low = int(np.searchsorted(size_b, size_a[first] * ((1 - slack) / (1 + slack)) - 1))
+        low = max(low, first + 1) if same else low
+        high = int(np.searchsorted(size_b, size_a[last - 1] * ((1 + slack) / (1 - slack)) + 1, "right"))
+        if low >= high:
+            continue
+        allowed = np.floor((size_a[first:last, None] + size_b[None, low:high]) * slack + 1e-9)
+        apart = np.zeros(allowed.shape, np.int16)
+        for x, y in zip(*bags):
+            if x[first:last].any() or y[low:high].any():
+                apart += np.abs(x[first:last, None] - y[None, low:high])
+        r, c = np.nonzero((apart <= allowed) & (np.abs(size_a[first:last, None] - size_b[None, low:high]) <= allowed))
+        most, r, c = allowed[r, c], r + first, c + low
+        if same:
+            later = r < c
+            most, r, c = most[later], r[later], c[later]
+        for (gram, _), (x, y) in zip(GRAMS[1:], counts[1:]):
+            keep = np.zeros(len(r), bool)
+            for at in range(0, len(r), 1000):
+                some = slice(at, at + 1000)
+                differ = np.abs(x[r[some]].astype(np.int16) - y[c[some]]).sum(axis=1, dtype=np.int64)
+                keep[some] = differ <= (2 * gram - 1) * most[some]
+            most, r, c = most[keep], r[keep], c[keep]
+        yield r, c
+
+
+def candidate_titles(titles: DataFrame, keys: Sequence[str], slack: float, block: int = BLOCK) -> DataFrame:
+    """Pairs ``keys, t1, t2`` of ids, shorter title first, whose common subsequence is long enough; none that is similar gets lost.
+    ``titles(keys, _id, title_key)``.
+
+    At most ``slack * (len1 + len2)`` insertions and deletions lie between two similar titles, so their lengths and the counts of
+    their characters and grams are near. The titles of a key are cut into blocks by length; blocks of like lengths meet in one
+    task, which compares the counts by arrays and the titles that are left by the common subsequence. What is shuffled are the
+    titles, once per block that theirs meets.
     """
     keys = list(keys)
-    base = by_all_cores(titles, "_id").select(*keys, "_id", "title_key", F.length("title_key").alias("_n"))
-    edits = _edits(F.col("_n"), slack)
-    short = base.withColumn("_d", edits).filter("_d > 0").withColumn("_q", _gram_length(F.col("_n"), F.col("_d")))
-    rows = let(
-        _windows(F.col("title_key"), F.col("_q")), lambda w: _piece_rows(w, F.col("_n"), F.col("_d"), F.col("_q"))
-    )
-    part = F.split("_piece", "\x02")
-    shorter = short.select(*keys, F.col("_id").alias("t1"), F.col("_n").alias("_n1"), "_q", F.explode(rows).alias("_piece")).select(
-        *keys, "t1", "_n1", "_q", part[0].alias("_w1"), part[1].cast("int").alias("_before"), part[2].cast("int").alias("_after"),
-        part[3].cast("int").alias("_most"), F.substring(part[0], F.lit(AROUND + 1), F.col("_q")).alias("_gram"),
-    )
-    # A longer title looks up the grams of every gram length that shorter partners may use.
-    low = F.ceil(F.col("_n") * ((1 - slack) / (1 + slack)) - 1e-9).cast("int")
-    lengths = F.array_distinct(F.transform(
-        F.filter(F.sequence(F.greatest(low, F.lit(1)), F.col("_n")), lambda m: _edits(m, slack) > 0),
-        lambda m: _gram_length(m, _edits(m, slack)),
-    ))
-    longer = base.withColumn("_q", F.explode(lengths)).filter("_n >= _q").select(
-        *keys, F.col("_id").alias("t2"), F.col("_n").alias("_n2"), "_q",
-        F.explode(F.array_distinct(_windows(F.col("title_key"), F.col("_q")))).alias("_w2"),
-    ).withColumn("_gram", F.substring(F.col("_w2"), F.lit(AROUND + 1), F.col("_q")))
-
-    def distance(start: Column, size: Column) -> Column:
-        return F.levenshtein(F.substring(F.col("_w1"), start, size), F.substring(F.col("_w2"), start, size))
-
-    before = distance(F.lit(AROUND + 1) - F.col("_before"), F.col("_before"))
-    after = distance(F.lit(AROUND + 1) + F.col("_q"), F.col("_after"))
-    allowed = (F.col("_n1") + F.col("_n2")) * slack + 1e-9
-    ordered = (F.col("_n1") < F.col("_n2")) | ((F.col("_n1") == F.col("_n2")) & (F.col("t1") < F.col("t2")))
-    fits = ordered & (F.col("_n2") - F.col("_n1") <= allowed)
-    # A CASE keeps the costly distances behind the cheap tests.
-    alike = F.when(fits, (before + after) <= F.col("_most")).otherwise(False)
-    # The rows are many times the titles they come from, which no estimate sees: never broadcast.
-    return shorter.join(longer.hint("shuffle_merge"), [*keys, "_q", "_gram"]).filter(alike).select(*keys, "t1", "t2").distinct()
+    base = titles.select(*keys, "_id", "title_key", F.length("title_key").alias("_n"))
+    placed = durable(running_number(base, keys, ["_n", "_id"], "_at").withColumn("_block", F.floor(F.col("_at") / block).cast("int")).drop("_at"))
+    spans = durable(placed.groupBy(*keys, "_block").agg(F.min("_n").alias("_low"), F.max("_n").alias("_high")))
+    i = spans.select(*keys, F.col("_block").alias("_i"), F.col("_high").alias("_high_i"))
+    j = spans.select(*keys, F.col("_block").alias("_j"), F.col("_low").alias("_low_j"))
+    like = (F.col("_low_j") - F.col("_high_i")) <= (F.col("_low_j") + F.col("_high_i")) * slack + 1e-9
+    meets = i.join(j, keys).where((F.col("_i") <= F.col("_j")) & like).select(*keys, "_i", "_j")
+    sides = (F.when(F.col("_i") == F.col("_j"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1))))
+    meets = meets.withColumn("_side", F.explode(sides)).withColumn("_block", F.when(F.col("_side") == 0, F.col("_i")).otherwise(F.col("_j")))
+    dealt = placed.join(meets, [*keys, "_block"]).select(*keys, "_i", "_j", "_side", "_id", "title_key", "_n")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)).sort_by([("_n", "ascending"), ("_id", "ascending")])
+        same = table["_i"][0] == table["_j"][0]
+        left = table.filter(pc.equal(table["_side"], 0))
+        right = left if same else table.filter(pc.equal(table["_side"], 1))
+        a, b = left["title_key"].to_pylist(), right["title_key"].to_pylist()
+        # Bins hide how long titles differ; their grams are compared as they are.
+        grams = lru_cache(HELD)(lambda title: _grams(title, GRAM))
+
+        def near(x: str, y: str) -> bool:
+            most = int((len(x) + len(y)) * slack + 1e-9)
+            if len(x) > LONG and not _grams_near(grams(x), grams(y), (2 * GRAM - 1) * most):
+                return False
+            return common_subsequence_reaches(x, y, _least(x, y, slack))
+
+        for r, c in _near_counts(a, b, slack, same):
+            reach = [near(a[x], b[y]) for x, y in zip(r.tolist(), c.tolist())]
+            r, c = r[np.array(reach, bool)], c[np.array(reach, bool)]
+            found = {k: pa.repeat(table[k][0], len(r)) for k in keys}
+            found |= {"t1": left["_id"].take(pa.array(r)).combine_chunks(), "t2": right["_id"].take(pa.array(c)).combine_chunks()}
+            yield pa.RecordBatch.from_pydict(found)
+
+    fields = [f"{k} {base.schema[k].dataType.simpleString()}" for k in keys]
+    fields += [f"{c} {base.schema['_id'].dataType.simpleString()}" for c in ("t1", "t2")]
+    group = [*keys, "_i", "_j"]
+    return by_all_cores(dealt, *group).groupBy(*group).applyInArrow(compare, ", ".join(fields))
 
 
 def similar_titles(titles: DataFrame, keys: Sequence[str], ratio: float = rules.FUZZY_TITLE_RATIO) -> DataFrame:
