@@ -281,12 +281,14 @@ def accept_in_feed_order(entries: DataFrame, scope: str, limit: int = WALK_LIMIT
 
 def accept_rounds(entries: DataFrame, scope: str) -> DataFrame:
     """The same by rounds. Within the first ``cap`` rows still alive of a feed there is room
-    whatever happens to the rows before."""
+    whatever happens to the rows before. Keys travel as digests, empty ones as null, and rows that are refused leave the table."""
+    for key in ("title_key", "link_key"):
+        entries = entries.withColumn(key, F.when(F.col(key) != "", F.unhex(F.sha2(F.col(key).cast("string"), 256))))
     state = durable(entries.withColumn("taken", F.lit(None).cast("boolean")))
     in_feed = Window.partitionBy(scope, "feed").orderBy("ord")
     most = state.agg(F.max("cap")).first()[0]
     while not state.filter("taken is null").isEmpty():
-        alive = state.filter("taken is null or taken")
+        alive = state
         room = (
             alive.withColumn("r", F.row_number().over(in_feed)).filter((F.col("r") <= most) & (F.col("r") <= F.col("cap")))
             .filter("taken is null")
@@ -297,7 +299,7 @@ def accept_rounds(entries: DataFrame, scope: str) -> DataFrame:
         ).select(scope, "feed", F.lit(True).alias("is_full"))
 
         def seen(key: str, prefix: str) -> DataFrame:
-            return alive.filter(F.col(key) != "").groupBy(scope, key).agg(
+            return alive.filter(F.col(key).isNotNull()).groupBy(scope, key).agg(
                 F.min(F.when(F.col("taken").isNull(), F.col("ord"))).alias(f"{prefix}_open"),
                 F.min(F.when(F.col("taken"), F.col("ord"))).alias(f"{prefix}_taken"),
             )
@@ -315,6 +317,6 @@ def accept_rounds(entries: DataFrame, scope: str) -> DataFrame:
                 .when((before.isNotNull() & (before < F.col("ord"))) | F.col("is_full"), F.lit(False))
                 .when(F.col("room") & (F.coalesce(first_open, "ord") >= F.col("ord")), F.lit(True))
                 .alias("taken"),
-            )
+            ).filter("taken is null or taken")
         )
     return state.filter("taken").select("id")
