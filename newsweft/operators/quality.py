@@ -11,7 +11,6 @@ from newsweft import rules
 from newsweft.functions.numbers import first_number, parse_numbers
 from newsweft.functions.scoring import hard_number_count
 from newsweft.functions.text import proper_nouns, strip
-from newsweft.operators.ranges import later_extremes_elsewhere
 from newsweft.session import durable
 
 _ITEM_MARK = "<!-- article_id:"
@@ -136,37 +135,77 @@ def number_conflicts(claims: DataFrame, scope: str, ratio: float = rules.CONFLIC
     articles apart, ``ord`` the unique position of a claim in its run. With ``parity`` the first
     numerals are compared as they stand, else the numbers with their units multiplied in.
 
-    Pairs are not enumerated. Running extremes over the later claims of other articles tell exactly which claims have a
-    partner, so the first ``limit`` of these per run and type are enough, each with its first ``limit`` partners.
+    Pairs are not enumerated. The extremes of a run and type, each with the best of a second article, tell exactly which claims
+    have a partner at all. A claim without a later partner is one of an earlier claim, so the first pairs start at one of the
+    first ``2 * limit`` of these, and mostly end among the first few as well; only where they don't, later claims are looked at.
     """
+    by = [scope, "type"]
     value = first_number(F.col("claim")) if parity else F.coalesce(
         F.get(parse_numbers(F.col("claim")), F.lit(0)), first_number(F.col("claim"))
     )
-    # Claims are cut out of long texts, so they are stored once and read back for each step.
-    claims = durable(claims.select(scope, "type", "article", "ord", "claim"))
-    rows = claims.filter(F.col("type") != rules.CLAIM_DATE).withColumn("v", value).filter("v > 0 and article is not null")
-    values = rows.select(scope, "type", "article", "ord", "v")
-    heads = later_extremes_elsewhere(values, [scope, "type"], "ord", "v", "article").filter(
-        (F.col("hi") / F.col("v") > ratio) | (F.col("v") / F.col("lo") > ratio)
-    ).withColumn("r", F.row_number().over(Window.partitionBy(scope, "type").orderBy("ord"))).filter(F.col("r") <= limit)
-    left = heads.select(scope, "type", F.col("ord").alias("ord_a"), F.col("article").alias("article_a"), F.col("v").alias("v_a"))
-    right = values.select(scope, "type", F.col("ord").alias("ord_b"), F.col("article").alias("article_b"), F.col("v").alias("v_b"))
-    nearest = F.row_number().over(Window.partitionBy(scope, "type", "ord_a").orderBy("ord_b"))
-    pairs = right.join(left, [scope, "type"]).filter(
-        (F.col("ord_b") > F.col("ord_a")) & (F.col("article_a") != F.col("article_b"))
-        & (F.greatest("v_a", "v_b") / F.least("v_a", "v_b") > ratio)
-    ).withColumn("_n", nearest).filter(F.col("_n") <= limit)
+    # Claims are cut out of long texts, so they are stored once, with their value, and read back for each step.
+    counted = (F.col("type") != rules.CLAIM_DATE) & F.col("article").isNotNull()
+    claims = durable(claims.select(scope, "type", "article", "ord", "claim").withColumn("v", F.when(counted, value)))
+    values = claims.filter("v > 0").select(*by, "article", "ord", "v")
+    paired = values.join(_extremes(claims, by), by).filter(
+        (F.when(F.col("article") != F.col("hi_by"), F.col("hi")).otherwise(F.col("hi2")) / F.col("v") > ratio)
+        | (F.col("v") / F.when(F.col("article") != F.col("lo_by"), F.col("lo")).otherwise(F.col("lo2")) > ratio)
+    ).select(*by, "kind_ord", "article", "ord", "v")
+    first = Window.partitionBy(*by).orderBy("ord")
+    near = durable(paired.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= 6 * limit))
+
+    def is_pair(a: Column, b: Column) -> Column:
+        apart = F.greatest(a["v"], b["v"]) / F.least(a["v"], b["v"]) > ratio
+        return (b["ord"] > a["ord"]) & (a["article"] != b["article"]) & apart
+
+    row = F.struct("ord", "article", "v")
+    seen = near.groupBy(*by).agg(F.array_sort(F.collect_list(row)).alias("near"))
+    mates = F.slice(F.filter("near", lambda b: is_pair(F.col("a"), b)), 1, limit)
+    # Pairs that are known of the claims before; with enough of these a claim is not needed, nor what is behind its last mate.
+    before = F.coalesce(F.sum(F.size("mates")).over(first.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    heads = near.filter(F.col("r") <= 2 * limit).join(seen, by).withColumn("a", row).withColumn("mates", mates).withColumn(
+        "before", before
+    ).filter(F.col("before") < limit)
+    heads = durable(heads.groupBy(*by).agg(
+        F.array_sort(F.collect_list("a")).alias("heads"),
+        F.when(F.bool_and(F.size("mates") == limit), F.max(F.get("mates", F.lit(limit - 1))["ord"])).alias("until"),
+    ))
+    # Claims with the same mates are alike; the first ones of each kind are enough.
+    of = F.array_join(F.transform("heads", lambda a: F.when(is_pair(a, F.col("b")), "1").otherwise("0")), "")
+    later = paired.join(heads, by).filter("until is null or ord <= until").withColumn("b", row).withColumn("of", of)
+    later = later.filter(F.contains("of", F.lit("1"))).withColumn(
+        "_n", F.row_number().over(Window.partitionBy(*by, "of").orderBy("ord"))
+    ).filter(F.col("_n") <= limit)
+    pairs = later.select(*by, "kind_ord", "b", F.explode("heads").alias("a")).filter(is_pair(F.col("a"), F.col("b")))
     kinds = F.array(*[F.lit(k) for k, _ in rules.CLAIM_PATTERNS])
-    first_kind = claims.groupBy(scope, "type").agg(F.min("ord").alias("kind_ord"))
-    ordered = pairs.join(first_kind, [scope, "type"]).withColumn(
-        "no", F.row_number().over(Window.partitionBy(scope).orderBy("kind_ord", F.array_position(kinds, F.col("type")), "ord_a", "ord_b"))
-    ).filter(F.col("no") <= limit)
-    told = claims.select(scope, "ord", "claim")
+    order = Window.partitionBy(scope).orderBy("kind_ord", F.array_position(kinds, F.col("type")), "a.ord", "b.ord")
+    ordered = durable(pairs.withColumn("no", F.row_number().over(order)).filter(F.col("no") <= limit).select(
+        scope, "no", "type", *[F.col(f"{side}.{c}").alias(f"{c}_{side}") for side in ("a", "b") for c in ("ord", "article")]
+    ))
+    shown = ordered.select(scope, F.explode(F.array("ord_a", "ord_b")).alias("ord")).distinct()
+    told = durable(claims.select(scope, "ord", "claim").join(shown, [scope, "ord"]))
     for side in ("a", "b"):
         ordered = ordered.join(told.withColumnsRenamed({"ord": f"ord_{side}", "claim": f"claim_{side}"}), [scope, f"ord_{side}"])
     return ordered.select(scope, "no", "type", "article_a", "claim_a", "article_b", "claim_b")
 
 
+def _extremes(claims: DataFrame, by: list[str]) -> DataFrame:
+    """Per group: first place, greatest and least value, an article that has each, and the best of the other articles.
+
+    Every step sums up to one row a group before it shuffles, and is stored, so its true size picks the join.
+    """
+    counted = F.when(F.col("v") > 0, F.col("v"))
+    ends = durable(claims.groupBy(*by).agg(F.min("ord").alias("kind_ord"), F.max(counted).alias("hi"), F.min(counted).alias("lo")))
+    values = claims.filter("v > 0").select(*by, "article", "v").join(ends, by)
+    at = {side: F.when(F.col("v") == F.col(side), F.col("article")) for side in ("hi", "lo")}
+    holders = durable(values.filter("v = hi or v = lo").groupBy(*by).agg(*[F.min(who).alias(f"{side}_by") for side, who in at.items()]))
+    others = durable(values.join(holders, by).groupBy(*by).agg(
+        F.max(F.when(F.col("article") != F.col("hi_by"), F.col("v"))).alias("hi2"),
+        F.min(F.when(F.col("article") != F.col("lo_by"), F.col("v"))).alias("lo2"),
+    ))
+    return durable(ends.join(holders, by).join(others, by))
+
+
 def lint_text(text: Column, as_of_day: Column, min_citations: int = 8) -> Column:
     """Codes of what looks wrong in a finished text."""
     dates = F.transform(
