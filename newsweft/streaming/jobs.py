@@ -11,16 +11,14 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from newsweft import rules
 from newsweft.operators import events as EV
 from newsweft.session import ensure_checkpoint_dir
-from newsweft.streaming.state import STORE
+from newsweft.streaming.state import HOUR, STORE, keyed, taken
 
 
 def dedup_within(stream: DataFrame, ts: str, key: str, days: int = rules.SENT_RETENTION_DAYS) -> DataFrame:
@@ -30,36 +28,10 @@ def dedup_within(stream: DataFrame, ts: str, key: str, days: int = rules.SENT_RE
     the result does not depend on how the stream is cut; it goes when no row in time can fall into it. A row later than
     the watermark, or not after its key's last taken one when it comes, is late and refused.
     """
-    span = pd.Timedelta(days=days)
-    key_type, ts_type = (stream.schema[c].dataType.simpleString() for c in (key, ts))
-
-    def update(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = pd.Timestamp(state.get[0]) if state.exists else None
-        taken = []
-        for when in _distinct_times(batches, ts):
-            if last is None or when > last + span:
-                taken.append(when)
-                last = when
-        state.update((last,))
-        # Kept until the watermark is past the memory; it must lie ahead of the watermark as it is now.
-        gone = int((last + span).timestamp() * 1000)
-        state.setTimeoutTimestamp(max(gone, state.getCurrentWatermarkMs()) + 1)
-        yield pd.DataFrame({key: [group[0]] * len(taken), ts: pd.Series(taken, dtype="datetime64[ns]")})
-
-    return stream.withWatermark(ts, f"{days} days").select(key, ts).groupBy(key).applyInPandasWithState(
-        update, f"{key} {key_type}, {ts} {ts_type}", f"last {ts_type}", "append", GroupStateTimeout.EventTimeTimeout,
-    )
-
-
-def _distinct_times(batches: Iterator[pd.DataFrame], ts: str) -> pd.DatetimeIndex:
-    """The times of a key in a micro-batch, sorted; eight bytes a distinct time are held, not rows."""
-    times = pd.DatetimeIndex([])
-    for rows in batches:
-        times = times.union(pd.DatetimeIndex(rows[ts].dropna().unique()))
-    return times.unique().sort_values()
+    span = days * 24 * HOUR
+    rows = stream.filter(F.col(ts).isNotNull())
+    out = keyed(rows, key, ts, {}, taken(lambda last, when: when > last + span), f"{days} days", 24 * days)
+    return out.select(key, F.timestamp_micros("number").cast(stream.schema[ts].dataType).alias(ts))
 
 
 def session_counts(stream: DataFrame, ts: str, delay: str = "1 hour",
@@ -138,7 +110,7 @@ def work_folder(spark: SparkSession, name: str) -> str:
 
 @contextmanager
 def state_store(spark: SparkSession) -> Iterator[None]:
-    """Streams started within keep their state in the store that keyed state needs; a running stream keeps the one it began with."""
+    """Streams started within keep their state in the store on disk; a running stream keeps the one it began with."""
     name = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name, None)
     spark.conf.set(name, STORE)

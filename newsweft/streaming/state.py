@@ -1,168 +1,136 @@
-"""Rules that remember something of each key, with the engine's keyed state and timers.
+"""Rules that remember something of each key, with the engine's state and timers.
 
-A processor sees the rows of one key of a micro-batch and the few values that are kept of the key. Values go by themselves, by a
-timer of the event time once the watermark says that no row in time can need them. The state is kept by the store below the stream's checkpoint, so an executor that is lost takes nothing with it.
+Keys are dealt into buckets by their hash, and a call sees the rows of a bucket in a micro-batch and the few values that are kept of
+its keys, so the cost of a call is shared by all of them. Values go by event time, once the watermark says that no row in time can
+need them. The state is kept by the store below the stream's checkpoint, so an executor that is lost takes nothing with it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from newsweft import rules
 
-#: The store that keyed state with timers needs.
+#: The store that holds large state on disk.
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 HOUR = 3_600_000_000
-
-
-def micros(times: pd.Series) -> np.ndarray:
-    return times.to_numpy().astype("datetime64[us]").astype(np.int64)
-
-
-def plain(values: list) -> pd.Series:
-    """A column of Python values; other kinds of string columns can't be handed back."""
-    return pd.Series(values, dtype=object)
-
-
-def in_order(rows: Iterator[pd.DataFrame], at: str, *columns: str) -> tuple[np.ndarray, ...]:
-    """Times and further columns of a key's rows by time; repeated rows count once."""
-    parts = [part[[at, *columns]].dropna(subset=[at]).drop_duplicates() for part in rows]
-    one = pd.concat(parts).drop_duplicates().sort_values([at, *columns], kind="stable")
-    return micros(one[at]), *(one[c].to_numpy() for c in columns)
-
-
-class Keyed(StatefulProcessor):
-    """A key's value of a few longs or strings, dropped ``memory_hours`` of event time after it was set."""
-
-    def __init__(self, key: str, at: str, schema: str, memory_hours: int):
-        self.key, self.at, self.schema, self.memory = key, at, schema, memory_hours * 3_600_000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.value = handle.getValueState("value", self.schema)
-
-    def read(self, start: tuple) -> tuple:
-        return self.value.get() if self.value.exists() else start
-
-    def keep(self, value: tuple, last_micros: int) -> None:
-        """One timer per key stands: that of its newest value."""
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        self.value.update(value)
-        self.handle.registerTimer(last_micros // 1000 + self.memory)
-
-    def empty(self) -> pd.DataFrame:
-        raise NotImplementedError
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        self.value.clear()
-        yield self.empty()
-
-    def close(self) -> None:
-        pass
-
-
-class Gate(Keyed):
-    """Accepts a trigger unless it is within the guard after the last accepted one or in the same half-day session.
-
-    Triggers not after the last accepted one are late and refused. A day after it, the last one can refuse nothing in time.
+#: Buckets of a stream's keys. A checkpoint holds its state by them, so a stream keeps the number it began with.
+BUCKETS = 1024
+#: Rows of a bucket that are held before repeated ones are left out.
+HELD = 100_000
+
+#: What is kept of each key: the time in microseconds its memory counts from, and a text.
+Known = dict[str | None, tuple[int, str | None]]
+#: Told rows of key, number and text, from a bucket's rows in order; what is kept is changed in place. A repeated row tells nothing.
+Rule = Callable[[Iterator[tuple], Known], list[tuple]]
+
+
+def in_order(parts: Iterator[pd.DataFrame], columns: list[str]) -> pd.DataFrame:
+    """A bucket's rows by the columns after the key, the time first; of many rows, repeated ones are held once."""
+    held, most = [], HELD
+    for part in parts:
+        held.append(part[columns])
+        if sum(map(len, held)) > most:
+            held = [pd.concat(held).drop_duplicates()]
+            most = max(HELD, 2 * len(held[0]))
+    one = held[0] if len(held) == 1 else pd.concat(held)
+    return one.sort_values(columns[1:], kind="stable")
+
+
+def keyed(stream: DataFrame, key: str, at: str, others: dict[str, Column], rule: Rule, delay: str, memory_hours: int,
+          buckets: int = BUCKETS) -> DataFrame:
+    """``key, number, note`` as the rule tells them; a key's value is dropped ``memory_hours`` of event time after its time.
+
+    Keys travel as text and come back in their type; null is a key with a bucket of its own.
     """
+    kind, memory = stream.schema[key].dataType, memory_hours * 3_600_000
+    columns = ["_key", "_time", *others]
+
+    def update(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known: Known = {k: (seen, note) for k, seen, note in zip(*state.get)} if state.exists else {}
+        told = []
+        if not state.hasTimedOut:
+            rows = in_order(parts, columns)
+            told = rule(zip(*[rows[c].tolist() for c in columns]), known)
+        watermark = state.getCurrentWatermarkMs()
+        left = {k: v for k, v in known.items() if v[0] // 1000 + memory >= watermark}
+        if left:
+            state.update((list(left), [seen for seen, _ in left.values()], [note for _, note in left.values()]))
+            state.setTimeoutTimestamp(min(seen for seen, _ in left.values()) // 1000 + memory)
+        elif state.exists:
+            state.remove()
+        if told:
+            yield pd.DataFrame(told, columns=["_key", "number", "note"], dtype=object)
+
+    bucket = F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(buckets)))
+    # The event time itself comes along, for Spark leaves late rows out by it.
+    rows = stream.withWatermark(at, delay).select(
+        bucket.alias("_bucket"), F.col(key).cast("string").alias("_key"), F.coalesce(F.unix_micros(at), F.lit(0)).alias("_time"), at,
+        *[c.alias(name) for name, c in others.items()],
+    )
+    out = rows.groupBy("_bucket").applyInPandasWithState(
+        update, "_key string, number long, note string", "keys array<string>, seen array<bigint>, notes array<string>", "append",
+        GroupStateTimeout.EventTimeTimeout,
+    )
+    return out.select(F.col("_key").cast(kind).alias(key), "number", "note")
 
-    def __init__(self, key: str, at: str, guard_hours: int, offset_hours: int):
-        super().__init__(key, at, "last bigint", 24 + guard_hours)
-        self.guard, self.shift = guard_hours * HOUR, (offset_hours - 4) * HOUR
-
-    def session(self, when: int) -> int:
-        return (when + self.shift) // (12 * HOUR)
-
-    def rows(self, key, times: list[int]) -> pd.DataFrame:
-        return pd.DataFrame({self.key: plain([key] * len(times)), self.at: pd.to_datetime(pd.Series(times, dtype="int64"), unit="us")})
 
-    def empty(self) -> pd.DataFrame:
-        return self.rows(None, [])
+def taken(accept: Callable[[int, int], bool]) -> Rule:
+    """Tells each row that is the first of its key or accepted after the key's last one told."""
+    def rule(rows: Iterator[tuple], known: Known) -> list[tuple]:
+        told = []
+        for key, when in rows:
+            if key not in known or accept(known[key][0], when):
+                told.append((key, when, None))
+                known[key] = (when, None)
+        return told
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        (times,) = in_order(rows, self.at)
-        (last,) = self.read((None,))
-        taken = []
-        for when in times.tolist():
-            if last is None or (when - last >= self.guard and self.session(when) != self.session(last)):
-                taken.append(when)
-                last = when
-        if taken:
-            self.keep((last,), last)
-        yield self.rows(key[0], taken)
+    return rule
 
 
-class Changes(Keyed):
+def changes(rows: Iterator[tuple], known: Known) -> list[tuple]:
     """Tells each row whose signature differs from the one before; rows not after the last one seen are late and ignored."""
+    told = []
+    for key, when, signature in rows:
+        seen, last = known.get(key, (None, ""))
+        if seen is None or when > seen:
+            if signature != last:
+                told.append((key, when, signature))
+            known[key] = (when, signature)
+    return told
 
-    def __init__(self, key: str, at: str, signature: str, memory_hours: int):
-        super().__init__(key, at, "signature string, seen bigint", memory_hours)
-        self.signature = signature
-
-    def rows(self, key, found: list[tuple[int, str]]) -> pd.DataFrame:
-        times = pd.to_datetime(pd.Series([t for t, _ in found], dtype="int64"), unit="us")
-        return pd.DataFrame({self.key: plain([key] * len(found)), self.at: times, self.signature: plain([s for _, s in found])})
-
-    def empty(self) -> pd.DataFrame:
-        return self.rows(None, [])
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        times, signatures = in_order(rows, self.at, self.signature)
-        last, seen = self.read(("", None))
-        found = []
-        for when, signature in zip(times.tolist(), signatures.tolist()):
-            if seen is None or when > seen:
-                if signature != last:
-                    found.append((when, signature))
-                last, seen = signature, when
-        if seen is not None:
-            self.keep((last, seen), seen)
-        yield self.rows(key[0], found)
-
-
-class Closed(Keyed):
+def closed(rows: Iterator[tuple], known: Known) -> list[tuple]:
     """A run is closed by the first micro-batch that brings it: delivered if any of its rows counts something, else empty."""
+    new: dict[str | None, tuple[int, int]] = {}
+    for key, when, count in rows:
+        if key not in known:
+            last, best = new.get(key, (0, 0))
+            new[key] = (max(when, last), max(count, best))
+    status = {key: "delivered" if best else "empty" for key, (_, best) in new.items()}
+    known |= {key: (last, status[key]) for key, (last, _) in new.items()}
+    return [(key, best, status[key]) for key, (_, best) in new.items()]
 
-    def __init__(self, at: str, memory_hours: int):
-        super().__init__("run_id", at, "status string", memory_hours)
-
-    def rows(self, found: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame({c: plain([f[i] for f in found]) for i, c in enumerate(("run_id", "status", "count"))})
-
-    def empty(self) -> pd.DataFrame:
-        return self.rows([])
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        best, last = 0, None
-        for part in rows:
-            best = max(best, int(part["count"].max()))
-            last = max(int(micros(part[self.at]).max()), last or 0)
-        if self.value.exists():
-            yield self.empty()
-            return
-        status = "delivered" if best else "empty"
-        self.keep((status,), last)
-        yield self.rows([(key[0], status, best)])
+def session_gate(stream: DataFrame, key: str, at: str, delay: str = "1 hour", guard_hours: int = rules.GUARD_HOURS,
+                 offset_hours: int = rules.LOCAL_OFFSET_HOURS) -> DataFrame:
+    """``key, at`` of the accepted triggers; what the batch gate gives for triggers that come in time.
 
+    A trigger is accepted unless it is within the guard after the last accepted one or in the same half-day session. Triggers not
+    after the last accepted one are late and refused. A day after it, the last one can refuse nothing in time.
+    """
+    guard, shift = guard_hours * HOUR, (offset_hours - 4) * HOUR
 
-def _type(stream: DataFrame, column: str) -> str:
-    return stream.schema[column].dataType.simpleString()
+    def accept(last: int, when: int) -> bool:
+        return when - last >= guard and (when + shift) // (12 * HOUR) != (last + shift) // (12 * HOUR)
 
-
-def session_gate(stream: DataFrame, key: str, at: str, delay: str = "1 hour", guard_hours: int = rules.GUARD_HOURS,
-                 offset_hours: int = rules.LOCAL_OFFSET_HOURS) -> DataFrame:
-    """``key, at`` of the accepted triggers; what the batch gate gives for triggers that come in time."""
-    gate = Gate(key, at, guard_hours, offset_hours)
-    return stream.select(key, at).withWatermark(at, delay).groupBy(key).transformWithStateInPandas(
-        gate, f"{key} {_type(stream, key)}, {at} timestamp", "append", "eventTime"
-    )
+    out = keyed(stream.filter(F.col(at).isNotNull()), key, at, {}, taken(accept), delay, 24 + guard_hours)
+    return out.select(key, F.timestamp_micros("number").alias(at))
 
 
 def issue_alerts(stream: DataFrame, key: str, at: str, signature: str, delay: str = "1 day", memory_days: int = rules.REPO_RETENTION_DAYS) -> DataFrame:
@@ -170,16 +138,14 @@ def issue_alerts(stream: DataFrame, key: str, at: str, signature: str, delay: st
 
     A key that is silent for ``memory_days`` is forgotten and starts anew.
     """
-    changes = Changes(key, at, signature, 24 * memory_days)
-    return stream.select(key, at, signature).withWatermark(at, delay).groupBy(key).transformWithStateInPandas(
-        changes, f"{key} {_type(stream, key)}, {at} timestamp, {signature} string", "append", "eventTime"
-    )
+    rows = stream.filter(F.col(at).isNotNull())
+    out = keyed(rows, key, at, {"_signature": F.col(signature)}, changes, delay, 24 * memory_days)
+    return out.select(key, F.timestamp_micros("number").alias(at), F.col("note").alias(signature))
 
 
 def deliver_once(stream: DataFrame, at: str, delay: str = "1 day", memory_days: int = 365) -> DataFrame:
     """``run_id, status, count`` of each run once, of ``stream(run_id, count, <at>)``; later rows of a closed run give nothing, until
     it is forgotten ``memory_days`` of event time after it was closed."""
-    closed = Closed(at, 24 * memory_days)
-    return stream.select("run_id", "count", at).withWatermark(at, delay).groupBy("run_id").transformWithStateInPandas(
-        closed, f"run_id {_type(stream, 'run_id')}, status string, count long", "append", "eventTime"
-    )
+    count = F.coalesce(F.col("count").cast("long"), F.lit(0))
+    out = keyed(stream, "run_id", at, {"_count": count}, closed, delay, 24 * memory_days)
+    return out.select("run_id", F.col("note").alias("status"), F.col("number").alias("count"))

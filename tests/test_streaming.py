@@ -103,3 +103,22 @@ def test_fresh(spark, tmp_path, files):
     late = spark.read.parquet(f"{base}/late").collect()
     assert sum(r.late for r in late) == 40 - len(keep)
     assert min(r.oldest for r in late if r.oldest) == min(t for i, t in rows if t and i not in keep)
+
+
+@pytest.mark.parametrize("rule", ["memory", "alerts"])
+def test_many_keys_share_calls_and_state(spark, tmp_path, rule):
+    """Keys share the rows of the state; large keys and null ones stay apart, whatever the micro-batches, and repeated rows tell nothing."""
+    keys = [*range(K.BUCKETS), 2**53, 2**53 + 1, None]
+    for day in (1, 3, 9):
+        rows = [(datetime(2026, 1, day), k, None if day == 3 else "s") for k in keys] * 2
+        spark.createDataFrame(rows, "at timestamp, k long, sig string").coalesce(2).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema("at timestamp, k long, sig string").option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
+    out = J.dedup_within(source, "at", "k") if rule == "memory" else K.issue_alerts(source, "k", "at", "sig")
+    with J.state_store(spark):
+        stream = out.writeStream.option("checkpointLocation", str(tmp_path / "ck")).option("path", str(tmp_path / "out")).trigger(availableNow=True)
+        query = stream.format("parquet").start()
+    query.awaitTermination()
+    assert 0 < max(s.numRowsTotal for p in query.recentProgress for s in p.stateOperators) <= K.BUCKETS + 1
+    got = sorted(((r.k is None, r.k or 0, r["at"].day, r.sig if rule == "alerts" else "") for r in spark.read.parquet(str(tmp_path / "out")).collect()), key=repr)
+    told = [(1, ""), (9, "")] if rule == "memory" else [(1, "s"), (3, None), (9, "s")]
+    assert got == sorted(((k is None, k or 0, day, sig) for k in keys for day, sig in told), key=repr)
