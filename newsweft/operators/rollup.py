@@ -102,8 +102,17 @@ def two_source_rate(items: DataFrame, run: str) -> DataFrame:
 ISSUE_KEY = ("run_key", "article_id", "code", "normalized_value")
 
 
+#: Tasks that issues are dealt to, for each of the session's shuffle partitions.
+ISSUE_TASKS = 8
+
+
+def by_issue(df: DataFrame) -> DataFrame:
+    """Rows dealt by issue to many small tasks: what is told apart or joined by issue holds the keys of its task, more than once."""
+    return df.repartition(ISSUE_TASKS * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *ISSUE_KEY)
+
+
 def unique_issues(issues: DataFrame) -> DataFrame:
-    return issues.select(*ISSUE_KEY).distinct()
+    return by_issue(issues.select(*ISSUE_KEY)).distinct()
 
 
 def review_sample(issues: DataFrame, size: int = 30, seed: int = 7) -> DataFrame:
@@ -118,7 +127,7 @@ def review_sample(issues: DataFrame, size: int = 30, seed: int = 7) -> DataFrame
 
 def false_alarm_rates(sample: DataFrame, labels: DataFrame) -> DataFrame:
     """Share of false alarms among the labelled sample, per code and in all (null code)."""
-    return sample.join(labels, list(ISSUE_KEY)).rollup("code").agg(
+    return by_issue(sample).join(by_issue(labels), list(ISSUE_KEY)).rollup("code").agg(
         F.count("*").alias("reviewed"), F.count_if("false_alarm").alias("false_alarms"),
         (F.count_if("false_alarm") / F.count("*")).alias("rate"),
     )
